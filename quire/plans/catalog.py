@@ -35,7 +35,7 @@ def query(name: str, ops: str, oracle: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # Importing the plan modules registers their queries.
-    from quire.plans import (q_text, q_pii, q_chunks)  # noqa: F401
+    from quire.plans import (q_text, q_pii, q_chunks, q_vectors)  # noqa: F401
     for mod in ("q_vectors", "q_access", "q_audit", "q_gate", "q_search", "q_requests", "q_streaming"):
         try:
             __import__(f"quire.plans.{mod}")

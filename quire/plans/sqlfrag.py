@@ -82,3 +82,31 @@ def rebuild(text: str, spans: str, repl) -> str:
             f"s.start - {prev_end}) || {repl('s')}), '')")
     last_end = f"coalesce({spans}[-1].\"end\", 0)"
     return f"(coalesce({body}, '') || substring({text}, {last_end} + 1))"
+
+
+def embed_ctes(name: str, src: str, id_col: str, text_col: str, dim: int) -> str:
+    """CTEs computing the hash embedding (V2) of `src`.`text_col`:
+    `{name}` (id, dim_index, value FLOAT) and `{name}_vec` (id, v FLOAT[])."""
+    h = "md5(w)"
+    return (
+        f"{name}_tok AS (SELECT {id_col} AS id, unnest({words(text_col)}) AS w FROM {src}), "
+        f"{name}_agg AS (SELECT id, CAST(('0x' || substr({h}, 1, 8))::UBIGINT % {dim} AS INTEGER) AS b, "
+        f"sum(CASE WHEN substr({h}, 9, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS s "
+        f"FROM {name}_tok GROUP BY ALL), "
+        f"{name}_full AS (SELECT x.{id_col} AS id, r.i AS dim_index, coalesce(a.s, 0.0::DOUBLE) AS raw "
+        f"FROM {src} x CROSS JOIN range(0, {dim}) r(i) LEFT JOIN {name}_agg a ON a.id = x.{id_col} AND a.b = r.i), "
+        f"{name}_n AS (SELECT id, sqrt(sum(raw * raw)) AS n FROM {name}_full GROUP BY id), "
+        f"{name} AS (SELECT f.id, f.dim_index, CAST(CASE WHEN n.n > 0 THEN f.raw / n.n ELSE f.raw END AS FLOAT) "
+        f"AS value FROM {name}_full f JOIN {name}_n n ON n.id = f.id), "
+        f"{name}_vec AS (SELECT id, list(value ORDER BY dim_index) AS v FROM {name} GROUP BY id)")
+
+
+def normalize_sql(raw: str) -> str:
+    nrm = f"sqrt(list_sum(list_transform({raw}, lambda x: x::DOUBLE * x::DOUBLE)))"
+    return (f"list_transform({raw}, lambda x: CAST(CASE WHEN {nrm} > 0 THEN x::DOUBLE / {nrm} "
+            f"ELSE x::DOUBLE END AS FLOAT))")
+
+
+def sq_l2(a: str, b: str) -> str:
+    return (f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: "
+            f"({a}[i]::DOUBLE - {b}[i]::DOUBLE) * ({a}[i]::DOUBLE - {b}[i]::DOUBLE)))")

@@ -73,10 +73,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     The cluster names it in ``spark.checkpoint.dir``; we only pick a local
     one when it is unset (tests on ``local[*]``)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if current:
+        return str(current)
     if configured:
+        sc.setCheckpointDir(configured)
         return str(configured)
     local = tempfile.mkdtemp(prefix="quire-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
