@@ -108,10 +108,25 @@ def _python_detector(profile: str):
     def detect(texts: pd.Series) -> pd.Series:
         return texts.map(scan)
 
+    @pandas_udf(f"array<{KEYED_TYPE}>")
+    def detect_many(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: None if a is None else [scan(t) for t in a])
+
     _PY_DETECTORS[profile] = detect
+    _PY_DETECTORS[profile + "/many"] = detect_many
     return detect
 
 
+def detect_pii_many(texts: Column, profile: str = "reference") -> Column:
+    """P1 + P3 for an array of texts (e.g. the chunks of a document): array
+    of resolved span arrays, aligned with the input.  Lets per-chunk
+    redaction stay inside the document row (a Python UDF cannot be called
+    from inside a Spark lambda)."""
+    _python_detector(profile)
+    cands = _PY_DETECTORS[profile + "/many"](texts)
+    return F.transform(cands, lambda c: resolve_overlaps(c))
+
+
 def candidate_spans(text, profile: str = "reference", extra_spans: Column | None = None,
                     engine: str = "python") -> Column:
     """All regex spans (and optional entity spans, P2) before overlap
