@@ -7,12 +7,13 @@ that step is an Arrow-batched pandas UDF fed only the non-ASCII rows.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from quire.functions import patterns as P
 
@@ -109,42 +110,58 @@ def estimate_tokens(c, chars_per_token: float = 4.0) -> Column:
 
 
 def words(c) -> Column:
-    """Python ``text.lower().split()``."""
+    """Python ``text.lower().split()`` as a JVM expression."""
     s = py_strip(F.lower(col_of(c)))
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, WS + "+", -1))
 
 
-def distinct_chars(c) -> Column:
-    """Number of distinct characters of lower(text) (code points)."""
-    return F.size(F.array_distinct(F.regexp_extract_all(F.lower(col_of(c)), F.lit("(?s)."), 0)))
+_STATS_TYPE = StructType([StructField("word_count", IntegerType()), StructField("unique_chars", IntegerType()),
+                          StructField("max_word_count", IntegerType())])
+
+
+def _stats_one(t):
+    if t is None:
+        return {"word_count": None, "unique_chars": None, "max_word_count": None}
+    low = t.lower()
+    ws = low.split()
+    top = max(Counter(ws).values()) if ws else 0
+    return {"word_count": len(ws), "unique_chars": len(set(low)), "max_word_count": top}
+
 
+@pandas_udf(_STATS_TYPE)
+def _text_stats(s: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_stats_one(t) for t in s], columns=["word_count", "unique_chars", "max_word_count"])
 
-def max_word_count(ws: Column) -> Column:
-    """A7 helper: highest frequency of any word, computed inside the row
-    (sort + run-length fold) so no per-word shuffle is needed."""
-    srt = F.array_sort(ws)
-    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
-    def step(acc, w):
-        run = F.when(acc["prev"].eqNullSafe(w), acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(w.alias("prev"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+def text_stats(c) -> Column:
+    """A6 + A7 inputs in one pass: word count of ``lower().split()``,
+    distinct characters of ``lower()``, highest word frequency.
 
-    return F.aggregate(srt, init, step, lambda acc: acc["best"])
+    Per-character and per-word work is what Spark's interpreted lambdas are
+    slowest at (a 20,000-word document becomes arrays of that size); Python's
+    `set`, `str.split` and `Counter` do it in C, on Arrow batches, with the
+    reference's exact Unicode semantics."""
+    return _text_stats(col_of(c))
+
+
+def distinct_chars(c) -> Column:
+    """Number of distinct characters of lower(text) (code points)."""
+    return text_stats(c)["unique_chars"]
 
 
 def text_quality(c) -> Column:
     """struct(is_valid, length, word_count, unique_chars, issues)."""
     t = col_of(c)
-    ws = words(t)
-    n_words = F.size(ws)
-    uniq = distinct_chars(t)
+    st = text_stats(t)
+    n_words = st["word_count"]
+    uniq = st["unique_chars"]
     repetitive = (n_words > P.QUALITY_REPETITION_MIN_WORDS) & (
-        max_word_count(ws) > n_words * F.lit(P.QUALITY_REPETITION_RATIO))
+        st["max_word_count"] > n_words * F.lit(P.QUALITY_REPETITION_RATIO))
     issues = F.array_compact(F.array(
         F.when(F.char_length(t) < P.QUALITY_MIN_LENGTH, F.lit("too_short")),
         F.when(uniq < P.QUALITY_MIN_UNIQUE_CHARS, F.lit("low_diversity")),
         F.when(repetitive, F.lit("excessive_repetition")),
-        F.when(F.instr(t, "�") > 0, F.lit("encoding_issues")),
+        F.when(F.instr(t, "\ufffd") > 0, F.lit("encoding_issues")),
     ))
     empty = t.isNull() | (t == "")
     return F.when(empty, F.struct(

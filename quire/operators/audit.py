@@ -61,12 +61,12 @@ def iso_timestamp(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), frac, F.lit("Z"))
 
 
-def events_from_requests(events: DataFrame) -> DataFrame:
+def events_from_requests(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Audit events for the driver's `events` table: action :=
     event_type, request_data := props, response_data := {"value": v}."""
     from quire.sources.tables import user_tenant_col
     return events.select(
-        F.col("event_id"),
+        F.col("event_id"), *(keep or []),
         iso_timestamp(F.col("ts")).alias("timestamp"),
         F.col("event_type").alias("action"),
         user_tenant_col(F.col("user_id")).alias("tenant_id"),

@@ -45,10 +45,9 @@ def token_budget(docs: DataFrame, tenant_col: str = "tenant_id", text_col: str =
 
 def word_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Highest word frequency per document, computed inside the row."""
-    ws = TX.words(text_col)
-    d = docs.select(id_col, ws.alias("w"))
-    n = F.size("w")
-    mx = TX.max_word_count(F.col("w"))
+    d = docs.select(id_col, TX.text_stats(text_col).alias("st"))
+    n = F.coalesce(F.col("st.word_count"), F.lit(0))
+    mx = F.coalesce(F.col("st.max_word_count"), F.lit(0))
     return d.select(id_col, n.alias("n_words"), mx.alias("max_word_count"),
                     F.when(n == 0, F.lit(None)).otherwise(F.round(mx / n, 6)).alias("max_ratio"),
                     ((n > P.QUALITY_REPETITION_MIN_WORDS) & (mx > n * F.lit(P.QUALITY_REPETITION_RATIO)))

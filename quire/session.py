@@ -17,6 +17,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # Documents can be large; keep Arrow batches to Python bounded.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
