@@ -70,12 +70,17 @@ def create_roles(requests: DataFrame, existing: DataFrame, matrix: str = "servic
     return r.select("request_id", "tenant_id", "name", perms.alias("permissions"), status.alias("status"))
 
 
+def _role_keys(roles: DataFrame) -> DataFrame:
+    """Roles keyed by name only (join by column names, so inputs that share
+    lineage never make an ambiguous self-join)."""
+    return roles.select("tenant_id", F.col("name").alias("role_name"), "permissions")
+
+
 def user_permissions(user_roles: DataFrame, roles: DataFrame) -> DataFrame:
     """Permission set per (user, tenant): union over the user's
     roles in that tenant, sorted."""
-    j = user_roles.join(roles, (user_roles["tenant_id"] == roles["tenant_id"]) &
-                        (user_roles["role_name"] == roles["name"]))
-    return (j.select(user_roles["user_id"], user_roles["tenant_id"], F.explode(roles["permissions"]).alias("p"))
+    j = user_roles.select("user_id", "tenant_id", "role_name").join(_role_keys(roles), ["tenant_id", "role_name"])
+    return (j.select("user_id", "tenant_id", F.explode("permissions").alias("p"))
             .groupBy("user_id", "tenant_id").agg(F.sort_array(F.collect_set("p")).alias("permissions")))
 
 
@@ -87,10 +92,8 @@ def user_role_list(user_roles: DataFrame, roles: DataFrame) -> DataFrame:
 
 def grants(user_roles: DataFrame, roles: DataFrame) -> DataFrame:
     """(user_id, tenant_id, permission) rows, distinct."""
-    j = user_roles.join(roles, (user_roles["tenant_id"] == roles["tenant_id"]) &
-                        (user_roles["role_name"] == roles["name"]))
-    return j.select(user_roles["user_id"], user_roles["tenant_id"],
-                    F.explode(roles["permissions"]).alias("permission")).distinct()
+    j = user_roles.select("user_id", "tenant_id", "role_name").join(_role_keys(roles), ["tenant_id", "role_name"])
+    return j.select("user_id", "tenant_id", F.explode("permissions").alias("permission")).distinct()
 
 
 def check_permissions(requests: DataFrame, user_roles: DataFrame, roles: DataFrame,
