@@ -29,7 +29,8 @@ def spread_small(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     limit = int(spark.conf.get("quire.smallInputBytes", str(SMALL_INPUT_BYTES)))
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = int(raw if isinstance(raw, int) else str(raw.toString()))
     except Exception:  # noqa: BLE001 - estimate unavailable: leave as read
         return df
     n = spark.sparkContext.defaultParallelism
