@@ -153,39 +153,105 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
 def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None = "tenant_id",
         query_id: str = "query_id", vector_id: str = "vector_id", index_vec: str = "embedding",
         query_vec: str = "query_embedding", metric: str = "l2", max_broadcast_queries: int = 50_000,
-        extra_cols: list[str] | None = None) -> DataFrame:
+        extra_cols: list[str] | None = None, method: str = "auto") -> DataFrame:
     """The k nearest vectors of each query inside its tenant.
 
     Score is squared L2 (ascending), as the flat index of the reference;
     metric="cosine" ranks by 1 - cosine.  k is capped by the tenant's index
     size automatically (fewer rows exist).  Ties are broken by vector id.
 
-    Plan: the query batch is broadcast when its size is proven small and
-    joined to the index on the tenant (the index is not shuffled); distances
-    are computed in the same stage; `row_number() <= k` becomes a partial
-    WindowGroupLimit before the exchange, so the shuffle carries at most k
-    rows per query per partition."""
+    method="arrow" (default when the query batch is proven small): the
+    batch is broadcast to every index partition, distances are computed with
+    numpy on Arrow batches and each partition keeps a running top-k per
+    query, so it emits at most k rows per query.  method="join": the batch
+    is joined to the index on the tenant and distances are built-in
+    higher-order functions; used when the batch is too large to broadcast.
+    Either way the index is never shuffled, and `row_number() <= k` over the
+    candidates is planned as a partial WindowGroupLimit before the exchange."""
     if not 1 <= k:
         raise ValueError("k must be positive")
+    if metric not in ("l2", "cosine"):
+        raise ValueError(f"unknown metric {metric}")
     extra_cols = extra_cols or []
-    q = queries.select(query_id, query_vec, *([tenant_col] if tenant_col else []))
-    q, _ = bounded_broadcast(q, max_broadcast_queries)
-    idx = index.select(vector_id, index_vec, *extra_cols, *([tenant_col] if tenant_col else []))
-    if tenant_col:
-        pairs = idx.join(q, tenant_col)
-    else:
-        pairs = idx.crossJoin(q)  # J6: nested loop over a broadcast query batch
-    if metric == "l2":
-        score = squared_l2(F.col(query_vec), F.col(index_vec))
-    elif metric == "cosine":
-        score = F.lit(1.0) - dot(F.col(query_vec), F.col(index_vec)) / (
-            l2_norm(F.col(query_vec)) * l2_norm(F.col(index_vec)))
+    tcols = [tenant_col] if tenant_col else []
+    q = queries.select(query_id, query_vec, *tcols)
+    small = q.limit(max_broadcast_queries + 1).count() <= max_broadcast_queries
+    if method == "auto":
+        method = "arrow" if small and not extra_cols else "join"
+    if method == "arrow":
+        if not small:
+            raise ValueError("query batch too large to broadcast; use method='join'")
+        scored = _knn_arrow(index, q, k, tenant_col, query_id, vector_id, index_vec, query_vec, metric)
     else:
-        raise ValueError(f"unknown metric {metric}")
-    scored = pairs.select(*([tenant_col] if tenant_col else []), query_id, vector_id, *extra_cols,
-                          score.alias("score"))
+        qb = F.broadcast(q) if small else q
+        idx = index.select(vector_id, index_vec, *extra_cols, *tcols)
+        pairs = idx.join(qb, tenant_col) if tenant_col else idx.crossJoin(qb)  # J6 without a tenant
+        if metric == "l2":
+            score = squared_l2(F.col(query_vec), F.col(index_vec))
+        else:
+            score = F.lit(1.0) - dot(F.col(query_vec), F.col(index_vec)) / (
+                l2_norm(F.col(query_vec)) * l2_norm(F.col(index_vec)))
+        scored = pairs.select(*tcols, query_id, vector_id, *extra_cols, score.alias("score"))
     w = Window.partitionBy(query_id).orderBy("score", vector_id)
-    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _knn_arrow(index, q, k, tenant_col, query_id, vector_id, index_vec, query_vec, metric):
+    import numpy as np
+
+    spark = index.sparkSession
+    # The batch is proven small by the caller's bounded count.
+    rows = q.collect()
+    by_tenant: dict = {}
+    for r in rows:
+        t = r[tenant_col] if tenant_col else None
+        by_tenant.setdefault(t, ([], []))
+        by_tenant[t][0].append(r[query_id])
+        by_tenant[t][1].append(np.asarray(r[query_vec], dtype=np.float64))
+    packed = {t: (ids, np.vstack(vs)) for t, (ids, vs) in by_tenant.items()}
+    bc = spark.sparkContext.broadcast(packed)
+    qid_type = q.schema[query_id].dataType.simpleString()
+    vid_type = index.schema[vector_id].dataType.simpleString()
+    t_type = index.schema[tenant_col].dataType.simpleString() if tenant_col else None
+    out_schema = (f"{tenant_col} {t_type}, " if tenant_col else "") + \
+        f"{query_id} {qid_type}, {vector_id} {vid_type}, score double"
+
+    def scores(Q, V):
+        if metric == "l2":
+            out = np.empty((Q.shape[0], V.shape[0]))
+            for s in range(0, Q.shape[0], 64):
+                d = Q[s:s + 64, None, :] - V[None, :, :]
+                out[s:s + 64] = np.einsum("qvd,qvd->qv", d, d)
+            return out
+        qn = np.linalg.norm(Q, axis=1)[:, None]
+        vn = np.linalg.norm(V, axis=1)[None, :]
+        return 1.0 - (Q @ V.T) / (qn * vn)
+
+    def run(batches):
+        import pandas as pd
+        best: dict = {}
+        for pdf in batches:
+            groups = pdf.groupby(tenant_col, sort=False) if tenant_col else [(None, pdf)]
+            for t, g in groups:
+                if t not in bc.value:
+                    continue
+                ids, Q = bc.value[t]
+                V = np.vstack([np.asarray(v, dtype=np.float64) for v in g[index_vec]])
+                D = scores(Q, V)
+                cand = pd.DataFrame({query_id: np.repeat(np.asarray(ids, dtype=object), V.shape[0]),
+                                     vector_id: np.tile(g[vector_id].to_numpy(dtype=object), len(ids)),
+                                     "score": D.ravel()})
+                if t in best:
+                    cand = pd.concat([best[t], cand], ignore_index=True)
+                cand = cand.sort_values([query_id, "score", vector_id], kind="mergesort")
+                best[t] = cand.groupby(query_id, sort=False).head(k)
+        for t, b in best.items():
+            if tenant_col:
+                b = b.assign(**{tenant_col: t})[[tenant_col, query_id, vector_id, "score"]]
+            yield b
+
+    cols = [vector_id, index_vec] + ([tenant_col] if tenant_col else [])
+    return index.select(*cols).mapInPandas(run, out_schema)
 
 
 def index_stats(index: DataFrame, tenants: DataFrame, tenant_col: str = "tenant_id",

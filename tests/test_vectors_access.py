@@ -71,3 +71,15 @@ def test_grants_idempotent(spark):
     out = AC.apply_grants(users, req, roles)
     assert sorted(r.role_name for r in out.collect()) == ["analyst", "viewer"]
     assert AC.revoke_roles(out, req.limit(1)).count() == 1
+
+
+def test_knn_methods_agree(spark):
+    e = tables.load(spark, SF_SMALL, "embeddings")
+    q = e.filter(F.col("vec_id") % 7 == 0).select(F.col("vec_id").alias("query_id"),
+                                                 F.col("embedding").alias("query_embedding"), "label")
+    for metric in ("l2", "cosine"):
+        a = V.knn(e, q, k=3, tenant_col="label", vector_id="vec_id", metric=metric, method="arrow") \
+            .select("query_id", "vec_id", "rank", F.round("score", 9).alias("s"))
+        b = V.knn(e, q, k=3, tenant_col="label", vector_id="vec_id", metric=metric, method="join") \
+            .select("query_id", "vec_id", "rank", F.round("score", 9).alias("s"))
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
