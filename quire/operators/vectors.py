@@ -8,7 +8,9 @@ WindowGroupLimit), not the distance matrix.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,6 +64,13 @@ class Embedder:
 _HASH_UDFS: dict = {}
 
 
+@lru_cache(maxsize=1 << 18)
+def _token_code(tok: str, dim: int) -> tuple[int, float]:
+    """Bucket and sign of a token (memoised per worker: words repeat)."""
+    h = hashlib.md5(tok.encode("utf-8")).hexdigest()
+    return int(h[:8], 16) % dim, (1.0 if h[8] < "8" else -1.0)
+
+
 def _hash_embed_udf(dim: int):
     if dim in _HASH_UDFS:
         return _HASH_UDFS[dim]
@@ -73,9 +82,9 @@ def _hash_embed_udf(dim: int):
         toks = text.lower().split() if text else []
         v = np.zeros(dim, dtype=np.float64)
         if toks:
-            hs = [hashlib.md5(t.encode("utf-8")).hexdigest() for t in toks]
-            b = np.fromiter((int(h[:8], 16) % dim for h in hs), dtype=np.int64, count=len(hs))
-            sg = np.fromiter((1.0 if h[8] < "8" else -1.0 for h in hs), dtype=np.float64, count=len(hs))
+            codes = [_token_code(t, dim) for t in toks]
+            b = np.fromiter((c[0] for c in codes), dtype=np.int64, count=len(codes))
+            sg = np.fromiter((c[1] for c in codes), dtype=np.float64, count=len(codes))
             v = np.bincount(b, weights=sg, minlength=dim)
         n = np.sqrt(np.dot(v, v))
         if n > 0:
@@ -175,13 +184,19 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None
     extra_cols = extra_cols or []
     tcols = [tenant_col] if tenant_col else []
     q = queries.select(query_id, query_vec, *tcols)
-    small = q.limit(max_broadcast_queries + 1).count() <= max_broadcast_queries
+    rows = None
+    if method in ("auto", "arrow") and not extra_cols:
+        # One bounded job both proves the batch small and fetches it.
+        rows = q.limit(max_broadcast_queries + 1).collect()
+        small = len(rows) <= max_broadcast_queries
+    else:
+        small = q.limit(max_broadcast_queries + 1).count() <= max_broadcast_queries
     if method == "auto":
-        method = "arrow" if small and not extra_cols else "join"
+        method = "arrow" if small and rows is not None else "join"
     if method == "arrow":
-        if not small:
-            raise ValueError("query batch too large to broadcast; use method='join'")
-        scored = _knn_arrow(index, q, k, tenant_col, query_id, vector_id, index_vec, query_vec, metric)
+        if not small or rows is None:
+            raise ValueError("query batch too large to broadcast (or extra_cols given); use method='join'")
+        scored = _knn_arrow(index, q, rows, k, tenant_col, query_id, vector_id, index_vec, query_vec, metric)
     else:
         qb = F.broadcast(q) if small else q
         idx = index.select(vector_id, index_vec, *extra_cols, *tcols)
@@ -196,12 +211,11 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _knn_arrow(index, q, k, tenant_col, query_id, vector_id, index_vec, query_vec, metric):
+def _knn_arrow(index, q, rows, k, tenant_col, query_id, vector_id, index_vec, query_vec, metric):
     import numpy as np
 
     spark = index.sparkSession
-    # The batch is proven small by the caller's bounded count.
-    rows = q.collect()
+    # `rows` was fetched with a bounded limit by the caller.
     by_tenant: dict = {}
     for r in rows:
         t = r[tenant_col] if tenant_col else None
