@@ -115,3 +115,15 @@ def search_metrics(requests: DataFrame, results: DataFrame, k: int) -> DataFrame
         .join(cnt, "query_id", "left") \
         .select("query_id", "query_length", F.coalesce("results_count", F.lit(0)).alias("results_count"),
                 F.lit(k).alias("top_k"))
+
+
+def chunk_lookup(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+    """J9 + C5 + C6: fetch chunks by id for (chunk_id, tenant_id,
+    include_original) requests.  The tenant is part of the join key, so a
+    request never sees another tenant's chunk (C5); `text` is the masked
+    chunk, `original_text` is only projected when requested (C6)."""
+    j = requests.join(chunks, ["chunk_id", "tenant_id"])
+    j = j.withColumn("_no", F.lit(False))
+    j = role_redacted(j, "chunk_text", "_no", "text")
+    return j.select("chunk_id", "tenant_id", "document_id", "start", "end", "text",
+                    F.when(F.col("include_original"), F.col("chunk_text")).alias("original_text"))

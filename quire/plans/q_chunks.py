@@ -8,7 +8,7 @@ from quire.functions import patterns as P
 from quire.operators import chunking as K
 from quire.operators import pii
 from quire.plans.catalog import query
-from quire.plans.sqlfrag import py_strip, rfind
+from quire.plans.sqlfrag import candidates, py_strip, resolve, rfind
 from quire.sources import tables
 
 
@@ -78,7 +78,13 @@ def k5(spark, sf):
     return K.dedup_chunks(K.chunk_table(tables.load(spark, sf, "documents"))).drop("chunk_text")
 
 
-@query("a4_chunks_per_document", "A4")
+_SEEDED_CHUNKS = chunk_sql(P.CHUNK_SIZE, P.CHUNK_OVERLAP, table=f"({tables.SEEDED_SQL}) sd")
+
+
+@query("a4_chunks_per_document", "A4 (chunk count and redaction flag per document)",
+       _SEEDED_CHUNKS + ", ck AS (SELECT document_id, " + resolve(candidates("chunk_text")) + " AS kept FROM chunks) "
+       "SELECT document_id, count(*) AS n_chunks, bool_or(len(kept) > 0) AS redaction_applied FROM ck "
+       "GROUP BY document_id")
 def a4(spark, sf):
     ch = K.chunk_table(tables.seeded_documents(tables.documents(spark, sf)))
     ch = ch.withColumn("has_pii", F.size(pii.detect_pii(F.col("chunk_text"))) > 0)

@@ -154,3 +154,18 @@ def q4(spark, sf):
 @query("q5_summary_general_b", "Q5 (general summary B)", _summary_b_sql(None))
 def q5(spark, sf):
     return _summaries(spark, sf, "b", None)
+
+
+@query("c6_chunk_lookup", "J9, C5, C6 (first chunk of every document; original text only on request)",
+       _SEEDED_CHUNKS + ", t AS (SELECT c.*, d.source AS tenant_id FROM chunks c JOIN documents d "
+       "ON d.doc_id = c.document_id), req AS (SELECT chunk_id, tenant_id, document_id % 2 = 0 AS include_original "
+       "FROM t WHERE chunk_index = 0), j AS (SELECT t.*, r.include_original, " + resolve(candidates("t.chunk_text")) +
+       " AS kept FROM t JOIN req r ON r.chunk_id = t.chunk_id AND r.tenant_id = t.tenant_id) "
+       "SELECT chunk_id, tenant_id, document_id, start, \"end\", "
+       + rebuild("chunk_text", "kept", lambda s: mask_label(s + ".type")) + " AS text, "
+       "CASE WHEN include_original THEN chunk_text END AS original_text FROM j")
+def c6(spark, sf):
+    ch = K.chunk_table(_seeded(spark, sf), keep_cols=["tenant_id"])
+    req = ch.filter(F.col("chunk_index") == 0).select(
+        "chunk_id", "tenant_id", (F.col("document_id") % 2 == 0).alias("include_original"))
+    return S.chunk_lookup(ch, req)
