@@ -122,7 +122,12 @@ def chunk_neighbours(chunks: DataFrame, doc_col: str = "document_id") -> DataFra
 
 
 def dedup_chunks(chunks: DataFrame) -> DataFrame:
-    """K5: unique chunk_id (first occurrence by document, ordinal)."""
-    from pyspark.sql.window import Window
-    w = Window.partitionBy("chunk_id").orderBy("document_id", "chunk_index")
-    return chunks.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """K5: unique chunk_id, keeping the first occurrence by (document,
+    ordinal).  `min` over a struct led by the order keys is an ordinary
+    aggregate, so copies are combined per partition before the shuffle and a
+    chunk id repeated a million times costs one row per partition."""
+    rest = [c for c in chunks.columns if c not in ("chunk_id", "document_id", "chunk_index")]
+    first = F.min(F.struct("document_id", "chunk_index", *rest)).alias("_f")
+    return chunks.groupBy("chunk_id").agg(first).select(
+        "chunk_id", "_f.document_id", "_f.chunk_index", *[F.col(f"_f.{c}") for c in rest]) \
+        .select(*chunks.columns)

@@ -36,8 +36,10 @@ def dense_positions(df: DataFrame, group_col: str, order_cols: list[str], out_co
     per = ranged.groupBy("_pid", group_col).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(group_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    # `offsets` has one row per (partition, group): small by construction
-    # (partitions x groups), so it is broadcast.
-    out = ranged.join(F.broadcast(offsets), ["_pid", group_col])
+    # `offsets` has one row per (partition, group) present: at most
+    # groups + partitions rows, since each range partition holds a contiguous
+    # run of groups.  No hint: AQE broadcasts it when its measured size is
+    # under the threshold and shuffles otherwise.
+    out = ranged.join(offsets, ["_pid", group_col])
     return out.withColumn(out_col, (F.col("_row") - F.col("_first") + F.col("_before")).cast("long")) \
         .drop("_pid", "_row", "_first", "_before")
