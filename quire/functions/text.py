@@ -21,6 +21,13 @@ WS = P.WS_CLASS
 _STRIP = "^" + WS + "+|" + WS + "+$"
 
 
+def round6(x: Column) -> Column:
+    """Half-up rounding to 6 decimals spelled out (floor(x * 1e6 + 0.5) / 1e6),
+    so results of ratios like 41/640 do not depend on an engine's rounding
+    mode."""
+    return F.floor(x.cast("double") * 1_000_000.0 + 0.5) / 1_000_000.0
+
+
 def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -40,7 +40,7 @@ def token_budget(docs: DataFrame, tenant_col: str = "tenant_id", text_col: str =
     tok = TX.estimate_tokens(text_col)
     return (docs.select(tenant_col, tok.alias("tok")).groupBy(tenant_col)
             .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tok").alias("total_tokens"),
-                 F.max("tok").alias("max_tokens"), F.round(F.avg("tok"), 6).alias("avg_tokens")))
+                 F.max("tok").alias("max_tokens"), TX.round6(F.avg("tok")).alias("avg_tokens")))
 
 
 def word_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,7 +49,7 @@ def word_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = F.coalesce(F.col("st.word_count"), F.lit(0))
     mx = F.coalesce(F.col("st.max_word_count"), F.lit(0))
     return d.select(id_col, n.alias("n_words"), mx.alias("max_word_count"),
-                    F.when(n == 0, F.lit(None)).otherwise(F.round(mx / n, 6)).alias("max_ratio"),
+                    F.when(n == 0, F.lit(None)).otherwise(TX.round6(mx / n)).alias("max_ratio"),
                     ((n > P.QUALITY_REPETITION_MIN_WORDS) & (mx > n * F.lit(P.QUALITY_REPETITION_RATIO)))
                     .alias("excessive_repetition"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quire.functions import patterns as P
-from quire.functions.text import col_of
+from quire.functions.text import col_of, round6
 
 SPAN_TYPE = "struct<type:string,start:int,end:int,text:string,confidence:double,method:string>"
 
@@ -319,4 +319,4 @@ def detector_recall(df: DataFrame, expected_col: str, id_col: str = "doc_id", te
     return (per.groupBy("pii_type")
             .agg(F.count(F.lit(1)).alias("expected"),
                  F.sum(F.array_contains("found", F.col("pii_type")).cast("int")).alias("detected"))
-            .withColumn("recall", F.round(F.col("detected") / F.col("expected"), 6)))
+            .withColumn("recall", round6(F.col("detected") / F.col("expected"))))

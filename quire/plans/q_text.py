@@ -8,7 +8,7 @@ from quire.functions import patterns as P
 from quire.functions import text as TX
 from quire.operators import corpus
 from quire.plans.catalog import query
-from quire.plans.sqlfrag import WS, normalize_ws, py_strip, q, rfind, words
+from quire.plans.sqlfrag import WS, normalize_ws, py_strip, q, rfind, round6, words
 from quire.sources import tables
 
 
@@ -63,7 +63,7 @@ def t4(spark, sf):
 
 @query("t5_token_budget", "T5",
        "SELECT source AS tenant_id, count(*) AS n_docs, sum(tok) AS total_tokens, max(tok) AS max_tokens, "
-       "round(avg(tok), 6) AS avg_tokens FROM (SELECT source, CAST(floor(coalesce(length(text), 0) / 4.0) AS INTEGER)"
+       "(floor(CAST(avg(tok) AS DOUBLE) * 1000000.0 + 0.5) / 1000000.0) AS avg_tokens FROM (SELECT source, CAST(floor(coalesce(length(text), 0) / 4.0) AS INTEGER)"
        " AS tok FROM documents) GROUP BY source")
 def t5(spark, sf):
     return corpus.token_budget(tables.documents(spark, sf))
@@ -110,7 +110,7 @@ def a6(spark, sf):
 
 @query("a7_word_repetition", "A7",
        f"SELECT doc_id, len({_WORDS}) AS n_words, {_MAXW} AS max_word_count, "
-       f"CASE WHEN len({_WORDS}) = 0 THEN NULL ELSE round({_MAXW} / len({_WORDS}), 6) END AS max_ratio, "
+       f"CASE WHEN len({_WORDS}) = 0 THEN NULL ELSE {round6(_MAXW + ' / len(' + _WORDS + ')')} END AS max_ratio, "
        f"(len({_WORDS}) > 10 AND {_MAXW} > len({_WORDS}) * 0.3) AS excessive_repetition FROM documents")
 def a7(spark, sf):
     return corpus.word_repetition(tables.load(spark, sf, "documents"))

@@ -110,3 +110,7 @@ def normalize_sql(raw: str) -> str:
 def sq_l2(a: str, b: str) -> str:
     return (f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: "
             f"({a}[i]::DOUBLE - {b}[i]::DOUBLE) * ({a}[i]::DOUBLE - {b}[i]::DOUBLE)))")
+
+
+def round6(x: str) -> str:
+    return f"(floor(CAST({x} AS DOUBLE) * 1000000.0 + 0.5) / 1000000.0)"
