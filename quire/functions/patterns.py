@@ -11,6 +11,8 @@ states them) and translated to the two dialects we run:
 
 from __future__ import annotations
 
+import re
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must equal the reference).
 # PII patterns, in detection order.  The order matters: it breaks ties
@@ -114,7 +116,14 @@ WS_CLASS = "[" + _PY_WHITESPACE + "]"          # one whitespace character
 WORD_CLASS = "[" + _PY_WORD + "]"
 
 
-def _translate(pattern: str, boundary: str) -> str:
+_ENDS_WITH_DIGIT_ATOM = re.compile(r"\\d(\{\d+(,\d*)?\}|\+|\*)?$")
+
+
+def _translate(pattern: str, boundary: str, word_before: str | None = None,
+               word_after: str | None = None) -> str:
+    """Rewrite Python classes for another engine.  A `\\b` next to a token
+    that is always a word character only needs one side checked, which is
+    exact and much cheaper than the general two-sided boundary."""
     out = []
     i = 0
     in_class = False
@@ -127,7 +136,13 @@ def _translate(pattern: str, boundary: str) -> str:
             elif nxt == "s":
                 out.append(_PY_WHITESPACE if in_class else WS_CLASS)
             elif nxt == "b" and not in_class:
-                out.append(boundary)
+                follows = pattern[i + 2:i + 4]
+                if word_before and (follows == "\\d" or follows[:1].isalnum()):
+                    out.append(word_before)
+                elif word_after and i + 2 == len(pattern) and _ENDS_WITH_DIGIT_ATOM.search(pattern[:i]):
+                    out.append(word_after)
+                else:
+                    out.append(boundary)
             elif nxt == "x" and pattern[i + 2:i + 4].isalnum():
                 out.append(r"\x{" + pattern[i + 2:i + 4] + "}")
                 i += 4
@@ -150,7 +165,7 @@ _JAVA_BOUNDARY = "(?:(?<=" + WORD_CLASS + ")(?!" + WORD_CLASS + ")|(?<!" + WORD_
 
 def java_regex(pattern: str) -> str:
     """Python-semantics regex for Spark (java.util.regex)."""
-    return _translate(pattern, _JAVA_BOUNDARY)
+    return _translate(pattern, _JAVA_BOUNDARY, "(?<!" + WORD_CLASS + ")", "(?!" + WORD_CLASS + ")")
 
 
 def re2_regex(pattern: str) -> str:
