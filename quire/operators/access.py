@@ -42,12 +42,20 @@ def role_matrix(spark: SparkSession, matrix: str = "api") -> DataFrame:
     return spark.createDataFrame(rows, "name string, permissions array<string>, matrix string")
 
 
+def matrix_literal(matrix: str = "api"):
+    """The role matrix as a literal array<struct<name, permissions, matrix>>."""
+    return F.array(*[F.struct(F.lit(n).alias("name"),
+                              F.array(*[F.lit(p) for p in perms]).alias("permissions"),
+                              F.lit(matrix).alias("matrix"))
+                     for n, perms in MATRICES[matrix].items()])
+
+
 def default_roles(tenants: DataFrame, matrix: str = "api", existing: DataFrame | None = None) -> DataFrame:
-    """Every tenant x the role matrix (the matrix is a 4-row literal,
-    broadcast), minus roles that already exist (anti join)."""
-    spark = tenants.sparkSession
-    m = F.broadcast(role_matrix(spark, matrix))
-    roles = tenants.select("tenant_id").distinct().crossJoin(m)
+    """Every tenant gets every role of the matrix (a literal array
+    exploded on each tenant row: no join), minus roles that already exist
+    (anti join)."""
+    roles = tenants.select("tenant_id").distinct() \
+        .select("tenant_id", F.explode(matrix_literal(matrix)).alias("_r")).select("tenant_id", "_r.*")
     if existing is not None:
         roles = roles.join(existing.select("tenant_id", "name"), ["tenant_id", "name"], "left_anti")
     return roles.withColumn("description", F.concat(F.lit("Default "), F.col("name"), F.lit(" role")))

@@ -182,6 +182,8 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric}")
     extra_cols = extra_cols or []
+    if extra_cols and not tenant_col:
+        raise ValueError("extra_cols need a tenant key (join them to the hits instead)")
     tcols = [tenant_col] if tenant_col else []
     q = queries.select(query_id, query_vec, *tcols)
     rows = None
@@ -191,16 +193,37 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None
         small = len(rows) <= max_broadcast_queries
     else:
         small = q.limit(max_broadcast_queries + 1).count() <= max_broadcast_queries
-    if method == "auto":
-        method = "arrow" if small and rows is not None else "join"
-    if method == "arrow":
-        if not small or rows is None:
-            raise ValueError("query batch too large to broadcast (or extra_cols given); use method='join'")
+    if method == "auto" or not tenant_col:
+        # Without a tenant key every query meets every vector (J6); that is
+        # only done against broadcast query blocks, never as a Spark cross join.
+        method = "arrow" if (small and rows is not None) or not tenant_col else "join"
+        if method == "arrow" and rows is None and small:
+            rows = q.limit(max_broadcast_queries + 1).collect()
+    if method == "arrow" and small:
+        if rows is None:
+            raise ValueError("extra_cols need method='join'")
         scored = _knn_arrow(index, q, rows, k, tenant_col, query_id, vector_id, index_vec, query_vec, metric)
+    elif method == "arrow" and tenant_col:
+        raise ValueError("query batch too large to broadcast; use method='join'")
+    elif not tenant_col:
+        # No tenant key and a batch too large to broadcast: exact blockwise
+        # search over broadcastable blocks of queries, never a cross product.
+        nblocks = -(-2 * q.count() // max_broadcast_queries)  # blocks half full on average
+        parts = []
+        for b in range(nblocks):
+            blk = q.filter(F.pmod(F.xxhash64(query_id), F.lit(nblocks)) == b)
+            rows_b = blk.limit(max_broadcast_queries + 1).collect()
+            if len(rows_b) > max_broadcast_queries:
+                raise ValueError("query ids too skewed for blockwise search")
+            parts.append(_knn_arrow(index, blk, rows_b, k, None, query_id, vector_id, index_vec, query_vec,
+                                    metric))
+        scored = parts[0]
+        for p_ in parts[1:]:
+            scored = scored.unionByName(p_)
     else:
         qb = F.broadcast(q) if small else q
         idx = index.select(vector_id, index_vec, *extra_cols, *tcols)
-        pairs = idx.join(qb, tenant_col) if tenant_col else idx.crossJoin(qb)  # J6 without a tenant
+        pairs = idx.join(qb, tenant_col)
         if metric == "l2":
             score = squared_l2(F.col(query_vec), F.col(index_vec))
         else:

@@ -168,8 +168,9 @@ _SERVICE = _values(AC.SERVICE_ROLES)
        "CASE WHEN ex OR NOT first THEN 'rejected_duplicate' ELSE 'created' END AS status FROM r")
 def c4(spark, sf):
     t = tenants_df(spark, sf)
-    names = spark.createDataFrame([("viewer",), ("Auditor",), ("custom",), ("custom",)], "name string")
-    req = t.crossJoin(F.broadcast(names)).withColumn("request_id", F.concat_ws(":", "tenant_id", "name")) \
+    names = F.array(*[F.lit(n) for n in ("viewer", "Auditor", "custom", "custom")])
+    req = t.select("tenant_id", F.explode(names).alias("name")) \
+        .withColumn("request_id", F.concat_ws(":", "tenant_id", "name")) \
         .withColumn("permissions", F.lit(None).cast("array<string>"))
     out = AC.create_roles(req, roles_df(spark, sf), matrix="service")
     return out.withColumn("permissions", F.array_join("permissions", ","))

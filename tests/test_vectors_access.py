@@ -83,3 +83,14 @@ def test_knn_methods_agree(spark):
         b = V.knn(e, q, k=3, tenant_col="label", vector_id="vec_id", metric=metric, method="join") \
             .select("query_id", "vec_id", "rank", F.round("score", 9).alias("s"))
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_knn_without_tenant_blockwise_equals_single_block(spark):
+    e = tables.load(spark, SF_SMALL, "embeddings")
+    q = e.filter(F.col("vec_id") % 11 == 0).select(F.col("vec_id").alias("query_id"),
+                                                  F.col("embedding").alias("query_embedding"))
+    a = V.knn(e, q, k=4, tenant_col=None, vector_id="vec_id").select("query_id", "vec_id", "rank")
+    b = V.knn(e, q, k=4, tenant_col=None, vector_id="vec_id", max_broadcast_queries=7) \
+        .select("query_id", "vec_id", "rank")
+    assert a.count() == q.count() * 4
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
