@@ -99,7 +99,26 @@ def g6(spark, sf):
     return u.select("corpus", "id", G.query_problem(F.col("txt")).alias("reason"))
 
 
-@query("g8_sanitize_filenames", "G8 (both variants) over page URLs")
+_S = (f"regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1), "
+      f"{q(P.re2_regex(P.FILENAME_UNSAFE))}, '_', 'g'), {q(P.re2_regex(P.FILENAME_CONTROL))}, '', 'g')")
+_G8 = (
+    f"WITH a AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS raw, {_S} AS s FROM pages), "
+    "b AS (SELECT *, length(s) AS n, CASE WHEN strpos(s, '.') = 0 THEN 0 ELSE length(s) - "
+    "length(regexp_extract(s, '^(?s:(.*))[.]', 1)) END AS dot FROM a), "
+    "c AS (SELECT *, n - dot AS last, length(regexp_replace(s, '^[.]+', '')) AS rest FROM b), "
+    "d AS (SELECT *, substring(s, last + 2, greatest(dot - 1, 0)) AS ext, substring(s, 1, greatest(last, 0)) AS base, "
+    "(dot > 0 AND last >= n - rest AND last >= 1) AS has_ext FROM c), "
+    "e AS (SELECT *, CASE WHEN n > 255 THEN (CASE WHEN dot > 1 THEN substring(base, 1, greatest(250 - length(ext), 0)) "
+    "|| '.' || ext WHEN dot = 1 THEN substring(base, 1, 250) ELSE substring(s, 1, 250) END) ELSE s END AS dv, "
+    "CASE WHEN n > 100 THEN substring(CASE WHEN has_ext THEN substring(s, 1, last) ELSE s END, 1, 95) || "
+    "CASE WHEN has_ext THEN substring(s, last + 1, dot) ELSE '' END ELSE s END AS iv FROM d) "
+    f"SELECT page_id, CASE WHEN raw IS NULL OR raw = '' THEN 'unnamed_file' WHEN "
+    f"regexp_replace(dv, {q('^' + WS + '+|' + WS + '+$')}, '', 'g') = '' THEN 'sanitized_file' ELSE "
+    f"regexp_replace(dv, {q('^' + WS + '+|' + WS + '+$')}, '', 'g') END AS name_validators, "
+    "CASE WHEN iv IS NULL OR iv = '' THEN 'unnamed_file' ELSE iv END AS name_ingestion FROM e")
+
+
+@query("g8_sanitize_filenames", "G8 (both variants) over page URLs", _G8)
 def g8(spark, sf):
     p = tables.load(spark, sf, "pages")
     raw = F.regexp_extract("url", r"^[a-z]+://[^/]+/(.*)$", 1)

@@ -21,14 +21,54 @@ def t1(spark, sf):
     return d.select("doc_id", n.alias("norm_text"), F.char_length(n).alias("norm_length"))
 
 
-@query("t2_clean_text", "T2")
+def _t2_sql():
+    """T2 as a chain of CTEs, one column per cleaning stage (so the chain is
+    not expanded textually and T2r can compare consecutive stages)."""
+    names = ["nfkd", "control", *[n for n, _, _ in P.CLEAN_RULES], "whitespace"]
+    ctes, prev = [], "documents"
+    for i, n in enumerate(names):
+        src = "text" if i == 0 else f"s_{names[i - 1]}"
+        cols = "doc_id, source, text" + "".join(f", s_{m}" for m in names[:i])
+        ctes.append(f"st{i} AS (SELECT {cols}, {_single_step(n, src)} AS s_{n} FROM {prev})")
+        prev = f"st{i}"
+    return "WITH " + ", ".join(ctes) + " ", prev, names
+
+
+def _single_step(name, src):
+    from quire.plans.sqlfrag import nfkd
+    if name == "nfkd":
+        return nfkd(f"coalesce({src}, '')")
+    if name == "control":
+        return f"regexp_replace({src}, {q(P.re2_regex(P.CONTROL_CHARS))}, '', 'g')"
+    if name == "whitespace":
+        return normalize_ws(src)
+    pat, repl = {n: (p_, r) for n, p_, r in P.CLEAN_RULES}[name]
+    return f"regexp_replace({src}, {q(P.re2_regex(pat))}, {q(repl)}, 'g')"
+
+
+_T2_CTES, _T2_LAST, _T2_NAMES = _t2_sql()
+
+
+@query("t2_clean_text", "T2",
+       _T2_CTES + f"SELECT doc_id, s_whitespace AS clean_text, length(s_whitespace) AS clean_length FROM {_T2_LAST}")
 def t2(spark, sf):
     d = tables.load(spark, sf, "documents")
     c = TX.clean_text_for_embedding("text")
     return d.select("doc_id", c.alias("clean_text"), F.char_length(c).alias("clean_length"))
 
 
-@query("t2r_cleaning_report", "T2r")
+def _t2r_sql():
+    parts = []
+    prev = "coalesce(text, '')"
+    for n in _T2_NAMES:
+        parts.append(f"SELECT source AS tenant_id, '{n}' AS rule, CAST({prev} <> s_{n} AS INTEGER) AS changed, "
+                     f"length({prev}) - length(s_{n}) AS removed FROM {_T2_LAST}")
+        prev = f"s_{n}"
+    return (_T2_CTES + "SELECT tenant_id, rule, sum(changed) AS rows_changed, sum(removed) AS chars_removed FROM ("
+            + " UNION ALL ".join(parts) + ") GROUP BY tenant_id, rule")
+
+
+@query("t2r_cleaning_report", "T2r", _t2r_sql())
 def t2r(spark, sf):
     return corpus.cleaning_report(tables.documents(spark, sf))
 
@@ -123,6 +163,8 @@ def a9(spark, sf):
     return corpus.exact_duplicates(tables.load(spark, sf, "documents"))
 
 
-@query("t7_ingest_records", "T7, S4")
+@query("t7_ingest_records", "T7, S4",
+       _T2_CTES + f"SELECT doc_id AS document_id, source AS tenant_id, length(s_whitespace) AS text_length, "
+       f"sha256(s_whitespace) AS text_hash, 'text_extracted' AS status FROM {_T2_LAST}")
 def t7(spark, sf):
     return corpus.ingest_records(tables.documents(spark, sf))

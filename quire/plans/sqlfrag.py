@@ -114,3 +114,24 @@ def sq_l2(a: str, b: str) -> str:
 
 def round6(x: str) -> str:
     return f"(floor(CAST({x} AS DOUBLE) * 1000000.0 + 0.5) / 1000000.0)"
+
+
+def _nfkd_map_sql() -> str:
+    """Oracle stand-in for NFKD (DuckDB has none): a MAP from every code
+    point of U+00A0-U+024F and the letterlike/number-form blocks whose NFKD
+    differs, to that NFKD, generated by rule from Python's unicodedata.
+    Exact for text whose non-ASCII characters lie in those blocks."""
+    import unicodedata
+    cps = list(range(0xA0, 0x250)) + list(range(0x2100, 0x2190))
+    pairs = []
+    for cp in cps:
+        ch = chr(cp)
+        d = unicodedata.normalize("NFKD", ch)
+        if d != ch:
+            pairs.append(f"{q(ch)}: {q(d)}")
+    return "MAP {" + ", ".join(pairs) + "}"
+
+
+def nfkd(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split({x}, ''), "
+            f"lambda c: coalesce({_nfkd_map_sql()}[c], c)), '')")
