@@ -61,10 +61,20 @@ def with_summary_text(df: DataFrame, text_col: str, doc_col: str, can_view_col:
         .drop("_chunks", "_spans")
 
 
-def summarize_a(full: Column, query: Column) -> tuple[Column, Column]:
-    """Q2 + Q3: first three '. '-pieces; highlights among the first ten
-    pieces containing a query word (or a default keyword), at most 3."""
-    sentences = _lit_split(full, ". ")
+def split_a(full: Column) -> Column:
+    """Pieces of summary A: literal split on '. '."""
+    return _lit_split(full, ". ")
+
+
+def split_b(full: Column) -> Column:
+    """Pieces of summary B: literal split on '.'."""
+    return _lit_split(full, ".")
+
+
+def summarize_a(sentences: Column, query: Column) -> tuple[Column, Column]:
+    """Q2 + Q3 over the pieces of `split_a` (materialise them once as a
+    column): first three pieces; highlights among the first ten pieces
+    containing a query word (or a default keyword), at most 3."""
     summary = _finish(F.array_join(F.slice(sentences, 1, 3), ". "))
     words = F.coalesce(query_words(query), F.array(*[F.lit(k) for k in P.HIGHLIGHT_KEYWORDS]))
     hits = F.filter(F.slice(sentences, 1, 10), lambda s: _contains_any(s, words))
@@ -72,11 +82,11 @@ def summarize_a(full: Column, query: Column) -> tuple[Column, Column]:
     return summary, highlights
 
 
-def summarize_b(full: Column, query: Column) -> tuple[Column, Column]:
-    """Q4 + Q5: split on '.'; with a query, up to five matching pieces
-    (stripped), summary and highlights from the first three; without, the
-    first three pieces and highlights = pieces 2-4 stripped, non-empty."""
-    pieces = _lit_split(full, ".")
+def summarize_b(pieces: Column, query: Column) -> tuple[Column, Column]:
+    """Q4 + Q5 over the pieces of `split_b`: with a query, up to five
+    matching pieces (stripped), summary and highlights from the first three;
+    without, the first three pieces and highlights = pieces 2-4 stripped,
+    non-empty."""
     words = query_words(query)
     relevant = F.slice(F.transform(F.filter(pieces, lambda s: _contains_any(s, words)), lambda s: py_strip(s)), 1, 5)
     q_summary = _finish(F.array_join(F.slice(relevant, 1, 3), ". "))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
+from quire.functions import text as TX
 from quire.operators import access as AC
 from quire.operators import chunking as K
 from quire.operators import search as S
@@ -131,8 +132,14 @@ def _summaries(spark, sf, kind: str, query_text):
     d = _seeded(spark, sf)
     d = d.select("doc_id", "text", (F.col("doc_id") % 4).isin(0, 3).alias("can_view"))
     qcol = F.lit(query_text).cast("string")
-    f = S.with_summary_text(d, "text", "doc_id", "can_view").filter(F.col("full").isNotNull())
-    summary, highlights = (S.summarize_a if kind == "a" else S.summarize_b)(F.col("full"), qcol)
+    # A document has no chunks (reference: 404) exactly when its text is
+    # blank; filtering on that cheap predicate first keeps the optimizer from
+    # pushing a filter on the UDF-derived text below the repartition (which
+    # would run the chunk and PII UDFs twice).
+    d = d.filter(F.col("text").isNotNull() & (TX.py_strip("text") != ""))
+    f = S.with_summary_text(d, "text", "doc_id", "can_view")
+    f = f.withColumn("pieces", (S.split_a if kind == "a" else S.split_b)(F.col("full")))
+    summary, highlights = (S.summarize_a if kind == "a" else S.summarize_b)(F.col("pieces"), qcol)
     return f.select("doc_id", summary.alias("summary"), F.array_join(highlights, " || ").alias("highlights"))
 
 
