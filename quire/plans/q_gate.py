@@ -151,7 +151,10 @@ def s3(spark, sf):
     return u.select("doc_id", G.dispatch_format(F.col("mime_type"), F.col("filename")).alias("extractor"))
 
 
-@query("s2_decode_text", "S2 (encoding detection and decode; bytes derived per language)")
+@query("s2_decode_text", "S2 (encoding detection and decode; bytes derived per language)",
+       "SELECT doc_id, CASE WHEN lang = 'fr' THEN 'utf-16' WHEN lang = 'de' AND regexp_matches(text, '[^\\x00-\\x7F]') "
+       "THEN 'latin-1' ELSE 'utf-8' END AS encoding, CASE WHEN lang = 'de' THEN NOT regexp_matches(text, "
+       "'[^\\x00-\\xFF]') ELSE true END AS roundtrip_ok FROM documents")
 def s2(spark, sf):
     d = tables.load(spark, sf, "documents")
     raw = (F.when(F.col("lang") == "fr", F.encode("text", "UTF-16"))

@@ -18,8 +18,10 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # Documents can be large; keep Arrow batches to Python bounded.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Arrow batches to Python: bounded by bytes (documents can be large)
+    # and by records (small rows amortise the per-batch cost).
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
 }
 
 
@@ -42,7 +44,8 @@ def ensure_defaults(spark: SparkSession) -> None:
     """Apply the session settings the operators assume (idempotent) and
     make the package importable by Python workers (like ``--py-files``)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
     ship_package(spark)
 
 
