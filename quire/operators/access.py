@@ -61,6 +61,14 @@ def default_roles(tenants: DataFrame, matrix: str = "api", existing: DataFrame |
     return roles.withColumn("description", F.concat(F.lit("Default "), F.col("name"), F.lit(" role")))
 
 
+def _mark_first(df: DataFrame, keys: list[str]) -> DataFrame:
+    """`_first` = this request has the smallest request_id of its key.  The
+    minimum is an ordinary (partially pre-aggregated) aggregate, so a key
+    repeated by many requests is combined per partition before the shuffle."""
+    firsts = df.groupBy(*keys).agg(F.min("request_id").alias("_min_id"))
+    return df.join(firsts, keys).withColumn("_first", F.col("request_id") == F.col("_min_id")).drop("_min_id")
+
+
 def create_roles(requests: DataFrame, existing: DataFrame, matrix: str = "service") -> DataFrame:
     """C4: create roles; a request whose (tenant, name) exists, or repeats an
     earlier request, is rejected.  Missing permissions fall back to the
@@ -69,9 +77,7 @@ def create_roles(requests: DataFrame, existing: DataFrame, matrix: str = "servic
     m = role_matrix(spark, matrix).select(F.col("name").alias("_ln"), F.col("permissions").alias("_dp"))
     r = requests.join(F.broadcast(m), F.lower(requests["name"]) == F.col("_ln"), "left")
     perms = F.coalesce(F.col("permissions"), F.col("_dp"), F.array().cast("array<string>"))
-    from pyspark.sql.window import Window
-    first = F.row_number().over(Window.partitionBy("tenant_id", "name").orderBy("request_id")) == 1
-    r = r.withColumn("_first", first)
+    r = _mark_first(r, ["tenant_id", "name"])
     ex = existing.select("tenant_id", "name").withColumn("_exists", F.lit(True))
     r = r.join(ex, ["tenant_id", "name"], "left")
     status = F.when(F.col("_exists") | ~F.col("_first"), F.lit("rejected_duplicate")).otherwise(F.lit("created"))
@@ -140,9 +146,7 @@ def revoke_roles(user_roles: DataFrame, requests: DataFrame) -> DataFrame:
 def provision_tenants(requests: DataFrame, existing: DataFrame, matrix: str = "api") -> DataFrame:
     """One row per accepted new tenant with its admin user and roles;
     names already taken (or repeated in the batch) are rejected."""
-    from pyspark.sql.window import Window
-    w = Window.partitionBy("name").orderBy("request_id")
-    r = requests.withColumn("_first", F.row_number().over(w) == 1)
+    r = _mark_first(requests, ["name"])
     r = r.join(existing.select("name").withColumn("_taken", F.lit(True)), "name", "left")
     ok = F.coalesce(~F.col("_taken"), F.lit(True)) & F.col("_first")
     tid = F.sha2(F.concat_ws(":", F.lit("tenant"), F.col("name")), 256).substr(1, 32)
