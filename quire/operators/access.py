@@ -62,11 +62,11 @@ def default_roles(tenants: DataFrame, matrix: str = "api", existing: DataFrame |
 
 
 def _mark_first(df: DataFrame, keys: list[str]) -> DataFrame:
-    """`_first` = this request has the smallest request_id of its key.  The
-    minimum is an ordinary (partially pre-aggregated) aggregate, so a key
-    repeated by many requests is combined per partition before the shuffle."""
-    firsts = df.groupBy(*keys).agg(F.min("request_id").alias("_min_id"))
-    return df.join(firsts, keys).withColumn("_first", F.col("request_id") == F.col("_min_id")).drop("_min_id")
+    """`_first` = the earliest request (by request_id) of its key; exactly one
+    per key even when identical requests repeat (row_number, not a min, which
+    would mark every tied copy).  Request batches are small tables."""
+    from pyspark.sql.window import Window
+    return df.withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy("request_id")) == 1)
 
 
 def create_roles(requests: DataFrame, existing: DataFrame, matrix: str = "service") -> DataFrame:
