@@ -87,3 +87,32 @@ def test_stream_rate_limit_equals_batch(spark, scratch):
                                                              "ts", "event_id")
     batch = RQ.rate_limit(batch_in, limit=3, window_seconds=86400).select("event_id", "admitted")
     assert streamed.exceptAll(batch).count() == 0 and streamed.count() == batch.count()
+
+
+def test_activity_stream_window_kinds(spark, scratch):
+    src = _copy_table(scratch, "events")
+    n = tables.load(spark, SF_SMALL, "events").count()
+    for kind, kw in [("slide", {"window": "2 hours", "slide": "1 hour"}), ("session", {"session_gap": "30 minutes"})]:
+        out = os.path.join(scratch, f"act_{kind}")
+        q = jobs.activity_stream(spark, src, out, checkpoint=os.path.join(scratch, f"ck_{kind}"), **kw)
+        q.awaitTermination()
+        total = spark.read.parquet(out).agg(F.sum("n_events")).first()[0]
+        if kind == "slide":
+            assert total <= 2 * n and total > 0  # each event lands in two sliding windows (closed ones emitted)
+        else:
+            assert 0 < total <= n
+
+
+def test_model_embedder_plugin(spark):
+    import numpy as np
+    from quire.operators import vectors as V
+
+    def make_predict():
+        def predict(texts):
+            return np.stack([np.array([len(t), t.count(" ")], dtype=np.float32) for t in texts])
+        return predict
+
+    emb = V.ModelEmbedder(make_predict, dim=2, batch_size=8)
+    df = spark.createDataFrame([(1, "a b c"), (2, "   "), (3, "hello")], "id long, text string")
+    out = {r.id: list(r.embedding) for r in V.embed_batch(df, emb).collect()}
+    assert out == {1: [5.0, 2.0], 3: [5.0, 0.0]}  # blank text dropped (V5), ids kept
