@@ -11,6 +11,8 @@ no shuffle is needed until a report groups the results.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +79,43 @@ def _keyed(spans: Column, base_order: int) -> Column:
 
 
 KEYED_TYPE = f"array<struct<start:int,neg_conf:double,ord:int,span:{SPAN_TYPE}>>"
+
+# Where a match of a pattern can lie.  Every reference pattern except e-mail
+# starts with a digit and consumes only digits and the separators - . / and
+# whitespace, so its matches lie inside runs that start with a digit and
+# continue over that alphabet; e-mail matches lie inside runs of its
+# alphabet that contain '@'.  Scanning only those runs (with the whole text
+# still visible to `\b`) gives exactly the matches of a full scan.
+_DIGIT_RUN = re.compile(r"\d[\d\-./\s]*")
+_EMAIL_ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-|@")
+_DIGIT_PATTERNS = {p for t, p in P.PII_PATTERNS if t != "email"}
+_EMAIL_PATTERN = dict(P.PII_PATTERNS)["email"]
+
+
+def _scan_region(pattern: str) -> str | None:
+    if pattern in _DIGIT_PATTERNS:
+        return "digits"
+    if pattern == _EMAIL_PATTERN:
+        return "email"
+    return None
+
+
+def _regions(text: str, kind: str) -> list[tuple[int, int]]:
+    if kind == "digits":
+        return [(m.start(), m.end()) for m in _DIGIT_RUN.finditer(text)]
+    out: list[tuple[int, int]] = []
+    n = len(text)
+    at = text.find("@")
+    while at != -1:
+        lo = at
+        while lo > 0 and text[lo - 1] in _EMAIL_ALPHABET:
+            lo -= 1
+        hi = at + 1
+        while hi < n and text[hi] in _EMAIL_ALPHABET:
+            hi += 1
+        out.append((lo, hi))
+        at = text.find("@", hi)
+    return out
 _PY_DETECTORS: dict = {}
 
 
@@ -88,19 +127,28 @@ def _python_detector(profile: str):
     equivalent Java regex pair (extract + split) at sf0.1."""
     if profile in _PY_DETECTORS:
         return _PY_DETECTORS[profile]
-    import re
-
-    compiled = [(i, ty, re.compile(pat)) for i, (ty, pat) in enumerate(profile_patterns(profile))]
+    compiled = [(i, ty, re.compile(pat), _scan_region(pat))
+                for i, (ty, pat) in enumerate(profile_patterns(profile))]
     conf = P.REGEX_CONFIDENCE
 
     def scan(text):
         if text is None:
             return []
         found = []
-        for order, ty, rx in compiled:
-            for m in rx.finditer(text):
-                found.append((m.start(), order, {"type": ty, "start": m.start(), "end": m.end(),
-                                                 "text": m.group(), "confidence": conf, "method": "regex"}))
+        regions = {}
+        for order, ty, rx, region in compiled:
+            if region is None:
+                spans = [(0, len(text))]
+            else:
+                if region not in regions:
+                    regions[region] = _regions(text, region)
+                spans = regions[region]
+            for lo, hi in spans:
+                # One context character past the region, so `\b` sees the real
+                # neighbour (a match cannot extend into it).
+                for m in rx.finditer(text, lo, min(hi + 1, len(text))):
+                    found.append((m.start(), order, {"type": ty, "start": m.start(), "end": m.end(),
+                                                     "text": m.group(), "confidence": conf, "method": "regex"}))
         found.sort(key=lambda x: (x[0], x[1]))
         return [{"start": st, "neg_conf": -conf, "ord": o, "span": sp} for st, o, sp in found]
 
