@@ -14,28 +14,25 @@ from pyspark.sql import functions as F
 from quire import schemas
 
 
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
+SMALL_SCAN_PARTITIONS = 16
 
 
 def spread_small(df: DataFrame) -> DataFrame:
     """Spread a small input over all cores.
 
     A file with one row group is read by one task, and the per-row work on
-    text (PII, chunking, hashing) is CPU-bound.  When Catalyst's size
-    estimate of the scan is below `quire.smallInputBytes` (default 512 MB)
-    the rows are round-robin repartitioned to the default parallelism; the
-    shuffle is bounded by that size.  Larger inputs already arrive in many
-    splits and are left alone."""
+    text (PII, chunking, hashing) is CPU-bound.  When the scan yields fewer
+    partitions than the default parallelism and at most
+    `quire.smallScanPartitions` (default 16, i.e. well under 2 GB with
+    128 MB splits), the rows are round-robin repartitioned to the default
+    parallelism; the shuffle is bounded by that size.  Larger inputs already
+    arrive in many splits and are left alone."""
     spark = df.sparkSession
-    limit = int(spark.conf.get("quire.smallInputBytes", str(SMALL_INPUT_BYTES)))
-    try:
-        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = int(raw if isinstance(raw, int) else str(raw.toString()))
-    except Exception:  # noqa: BLE001 - estimate unavailable: leave as read
-        return df
-    n = spark.sparkContext.defaultParallelism
-    if size <= limit and n > 1:
-        return df.repartition(n)
+    cap = int(spark.conf.get("quire.smallScanPartitions", str(SMALL_SCAN_PARTITIONS)))
+    target = spark.sparkContext.defaultParallelism
+    parts = df.rdd.getNumPartitions()
+    if parts < target and parts <= cap:
+        return df.repartition(target)
     return df
 
 
