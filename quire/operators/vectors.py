@@ -162,13 +162,17 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
 def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None = "tenant_id",
         query_id: str = "query_id", vector_id: str = "vector_id", index_vec: str = "embedding",
         query_vec: str = "query_embedding", metric: str = "l2", max_broadcast_queries: int = 50_000,
-        extra_cols: list[str] | None = None, method: str = "auto") -> DataFrame:
+        extra_cols: list[str] | None = None, method: str = "auto",
+        max_broadcast_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """The k nearest vectors of each query inside its tenant.
 
     Score is squared L2 (ascending), as the flat index of the reference;
     metric="cosine" ranks by 1 - cosine.  k is capped by the tenant's index
     size automatically (fewer rows exist).  Ties are broken by vector id.
 
+    The query batch counts as small when it has at most
+    `max_broadcast_queries` rows and about `max_broadcast_bytes` of vectors.
+
     method="arrow" (default when the query batch is proven small): the
     batch is broadcast to every index partition, distances are computed with
     numpy on Arrow batches and each partition keeps a running top-k per
@@ -186,6 +190,11 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None
         raise ValueError("extra_cols need a tenant key (join them to the hits instead)")
     tcols = [tenant_col] if tenant_col else []
     q = queries.select(query_id, query_vec, *tcols)
+    # Bound the broadcast by bytes as well as rows: the dimension is read
+    # from one query (vectors of an index share it).
+    first = q.select(F.size(query_vec).alias("d")).limit(1).collect()
+    dim = max(1, first[0]["d"]) if first else 1
+    max_broadcast_queries = max(1, min(max_broadcast_queries, max_broadcast_bytes // (8 * dim + 64)))
     rows = None
     if method in ("auto", "arrow") and not extra_cols:
         # One bounded job both proves the batch small and fetches it.
