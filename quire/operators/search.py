@@ -110,7 +110,7 @@ def secure_search(requests: DataFrame, permissions: DataFrame, index: DataFrame,
     allowed = requests.join(perms, ["user_id", "tenant_id"]) \
         .filter(F.array_contains("permissions", "document:search"))
     q = V.embed_batch(allowed, embedder, text_col="query", out_col="query_embedding")
-    hits = V.knn(index, q.select("query_id", "tenant_id", "query_embedding"), k=k)
+    hits = V.knn(index, q.select("query_id", "tenant_id", "query_embedding"), k=k, query_dim=embedder.dim)
     can_view = allowed.select("query_id", F.array_contains("permissions", "pii:view").alias("can_view_pii"))
     j = hits.join(chunks.select(F.col("chunk_id").alias("vector_id"), "document_id", "chunk_text"), "vector_id") \
         .join(can_view, "query_id")

@@ -163,7 +163,7 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None
         query_id: str = "query_id", vector_id: str = "vector_id", index_vec: str = "embedding",
         query_vec: str = "query_embedding", metric: str = "l2", max_broadcast_queries: int = 50_000,
         extra_cols: list[str] | None = None, method: str = "auto",
-        max_broadcast_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+        max_broadcast_bytes: int = 64 * 1024 * 1024, query_dim: int | None = None) -> DataFrame:
     """The k nearest vectors of each query inside its tenant.
 
     Score is squared L2 (ascending), as the flat index of the reference;
@@ -192,8 +192,10 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None
     q = queries.select(query_id, query_vec, *tcols)
     # Bound the broadcast by bytes as well as rows: the dimension is read
     # from one query (vectors of an index share it).
-    first = q.select(F.size(query_vec).alias("d")).limit(1).collect()
-    dim = max(1, first[0]["d"]) if first else 1
+    if query_dim is None:
+        first = q.select(F.size(query_vec).alias("d")).limit(1).collect()
+        query_dim = first[0]["d"] if first else 1
+    dim = max(1, query_dim)
     max_broadcast_queries = max(1, min(max_broadcast_queries, max_broadcast_bytes // (8 * dim + 64)))
     rows = None
     if method in ("auto", "arrow") and not extra_cols:
