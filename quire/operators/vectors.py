@@ -74,26 +74,26 @@ def _token_code(tok: str, dim: int) -> tuple[int, float]:
 def _hash_embed_udf(dim: int):
     if dim in _HASH_UDFS:
         return _HASH_UDFS[dim]
-    import hashlib
-
     import numpy as np
 
-    def one(text):
-        toks = text.lower().split() if text else []
-        v = np.zeros(dim, dtype=np.float64)
-        if toks:
-            codes = [_token_code(t, dim) for t in toks]
-            b = np.fromiter((c[0] for c in codes), dtype=np.int64, count=len(codes))
-            sg = np.fromiter((c[1] for c in codes), dtype=np.float64, count=len(codes))
-            v = np.bincount(b, weights=sg, minlength=dim)
-        n = np.sqrt(np.dot(v, v))
-        if n > 0:
-            v = v / n
-        return v.astype(np.float32)
-
     @pandas_udf(ArrayType(FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+        # One bincount over the whole Arrow batch: cell (row, bucket) sums
+        # the signs of the row's tokens in that bucket.
+        n = len(texts)
+        cells, signs = [], []
+        for i, t in enumerate(texts):
+            if t:
+                for tok in t.lower().split():
+                    b, sg = _token_code(tok, dim)
+                    cells.append(i * dim + b)
+                    signs.append(sg)
+        m = np.bincount(np.asarray(cells, dtype=np.int64), weights=np.asarray(signs, dtype=np.float64),
+                        minlength=n * dim).reshape(n, dim) if n else np.zeros((0, dim))
+        norms = np.sqrt(np.einsum("ij,ij->i", m, m))
+        nz = norms > 0
+        m[nz] = m[nz] / norms[nz, None]
+        return pd.Series(list(m.astype(np.float32)))
 
     _HASH_UDFS[dim] = embed
     return embed
