@@ -152,13 +152,6 @@ def mean_pool(df: DataFrame, group_cols: list[str], vec_col: str = "embedding",
 
 # --- V6: exact kNN -------------------------------------------------------------
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Broadcast `df` only if it is proven to have at most `max_rows` rows
-    (checked with a bounded count); otherwise leave it to a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return (F.broadcast(df), True) if n <= max_rows else (df, False)
-
-
 def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None = "tenant_id",
         query_id: str = "query_id", vector_id: str = "vector_id", index_vec: str = "embedding",
         query_vec: str = "query_embedding", metric: str = "l2", max_broadcast_queries: int = 50_000,
