@@ -121,13 +121,16 @@ def _limiter(limit: int, window_seconds: int):
     width = window_seconds * 1_000_000
 
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            # The watermark passed the end of this client's window: its
+            # admitted set is empty by now, so the state is dropped.
+            state.remove()
+            return
         hist = list(state.get[0]) if state.exists else []
-        rows = []
-        for pdf in pdfs:
-            rows.append(pdf)
+        rows = [pdf for pdf in pdfs]
         if not rows:
             return
-        df = pd.concat(rows).sort_values(["ts", "event_id"])
+        df = pd.concat(rows).sort_values(["ts", "event_id"], kind="mergesort")
         out_adm, out_rem = [], []
         for t in df["ts"]:
             us = int(pd.Timestamp(t).value // 1000)
@@ -138,17 +141,22 @@ def _limiter(limit: int, window_seconds: int):
             out_adm.append(ok)
             out_rem.append(max(0, limit - len(hist)) if ok else 0)
         state.update((hist,))
+        if hist:
+            state.setTimeoutTimestamp((hist[-1] + width) // 1000 + 1)
         yield pd.DataFrame({"client": df["client"].values, "event_id": df["event_id"].values,
                             "ts": df["ts"].values, "admitted": out_adm, "remaining": out_rem})
     return fn
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = P.RATE_LIMIT_PER_MINUTE,
-                      window_seconds: int = P.RATE_LIMIT_WINDOW_SECONDS) -> DataFrame:
+                      window_seconds: int = P.RATE_LIMIT_WINDOW_SECONDS,
+                      watermark: str = "1 minute") -> DataFrame:
     """R1 (stream): per-client state = the admitted timestamps still inside
     the window (at most `limit` of them), kept by Spark's state store and
     checkpointed with the query.  Within a micro-batch a client's requests
     are taken in (ts, event_id) order; requests are assumed to arrive in
-    time order across micro-batches (a request log is appended in order)."""
-    return requests.groupBy("client").applyInPandasWithState(
-        _limiter(limit, window_seconds), RATE_OUT, RATE_STATE, "append", GroupStateTimeout.NoTimeout)
+    time order across micro-batches (a request log is appended in order).
+    An event-time timeout at the end of the client's window removes the
+    state of idle clients, so the store holds only recently active ones."""
+    return requests.withWatermark("ts", watermark).groupBy("client").applyInPandasWithState(
+        _limiter(limit, window_seconds), RATE_OUT, RATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
