@@ -101,6 +101,9 @@ def index_stream(spark: SparkSession, chunks_dir: str, index_dir: str, embedder:
         emb = V.embed_batch(batch, embedder, text_col="chunk_text")
         existing = None
         if os.path.exists(index_dir) and any(n.startswith("tenant_id=") for n in os.listdir(index_dir)):
+            # Only max(position) per tenant partition is needed: with aggregate
+            # pushdown Parquet answers it from file footers, not by scanning.
+            batch.sparkSession.conf.set("spark.sql.parquet.aggregatePushdown", "true")
             existing = batch.sparkSession.read.parquet(index_dir).select("tenant_id", "position")
         idx = V.build_index(emb, existing=existing)
         idx.write.mode("append").partitionBy("tenant_id").parquet(index_dir)
