@@ -94,3 +94,17 @@ def test_knn_without_tenant_blockwise_equals_single_block(spark):
         .select("query_id", "vec_id", "rank")
     assert a.count() == q.count() * 4
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_build_index_continues_positions(spark):
+    from quire.operators import chunking as K
+    ch = K.chunk_table(tables.documents(spark, SF_SMALL), keep_cols=["tenant_id"])
+    emb = V.embed_batch(ch, V.HashEmbedder(8), text_col="chunk_text")
+    a = emb.filter(F.col("chunk_index") == 0)
+    b = emb.filter(F.col("chunk_index") > 0)
+    ia = V.build_index(a).checkpoint()
+    ib = V.build_index(b, existing=ia.select("tenant_id", "position"))
+    both = ia.unionByName(ib)
+    per = both.groupBy("tenant_id").agg(F.count("*").alias("n"), F.max("position").alias("mx"),
+                                         F.countDistinct("position").alias("d"), F.min("position").alias("mn")).collect()
+    assert all(r.n == r.mx + 1 == r.d and r.mn == 0 for r in per)
