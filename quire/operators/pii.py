@@ -72,10 +72,11 @@ def pattern_spans(text: Column, pii_type: str, py_pattern: str, order: int,
 
 
 def _keyed(spans: Column, base_order: int) -> Column:
-    """Wrap externally supplied spans (P2) with the P3 sort key."""
-    return F.transform(spans, lambda s: F.struct(
+    """Wrap externally supplied spans (P2) with the P3 sort key; their input
+    position is part of the key, so ties keep input order (a stable sort)."""
+    return F.transform(spans, lambda s, i: F.struct(
         s["start"].alias("start"), (-s["confidence"]).alias("neg_conf"),
-        F.lit(base_order).alias("ord"), s.alias("span")))
+        (F.lit(base_order) + i).alias("ord"), s.alias("span")))
 
 
 KEYED_TYPE = f"array<struct<start:int,neg_conf:double,ord:int,span:{SPAN_TYPE}>>"

@@ -135,3 +135,38 @@ def test_examples_source(spark, scratch):
     ex = read_pii_examples(spark, p).withColumn("doc_id", F.monotonically_increasing_id())
     rec = pii.detector_recall(ex, "expected_types").collect()
     assert {r.pii_type: r.recall for r in rec} == {"email": 1.0, "phone": 1.0}
+
+
+def test_overlap_resolution_randomised(spark):
+    """P3 against a plain-Python statement of the rule, on random regex +
+    entity spans with many overlaps (ties in start broken by confidence,
+    then pattern order)."""
+    import random
+    random.seed(11)
+    pieces = ["123-45-6789", "555-123-4567", "a.b@x.com", "4532 1234 5678 9012", "01/02/1990", "90210",
+              "12345-6789", "word", " ", ", "]
+    rows = []
+    for i in range(300):
+        text = "".join(random.choice(pieces) for _ in range(random.randint(1, 12)))
+        ents = []
+        for _ in range(random.randint(0, 4)):
+            a = random.randint(0, max(0, len(text) - 1))
+            b = random.randint(a + 1, len(text)) if len(text) > a else a + 1
+            ents.append(("person", a, b, text[a:b], 0.7, "spacy"))
+        rows.append((i, text, ents))
+    df = spark.createDataFrame(rows, "id long, text string, ents array<struct<type:string,start:int,end:int,"
+                                     "text:string,confidence:double,method:string>>")
+    got = {r.id: [(s.type, s.start, s.end) for s in r.s] for r in
+           df.select("id", pii.detect_pii(F.col("text"), extra_spans=F.col("ents")).alias("s")).collect()}
+    for i, text, ents in rows:
+        cand = [dict(type=t, start=a, end=b, confidence=c, order=o)
+                for o, t, a, b, c in [(k, s["type"], s["start"], s["end"], s["confidence"])
+                                      for k, s in enumerate(R.detect_all(text))]]
+        cand += [dict(type=t, start=a, end=b, confidence=c, order=100 + j)
+                 for j, (t, a, b, _, c, _) in enumerate(ents)]
+        cand.sort(key=lambda s: (s["start"], -s["confidence"], s["order"]))
+        kept = []
+        for s in cand:
+            if not any(s["start"] < k["end"] and s["end"] > k["start"] for k in kept):
+                kept.append(s)
+        assert got[i] == [(k["type"], k["start"], k["end"]) for k in sorted(kept, key=lambda s: s["start"])], text
