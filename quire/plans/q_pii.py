@@ -52,6 +52,15 @@ def p1_pages(spark, sf):
     return t.select("page_id", F.col("type").alias("pii_type"), "start", "end", F.col("text").alias("span_text"))
 
 
+@query("p1_pii_spans_conversations", "P1, P3 on conversation turns",
+       f"WITH c AS (SELECT conv_id, turn, {resolve(candidates('text'))} AS kept FROM conversations), "
+       f"s AS (SELECT conv_id, turn, unnest(kept) AS s FROM c) "
+       f"SELECT conv_id, turn, s.type AS pii_type, s.start AS start, s.\"end\" AS \"end\", s.text AS span_text FROM s")
+def p1_conv(spark, sf):
+    t = pii.span_table(tables.load(spark, sf, "conversations"), ["conv_id", "turn"])
+    return t.select("conv_id", "turn", F.col("type").alias("pii_type"), "start", "end", F.col("text").alias("span_text"))
+
+
 @query("p4_mask_redaction", "P1, P3, P4",
        _RESOLVED + f" SELECT doc_id, {rebuild('text', 'kept', lambda s: mask_label(s + '.type'))} AS redacted_text, "
        f"len(kept) AS n_redactions FROM c")
