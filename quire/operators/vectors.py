@@ -156,7 +156,8 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None
         query_id: str = "query_id", vector_id: str = "vector_id", index_vec: str = "embedding",
         query_vec: str = "query_embedding", metric: str = "l2", max_broadcast_queries: int = 50_000,
         extra_cols: list[str] | None = None, method: str = "auto",
-        max_broadcast_bytes: int = 64 * 1024 * 1024, query_dim: int | None = None) -> DataFrame:
+        max_broadcast_bytes: int = 64 * 1024 * 1024, query_dim: int | None = None,
+        carry_cols: list[str] | None = None) -> DataFrame:
     """The k nearest vectors of each query inside its tenant.
 
     Score is squared L2 (ascending), as the flat index of the reference;
@@ -173,7 +174,9 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None
     is joined to the index on the tenant and distances are built-in
     higher-order functions; used when the batch is too large to broadcast.
     Either way the index is never shuffled, and `row_number() <= k` over the
-    candidates is planned as a partial WindowGroupLimit before the exchange."""
+    candidates is planned as a partial WindowGroupLimit before the exchange.
+    `carry_cols` (small scalar index columns, e.g. a chunk's document and
+    offsets) ride along with the candidates on the arrow path."""
     if not 1 <= k:
         raise ValueError("k must be positive")
     if metric not in ("l2", "cosine"):
@@ -206,7 +209,8 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None
     if method == "arrow" and small:
         if rows is None:
             raise ValueError("extra_cols need method='join'")
-        scored = _knn_arrow(index, q, rows, k, tenant_col, query_id, vector_id, index_vec, query_vec, metric)
+        scored = _knn_arrow(index, q, rows, k, tenant_col, query_id, vector_id, index_vec, query_vec, metric,
+                            carry_cols or [])
     elif method == "arrow" and tenant_col:
         raise ValueError("query batch too large to broadcast; use method='join'")
     elif not tenant_col:
@@ -238,7 +242,7 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _knn_arrow(index, q, rows, k, tenant_col, query_id, vector_id, index_vec, query_vec, metric):
+def _knn_arrow(index, q, rows, k, tenant_col, query_id, vector_id, index_vec, query_vec, metric, carry=()):
     import numpy as np
 
     spark = index.sparkSession
@@ -254,8 +258,10 @@ def _knn_arrow(index, q, rows, k, tenant_col, query_id, vector_id, index_vec, qu
     qid_type = q.schema[query_id].dataType.simpleString()
     vid_type = index.schema[vector_id].dataType.simpleString()
     t_type = index.schema[tenant_col].dataType.simpleString() if tenant_col else None
+    carry = list(carry)
     out_schema = (f"{tenant_col} {t_type}, " if tenant_col else "") + \
-        f"{query_id} {qid_type}, {vector_id} {vid_type}, score double"
+        f"{query_id} {qid_type}, {vector_id} {vid_type}, score double" + \
+        "".join(f", {c} {index.schema[c].dataType.simpleString()}" for c in carry)
 
     def scores(Q, V):
         if metric == "l2":
@@ -281,17 +287,20 @@ def _knn_arrow(index, q, rows, k, tenant_col, query_id, vector_id, index_vec, qu
                 D = scores(Q, V)
                 cand = pd.DataFrame({query_id: np.repeat(np.asarray(ids, dtype=object), V.shape[0]),
                                      vector_id: np.tile(g[vector_id].to_numpy(dtype=object), len(ids)),
-                                     "score": D.ravel()})
+                                     "score": D.ravel(),
+                                     **{c: np.tile(g[c].to_numpy(dtype=object), len(ids)) for c in carry}})
                 if t in best:
                     cand = pd.concat([best[t], cand], ignore_index=True)
                 cand = cand.sort_values([query_id, "score", vector_id], kind="mergesort")
                 best[t] = cand.groupby(query_id, sort=False).head(k)
         for t, b in best.items():
             if tenant_col:
-                b = b.assign(**{tenant_col: t})[[tenant_col, query_id, vector_id, "score"]]
+                b = b.assign(**{tenant_col: t})[[tenant_col, query_id, vector_id, "score", *carry]]
+            else:
+                b = b[[query_id, vector_id, "score", *carry]]
             yield b
 
-    cols = [vector_id, index_vec] + ([tenant_col] if tenant_col else [])
+    cols = [vector_id, index_vec] + ([tenant_col] if tenant_col else []) + carry
     return index.select(*cols).mapInPandas(run, out_schema)
 
 

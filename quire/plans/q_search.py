@@ -63,8 +63,8 @@ def q1(spark, sf):
     docs = _seeded(spark, sf)
     ch = K.chunk_table(docs, keep_cols=["tenant_id"])
     emb = V.embed_batch(ch, V.HashEmbedder(DIM), text_col="chunk_text")
-    index = emb.select("tenant_id", F.col("chunk_id").alias("vector_id"), "embedding")
-    res = S.secure_search(req, perms, index, ch, V.HashEmbedder(DIM), k=K_TOP)
+    index = emb.select("tenant_id", F.col("chunk_id").alias("vector_id"), "embedding", "document_id", "start", "end")
+    res = S.secure_search_offsets(req, perms, index, docs.select("doc_id", "text"), V.HashEmbedder(DIM), k=K_TOP)
     return res.withColumn("score", F.round("score", 6))
 
 
