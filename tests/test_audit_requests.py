@@ -114,3 +114,15 @@ def test_strip_signature_u4(spark):
     stripped = AU.strip_signature(sealed)
     assert "signature" not in stripped.columns and "signature_algorithm" not in stripped.columns
     assert "audit_id" in stripped.columns
+
+
+def test_limit_counts_blank_lines_o4(spark):
+    ev = AU.events_from_requests(tables.load(spark, SF_SMALL, "events")).limit(4)
+    good = [r.line for r in AU.log_line(AU.seal(ev, KEY)).collect()]
+    lines = ["", "  ", good[0], good[1], good[2], good[3]]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
+    v = AU.verify(df, KEY)
+    r = AU.integrity_report(v, limit=3, order_col="line_no").first()
+    assert (r.total_events, r.valid_signatures) == (1, 1)  # two blanks use up the limit
+    r = AU.integrity_report(v).first()
+    assert (r.total_events, r.valid_signatures) == (4, 4)
