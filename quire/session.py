@@ -76,7 +76,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cutting lineage.
 
     The cluster names it in ``spark.checkpoint.dir``; we only pick a local
-    one when it is unset (tests on ``local[*]``)."""
+    one when it is unset and the master is ``local[*]`` (tests).  On a
+    cluster without the setting this raises instead of using a machine-local
+    folder."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
@@ -85,6 +87,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return str(configured)
+    if not sc.master.startswith("local"):
+        # A machine-local folder would not survive the loss of an executor
+        # (or be visible to the others): the cluster must name a shared one.
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store)")
     local = tempfile.mkdtemp(prefix="quire-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return local
