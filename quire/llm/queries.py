@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe_codec, packing
+from quire.llm import bpe_codec, jaccard_join, packing
 from quire.llm.common import read_table
 
 
@@ -16,10 +16,14 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_codec, op9_packing)}
+QUERIES = {f.__name__: f for f in (op4_bpe_codec, op8_jaccard_join, op9_packing)}
 
 ORACLES: dict[str, str] = {}
