@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe_codec, jaccard_join, packing
+from quire.llm import bpe_codec, jaccard_join, packing, quality_rules, sharding
 from quire.llm.common import read_table
 
 
@@ -16,6 +16,17 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = quality_rules.count_table(read_table(spark, sf_dir, "documents"))
+    cut = quality_rules.learn_cutoffs(counts, read_table(spark, sf_dir, "labels"))
+    return quality_rules.judge(counts, cut).select(
+        "doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "base_failed", "kept")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -24,6 +35,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_codec, op8_jaccard_join, op9_packing)}
+QUERIES = {f.__name__: f for f in (op4_bpe_codec, op5_quality_rules, op6_sharding, op8_jaccard_join, op9_packing)}
 
 ORACLES: dict[str, str] = {}
