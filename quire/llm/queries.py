@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe_codec, jaccard_join, packing, quality_rules, sharding
+from quire.llm import bpe_codec, jaccard_join, language_id, packing, quality_cnn, quality_rules, sharding
 from quire.llm.common import read_table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digest(read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_cnn.score(docs, quality_cnn.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -35,6 +45,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_codec, op5_quality_rules, op6_sharding, op8_jaccard_join, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_bpe_codec, op5_quality_rules, op6_sharding, op7_quality_cnn, op8_jaccard_join, op9_packing)}
 
 ORACLES: dict[str, str] = {}
