@@ -303,3 +303,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of_node = nodes.join(labels, "rep", "left") \
         .select("node", F.coalesce("component", "rep").alias("component_id"))
     return sizes.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, **bounds) -> DataFrame:
+    """Rows of `df` that stand for their group: the one with the smallest id
+    and every row without shingles or id.  Rows that repeat a doc_id are one
+    document and stay or go together.
+
+    Only ids that go are joined back, and they are far fewer than the rows."""
+    groups = jaccard_components(df, id_col, text_col, words, percent, **bounds)
+    gone = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti").select(*df.columns)

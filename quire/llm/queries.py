@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe_codec, jaccard_join, language_id, packing, quality_cnn, quality_rules, sharding
+from quire.llm import (bpe_codec, html_extract, jaccard_join, language_id, license_scan, packing, quality_cnn, quality_rules, sharding,
+                       topk_search)
 from quire.llm.common import read_table
 
 
@@ -17,6 +18,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digest(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +54,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_bpe_codec, op5_quality_rules, op6_sharding, op7_quality_cnn, op8_jaccard_join, op9_packing)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_html_extract, op3_topk_search, op4_bpe_codec, op5_quality_rules, op6_sharding, op7_quality_cnn,
+    op8_jaccard_join, op9_packing, op10_license_scan, pipeline)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_topk_search": topk_search.ORACLE}
