@@ -44,8 +44,12 @@ from quire.llm.components import components
 BATCH_BYTES = 2 << 20
 FLUSH_ROWS = 1 << 19
 CLASS_RATIO = 1.25
-MAX_GROUP = 5000
-MAX_ELEMENTS = 4_000_000
+#: Shingles that many texts share do not make regions (at most so many).
+COMMON = 1 << 16
+SEEN_TOGETHER = 3
+COUNTED_TOGETHER = 1 << 22
+MAX_GROUP = 4000
+MAX_ELEMENTS = 2_000_000
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -121,38 +125,74 @@ def _class_bounds(n: int) -> tuple[int, int, int]:
     return c, int(np.ceil(CLASS_RATIO ** c - 1e-9)), int(np.ceil(CLASS_RATIO ** (c + 1) - 1e-9)) - 1
 
 
-def region_keys(s: np.ndarray, percent: int) -> np.ndarray:
+def _range_keys(s: np.ndarray, m: int, size_class: int, tag: int, with_gaps: bool) -> np.ndarray:
+    """Keys of the non-empty hash ranges of a set (`with_gaps`: of the empty
+    ones too)."""
+    part = ((s >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    sums = np.add.reduceat(_mix(s), first) if s.size else np.empty(0, np.uint64)
+    own = part[first]
+    if with_gaps:
+        gaps = np.setdiff1d(np.arange(m), own)
+        own, sums = np.concatenate([own, gaps]), np.concatenate([sums, np.zeros(gaps.size, np.uint64)])
+    return _mix(_mix(sums) + own.astype(np.uint64) * _U(0xA24BAED4963EE407) + _U((size_class << 40) + (tag << 56)))
+
+
+def region_keys(s: np.ndarray, percent: int, common: np.ndarray = np.empty(0, np.uint64)) -> np.ndarray:
     """Keys of the regions of a set: for its own size class, and for each
-    lower class that a smaller partner could have."""
+    lower class that a smaller partner could have.
+
+    The ranges hold the set without the `common` shingles: linked sets differ
+    in no more of these, so with `spare` ranges above the number of possible
+    differences, some non-empty range is equal whenever one of the two sets
+    leaves at most `spare` ranges empty.  A set that leaves more empty has the
+    ranges of its whole content as regions as well, where empty ranges count if
+    there are still too many: two such sets meet there."""
     n, keys = s.size, []
+    if common.size and n:
+        at = np.searchsorted(common, s)
+        rare = s[common[np.minimum(at, common.size - 1)] != s]
+    else:
+        rare = s
     lowest = -(-n * percent // 100)  # smallest partner
     top = n
     while top >= max(lowest, 1):
         c, low, high = _class_bounds(top)
         differ = high * (100 - percent) // percent
         if differ:
-            spare = int(2 * (differ + 1) * np.exp(-low / (differ + 1)))
+            spare = int(2 * (differ + 1) * np.exp(-low / (differ + 1))) + 2
             m = differ + 1 + spare
-            part = ((s >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-            first = np.flatnonzero(np.diff(part, prepend=-1))
-            sums = np.add.reduceat(_mix(s), first)
-            own = part[first]
-            if m - own.size > spare:  # too many empty ranges to ignore them
-                gaps = np.setdiff1d(np.arange(m), own)
-                own, sums = np.concatenate([own, gaps]), np.concatenate([sums, np.zeros(gaps.size, np.uint64)])
-            keys.append(_mix(_mix(sums) + own.astype(np.uint64) * _U(0xA24BAED4963EE407) + _U(c << 40)))
+            own = _range_keys(rare, m, c, 1, False)
+            keys.append(own)
+            if m - own.size > spare:
+                whole = _range_keys(s, m, c, 2, False)
+                keys.append(whole if m - whole.size <= spare else _range_keys(s, m, c, 2, True))
         top = low - 1
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
 def _sets_of(k: int):
+    """Rows of sets, and (doc_id null) counts of shingles that a task sees in
+    several sets at once."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        u, count = np.unique(np.concatenate(held), return_counts=True)
+        u, count = u[count >= SEEN_TOGETHER], count[count >= SEEN_TOGETHER]
+        return pa.RecordBatch.from_arrays([pa.nulls(u.size, pa.int64()), pa.array(count.astype(np.int64)), pa.array(u.view(np.int64))], schema=schema)
+
     def run(batches):
+        held: list[np.ndarray] = []
         for batch in batches_of(batches, "text", BATCH_BYTES):
             sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), k)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.size for s in sets], pa.int64()),
                                               pa.array([_node(s) if s.size else None for s in sets], pa.int64())], schema=schema)
+            held += sets
+            if sum(s.size for s in held) >= COUNTED_TOGETHER:
+                yield often(held)
+                held = []
+        if held:
+            yield often(held)
     return run
 
 
@@ -169,14 +209,14 @@ def _thin(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(route), pa.array(a), pa.array(b)], names=["key", "a", "b"])
 
 
-def _keys_of(k: int, percent: int):
+def _keys_of(k: int, percent: int, common: np.ndarray):
     def run(batches):
         keys: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         held = 0
         for batch in batches_of(batches, "text", BATCH_BYTES):
             for s in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), k):
-                if s.size and (own := region_keys(s, percent)).size:
+                if s.size and (own := region_keys(s, percent, common)).size:
                     keys.append(own)
                     nodes.append(np.full(own.size, _node(s), dtype=np.int64))
                     held += own.size
@@ -281,9 +321,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, n_shingles, component_id) of every row: component_id is the
     smallest doc_id reachable by links (J >= percent / 100)."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    sizes = cut_lineage(docs.mapInArrow(_sets_of(words), "doc_id long, n_shingles long, node long"))
+    seen = cut_lineage(docs.mapInArrow(_sets_of(words), "doc_id long, n_shingles long, node long"))
+    sizes = seen.where("doc_id is not null")
+    often = seen.where("doc_id is null").groupBy("node").agg(F.sum("n_shingles").alias("n")) \
+        .orderBy(F.desc("n"), "node").limit(COMMON).select("node")  # a fixed bound; any choice gives the same result
+    common = np.sort(np.array([r["node"] for r in often.collect()], dtype=np.int64).view(np.uint64))
     nodes = sizes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    keyed = docs.mapInArrow(_keys_of(words, percent), "key long, a long, b long").repartition("key").sortWithinPartitions("key", "a")
+    keyed = docs.mapInArrow(_keys_of(words, percent, common), "key long, a long, b long").repartition("key").sortWithinPartitions("key", "a")
     groups = components(keyed.mapInArrow(_edges_of_runs, "a long, b long"))  # candidate groups of nodes
     members = groups.join(nodes, "node").select("component", "rep", "n")
     load = members.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("elements"))
