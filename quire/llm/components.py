@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import cut_lineage
 
 
+#: Partitions whose forests one task joins.
+MERGED = 4
+
+
 class Forest:
     """Union-find over the nodes one task sees; the root is the smallest."""
 
@@ -52,6 +56,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     smallest neighbour (large star, then small star); minima are combined
     before the shuffle, and each round's edges are checkpointed."""
     e = cut_lineage(edges.mapInArrow(forest_edges, "a long, b long"))
+    # neighbouring partitions' forests share nodes: joining a few of them first
+    # leaves fewer edges for the rounds, which shuffle
+    few = max(1, -(-e.rdd.getNumPartitions() // MERGED))
+    e = cut_lineage(e.coalesce(few).mapInArrow(forest_edges, "a long, b long"))
     for _ in range(max_rounds):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
