@@ -92,7 +92,6 @@ UPLOAD_MIME_TYPES = ["application/pdf", "text/plain",
                      "application/vnd.openxmlformats-officedocument.wordprocessingml.document"]
 TENANT_ID_PATTERN = r"^[a-zA-Z0-9_-]{3,50}$"
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-UUID_PATTERN = r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
 FILENAME_UNSAFE = r'[<>:"/\\|?*]'
 FILENAME_CONTROL = r"[\x00-\x1f\x7f-\x9f]"
 MAX_UPLOAD_MB = 50

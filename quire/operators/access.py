@@ -172,10 +172,13 @@ def fk_orphans(children: list[tuple[str, DataFrame, list[str], DataFrame, list[s
 
 
 def update_status(docs: DataFrame, updates: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """M1: apply status updates (id, status, ts); `completed` stamps
-    processed_at; documents without an update keep `processing`."""
-    u = updates.select(id_col, F.col("status").alias("_new"), F.col("ts").alias("_ts"))
-    j = docs.join(u, id_col, "left")
-    status = F.coalesce("_new", F.lit("processing"))
-    return j.withColumn("status", status).withColumn(
-        "processed_at", F.when(status == "completed", F.col("_ts"))).drop("_new", "_ts")
+    """M1: apply status updates (id, status, ts).  The last update of a
+    document wins (by ts, then status); `completed` stamps processed_at.  A
+    document without an update keeps its status and stamp (`processing` and
+    none where the table has no such columns)."""
+    last = updates.groupBy(id_col).agg(F.max(F.struct("ts", "status")).alias("_u"))
+    status = F.col("status") if "status" in docs.columns else F.lit("processing")
+    stamp = F.col("processed_at") if "processed_at" in docs.columns else F.lit(None).cast("timestamp")
+    return docs.join(last, id_col, "left") \
+        .withColumn("processed_at", F.when(F.col("_u.status") == "completed", F.col("_u.ts")).otherwise(stamp)) \
+        .withColumn("status", F.coalesce("_u.status", status)).drop("_u")

@@ -8,6 +8,9 @@ ordinals (W1, array position) with built-in expressions.
 
 from __future__ import annotations
 
+import bisect
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,35 +23,46 @@ from quire.functions.text import col_of
 CHUNK_TYPE = "array<struct<start:int,end:int,text:string>>"
 
 
+def _boundaries(text: str) -> list[tuple[int, list[int]]]:
+    """Start positions of every sentence ending, grouped by its length."""
+    found: dict[int, list[int]] = {}
+    for ending in P.CHUNK_SENTENCE_ENDINGS:
+        found.setdefault(len(ending), []).extend(m.start() for m in re.finditer(f"(?={re.escape(ending)})", text))
+    return [(width, sorted(at)) for width, at in found.items()]
+
+
+def _sentence_cut(boundaries, lower: int, upper: int) -> int | None:
+    """End after the last sentence ending that lies whole before `upper` and
+    starts above `lower`."""
+    last = -1
+    for width, at in boundaries:
+        i = bisect.bisect_right(at, upper - width)
+        if i:
+            last = max(last, at[i - 1])
+    return last + 1 if last > lower else None
+
+
 def _scan(text: str, size: int, overlap: int):
-    """The reference loop on one text: (start, end, stripped text) of every
-    non-blank chunk.  Python strings index in O(1), so this is linear."""
-    out = []
-    if not text or not text.strip():
-        return out
-    n = len(text)
-    start = 0
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            ws = max(start, end - P.CHUNK_BOUNDARY_WINDOW)
-            window = text[ws:end]
-            half = len(window) // 2
-            best = -1
-            for ending in P.CHUNK_SENTENCE_ENDINGS:
-                pos = window.rfind(ending)
-                if pos > best and pos > half:
-                    best = pos
-            if best != -1:
-                end = ws + best + 1
-        piece = text[start:end].strip()
-        if piece:
+    """(start, end, stripped text) of every non-blank chunk.
+
+    All sentence endings are located once; each chunk's end is then a
+    bisection: the last ending in the second half of the look-back window, or
+    the size limit.  Linear in the text plus the number of chunks."""
+    if not text or text.isspace():
+        return []
+    ends, out, start = _boundaries(text), [], 0
+    for _ in range(len(text)):
+        limit = start + size
+        if limit < len(text):
+            window = max(start, limit - P.CHUNK_BOUNDARY_WINDOW)
+            end = _sentence_cut(ends, window + (limit - window) // 2, limit) or limit
+        else:
+            end = len(text)
+        if piece := text[start:end].strip():
             out.append({"start": start, "end": end, "text": piece})
-        if end >= n:
+        if end == len(text):
             break
-        start = max(start + 1, end - overlap)
-        if start >= end:
-            start = end
+        start = min(end, max(start + 1, end - overlap))
     return out
 
 

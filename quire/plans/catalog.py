@@ -36,10 +36,4 @@ def query(name: str, ops: str, oracle: str | None = None):
 def load_all() -> dict[str, Query]:
     # Importing the plan modules registers their queries.
     from quire.plans import (q_text, q_pii, q_chunks, q_vectors, q_access, q_audit, q_gate, q_requests, q_search)  # noqa: F401
-    for mod in ("q_vectors", "q_access", "q_audit", "q_gate", "q_search", "q_requests", "q_streaming"):
-        try:
-            __import__(f"quire.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"quire.plans.{mod}":
-                raise
     return REGISTRY

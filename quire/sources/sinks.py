@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as TX
+from quire.operators import chunking as K
 from quire.operators import gate as G
+from quire.operators import vectors as V
 
 
 def read_raw_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -47,30 +49,63 @@ def write_documents(meta: DataFrame, path: str, mode: str = "append") -> None:
     meta.write.mode(mode).partitionBy("tenant_id").parquet(path)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunk table; chunk ids are unique (dropDuplicates before the
-    append; the id is content-derived, so re-ingest is idempotent)."""
-    chunks.dropDuplicates(["chunk_id"]).write.mode("append").partitionBy("tenant_id").parquet(path)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its own file system (any URI)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
 
+def delete_paths(spark: SparkSession, pattern: str) -> None:
+    """Delete every path that matches a Hadoop glob pattern."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(p) or []:
+        fs.delete(status.getPath(), True)
 
-def replace_tenant_index(index: DataFrame, path: str) -> None:
-    """Overwrite only the tenants present in `index` (dynamic
-    partition overwrite); other tenants' vectors are untouched."""
-    spark = index.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        index.write.mode("overwrite").partitionBy("tenant_id").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Append to the chunk table; chunk ids are unique across runs.
+    The id is content-derived, so chunks already in the table are left out
+    (anti join on the id) and ingesting twice changes nothing."""
+    new = chunks.dropDuplicates(["chunk_id"])
+    spark = chunks.sparkSession
+    if path_exists(spark, path):
+        new = new.join(spark.read.parquet(path).select("chunk_id"), "chunk_id", "left_anti").select(*chunks.columns)
+    new.write.mode("append").partitionBy("tenant_id").parquet(path)
+
+
+def replace_tenant_index(index: DataFrame, path: str, tenants: list[str] | None = None) -> None:
+    """Replace the partitions of the tenants present in `index`
+    (dynamic partition overwrite); others are untouched.  `tenants` names
+    those being replaced: one that has no rows any more loses its old
+    vectors instead of staying searchable."""
+    index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").parquet(path)
+    if tenants:
+        spark = index.sparkSession
+        present = {r["tenant_id"] for r in index.where(F.col("tenant_id").isin(tenants)).select("tenant_id").distinct().collect()}
+        for t in set(tenants) - present:
+            delete_tenant_index(spark, path, t)
+
+
+def reindex_tenant(docs: DataFrame, path: str, tenant_id: str, embedder: V.Embedder, version: str = "v1") -> dict:
+    """V8: rebuild one tenant's index from its documents (doc_id, tenant_id,
+    text).  A tenant without documents ends with an empty index and says so."""
+    own = docs.where(F.col("tenant_id") == tenant_id)
+    if own.limit(1).count() == 0:
+        delete_tenant_index(docs.sparkSession, path, tenant_id)
+        return {"tenant_id": tenant_id, "status": "no_documents", "vectors": 0}
+    chunks = K.chunk_table(own, keep_cols=["tenant_id"])
+    index = V.build_index(V.embed_batch(chunks, embedder, text_col="chunk_text")).withColumn("embedding_version", F.lit(version))
+    replace_tenant_index(index, path, [tenant_id])
+    spark = docs.sparkSession
+    n = spark.read.parquet(path).where(F.col("tenant_id") == tenant_id).count() if path_exists(spark, path) else 0
+    return {"tenant_id": tenant_id, "status": "completed", "vectors": n}
 
 
 def delete_tenant_index(spark: SparkSession, path: str, tenant_id: str) -> None:
     """Delete a tenant's index partition (Hadoop FileSystem, so the
     same call works on local, HDFS or object-store paths)."""
-    jvm = spark.sparkContext._jvm
-    part = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/tenant_id={tenant_id}")
-    part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(part, True)
+    delete_paths(spark, f"{path.rstrip('/')}/tenant_id={tenant_id}")
 
 
 def read_pii_examples(spark: SparkSession, path: str) -> DataFrame:

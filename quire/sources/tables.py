@@ -14,26 +14,14 @@ from pyspark.sql import functions as F
 from quire import schemas
 
 
-SMALL_SCAN_PARTITIONS = 16
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Round-robin a scan when the session asks for it.
 
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores.
-
-    A file with one row group is read by one task, and the per-row work on
-    text (PII, chunking, hashing) is CPU-bound.  When the scan yields fewer
-    partitions than the default parallelism and at most
-    `quire.smallScanPartitions` (default 16, i.e. well under 2 GB with
-    128 MB splits), the rows are round-robin repartitioned to the default
-    parallelism; the shuffle is bounded by that size.  Larger inputs already
-    arrive in many splits and are left alone."""
-    spark = df.sparkSession
-    cap = int(spark.conf.get("quire.smallScanPartitions", str(SMALL_SCAN_PARTITIONS)))
-    target = spark.sparkContext.defaultParallelism
-    parts = df.rdd.getNumPartitions()
-    if parts < target and parts <= cap:
-        return df.repartition(target)
-    return df
+    `quire.scanPartitions` is unset by default: a scan keeps its splits at
+    every size.  A session over single-file tables of one row group (the
+    benchmark) sets it, so that CPU-bound text work is not one task."""
+    n = df.sparkSession.conf.get("quire.scanPartitions", "")
+    return df.repartition(int(n)) if n else df
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +30,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    return spread_small(reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return spread_scan(reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

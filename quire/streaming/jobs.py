@@ -9,8 +9,6 @@ the tests check that stream result = batch result.
 
 from __future__ import annotations
 
-import os
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +21,15 @@ from quire.operators import audit as AU
 from quire.operators import chunking as K
 from quire.operators import pii
 from quire.operators import vectors as V
-from quire.session import checkpoint_dir
+from quire.sources.sinks import delete_paths, path_exists
 
 
-def _ckpt(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "streams", name)
+def _ckpt(checkpoint: str | None) -> str:
+    """A stream names its own checkpoint: two streams that shared a default
+    one would take each other's progress for theirs and skip data."""
+    if not checkpoint:
+        raise ValueError("a stream needs its own checkpoint location in a shared folder")
+    return checkpoint
 
 
 def read_documents(spark: SparkSession, source_dir: str) -> DataFrame:
@@ -46,23 +48,34 @@ def ingest_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoin
     chunks = K.chunk_table(red.select("doc_id", "tenant_id", F.col("redacted").alias("text")),
                            keep_cols=["tenant_id"])
     w = (chunks.writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint or _ckpt(spark, "ingest")).partitionBy("tenant_id")
+         .option("checkpointLocation", _ckpt(checkpoint)).partitionBy("tenant_id")
          .outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
 def audit_stream(spark: SparkSession, events_dir: str, sink_dir: str, key: str, checkpoint: str | None = None,
-                 watermark: str = "1 hour", available_now: bool = True):
-    """R3 + S7: seal events as they arrive and append their JSON lines;
-    replays of the same event (same content => same audit_id, D1) within the
-    watermark are dropped, so the append is idempotent."""
+                 available_now: bool = True):
+    """R3 + S7: seal events as they arrive and append their JSON lines.
+
+    Every event is kept, however late.  An event already in the log (same
+    content => same audit_id, D1) is left out by an anti join on (day,
+    audit_id), which reads only the log's days that the batch touches.  A
+    micro-batch writes its own folder, so a replayed batch replaces what its
+    first attempt wrote.  Layout: <sink>/batch=<n>/day=<event day>/."""
     ev = spark.readStream.schema(schemas.EVENTS).parquet(events_dir)
-    sealed = AU.seal(AU.events_from_requests(ev, keep=["ts"]), key)
-    dedup = sealed.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["audit_id"])
-    lines = AU.log_line(dedup)
-    w = (lines.writeStream.format("text").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint or _ckpt(spark, "audit")).outputMode("append"))
+
+    def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        session = batch.sparkSession
+        sealed = AU.seal(AU.events_from_requests(batch, keep=["ts"]), key).withColumn("day", F.to_date("ts"))
+        new = sealed.dropDuplicates(["audit_id"])
+        if path_exists(session, sink_dir):
+            log = session.read.option("basePath", sink_dir).schema("value string, batch long, day date").text(sink_dir)
+            old = log.where(F.col("batch") != epoch_id).select("day", F.get_json_object("value", "$.audit_id").alias("audit_id"))
+            new = new.join(old, ["day", "audit_id"], "left_anti").select(*sealed.columns)
+        AU.log_line(new, keep=["day"]).write.mode("overwrite").partitionBy("day").text(f"{sink_dir.rstrip('/')}/batch={epoch_id}")
+
+    w = ev.writeStream.foreachBatch(write_batch).option("checkpointLocation", _ckpt(checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
@@ -83,7 +96,7 @@ def activity_stream(spark: SparkSession, events_dir: str, sink_dir: str, checkpo
     out = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                      "tenant_id", "action", "n_events")
     w = (out.writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint or _ckpt(spark, "activity")).outputMode("append"))
+         .option("checkpointLocation", _ckpt(checkpoint)).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
@@ -98,18 +111,18 @@ def index_stream(spark: SparkSession, chunks_dir: str, index_dir: str, embedder:
     src = spark.readStream.schema(chunk_schema).parquet(chunks_dir)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        session = batch.sparkSession
+        # what an earlier attempt of this batch wrote goes first
+        delete_paths(session, f"{index_dir.rstrip('/')}/tenant_id=*/epoch={epoch_id}")
         emb = V.embed_batch(batch, embedder, text_col="chunk_text")
         existing = None
-        if os.path.exists(index_dir) and any(n.startswith("tenant_id=") for n in os.listdir(index_dir)):
-            # Only max(position) per tenant partition is needed: with aggregate
-            # pushdown Parquet answers it from file footers, not by scanning.
-            batch.sparkSession.conf.set("spark.sql.parquet.aggregatePushdown", "true")
-            existing = batch.sparkSession.read.parquet(index_dir).select("tenant_id", "position")
-        idx = V.build_index(emb, existing=existing)
-        idx.write.mode("append").partitionBy("tenant_id").parquet(index_dir)
+        if path_exists(session, index_dir) and path_exists(session, f"{index_dir.rstrip('/')}/_SUCCESS"):
+            existing = session.read.parquet(index_dir).select("tenant_id", "position")
+        V.build_index(emb, existing=existing).withColumn("epoch", F.lit(epoch_id).cast("long")) \
+            .write.mode("append").partitionBy("tenant_id", "epoch").parquet(index_dir)
 
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation",
-                                                         checkpoint or _ckpt(spark, "index"))
+                                                         _ckpt(checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
@@ -124,11 +137,6 @@ def _limiter(limit: int, window_seconds: int):
     width = window_seconds * 1_000_000
 
     def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            # The watermark passed the end of this client's window: its
-            # admitted set is empty by now, so the state is dropped.
-            state.remove()
-            return
         hist = list(state.get[0]) if state.exists else []
         rows = [pdf for pdf in pdfs]
         if not rows:
@@ -144,22 +152,19 @@ def _limiter(limit: int, window_seconds: int):
             out_adm.append(ok)
             out_rem.append(max(0, limit - len(hist)) if ok else 0)
         state.update((hist,))
-        if hist:
-            state.setTimeoutTimestamp((hist[-1] + width) // 1000 + 1)
         yield pd.DataFrame({"client": df["client"].values, "event_id": df["event_id"].values,
                             "ts": df["ts"].values, "admitted": out_adm, "remaining": out_rem})
     return fn
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = P.RATE_LIMIT_PER_MINUTE,
-                      window_seconds: int = P.RATE_LIMIT_WINDOW_SECONDS,
-                      watermark: str = "1 minute") -> DataFrame:
+                      window_seconds: int = P.RATE_LIMIT_WINDOW_SECONDS) -> DataFrame:
     """R1 (stream): per-client state = the admitted timestamps still inside
     the window (at most `limit` of them), kept by Spark's state store and
     checkpointed with the query.  Within a micro-batch a client's requests
-    are taken in (ts, event_id) order; requests are assumed to arrive in
-    time order across micro-batches (a request log is appended in order).
-    An event-time timeout at the end of the client's window removes the
-    state of idle clients, so the store holds only recently active ones."""
-    return requests.withWatermark("ts", watermark).groupBy("client").applyInPandasWithState(
-        _limiter(limit, window_seconds), RATE_OUT, RATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    are taken in (ts, event_id) order.  There is no watermark, so a late
+    request is decided like any other, against the state its client has by
+    then.  An idle client keeps at most `limit` times in the store: an
+    event-time timeout would need a watermark, which drops late requests."""
+    return requests.groupBy("client").applyInPandasWithState(
+        _limiter(limit, window_seconds), RATE_OUT, RATE_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -126,3 +126,19 @@ def test_limit_counts_blank_lines_o4(spark):
     assert (r.total_events, r.valid_signatures) == (1, 1)  # two blanks use up the limit
     r = AU.integrity_report(v).first()
     assert (r.total_events, r.valid_signatures) == (4, 4)
+
+
+def test_verification_covers_the_whole_event(spark):
+    from quire.operators import audit as AU
+    ev = AU.events_from_requests(tables.load(spark, SF_SMALL, "events").limit(5))
+    lines = [r.line for r in AU.log_line(AU.seal(ev, "k")).collect()]
+    import json
+    first = json.loads(lines[0])
+    tampered = [json.dumps({**first, "extra": "x"}, separators=(",", ":")),
+                json.dumps({**first, "signature_algorithm": "none"}, separators=(",", ":")),
+                json.dumps({**first, "request_data": json.loads(first["request_data"] or "{}")}, separators=(",", ":"))]
+    df = spark.createDataFrame([(x,) for x in lines + tampered], "line string")
+    assert [r.status for r in AU.verify(df, "k").collect()] == ["valid"] * 5 + ["invalid"] * 3
+    want = spark.createDataFrame([(first["audit_id"],), ("nope",)], "audit_id string")
+    got = {r.audit_id: r.outcome for r in AU.event_by_id(spark.createDataFrame([(x,) for x in lines], "line string"), want, "k").collect()}
+    assert got == {first["audit_id"]: "found", "nope": "missing"}

@@ -58,3 +58,33 @@ def test_lookup_is_tenant_isolated(spark):
     ch = K.chunk_table(tables.documents(spark, SF_SMALL), keep_cols=["tenant_id"])
     req = ch.select("chunk_id", F.lit("some-other-tenant").alias("tenant_id"), F.lit(True).alias("include_original"))
     assert S.chunk_lookup(ch, req).count() == 0
+
+
+def test_chunks_written_twice_stay_unique(spark, scratch):
+    ch = K.chunk_table(tables.documents(spark, SF_SMALL), keep_cols=["tenant_id"])
+    out = "file://" + os.path.join(scratch, "twice")
+    sinks.write_chunks(ch, out)
+    sinks.write_chunks(ch, out)
+    assert spark.read.parquet(out).count() == ch.select("chunk_id").distinct().count()
+
+
+def test_reindex_tenant(spark, scratch):
+    docs, path = tables.documents(spark, SF_SMALL), os.path.join(scratch, "reindex")
+    emb = V.HashEmbedder(8)
+    V.build_index(V.embed_batch(K.chunk_table(docs, keep_cols=["tenant_id"]), emb, text_col="chunk_text")).write.partitionBy("tenant_id").parquet(path)
+    before = spark.read.parquet(path).count()
+    done = sinks.reindex_tenant(docs, path, "src1", emb, version="v2")
+    assert done["status"] == "completed" and spark.read.parquet(path).count() == before
+    gone = sinks.reindex_tenant(docs.where("tenant_id <> 'src1'"), path, "src1", emb)
+    assert gone["status"] == "no_documents" and spark.read.parquet(path).where("tenant_id = 'src1'").count() == 0
+    empty = V.build_index(V.embed_batch(K.chunk_table(docs.where("tenant_id = 'none'"), keep_cols=["tenant_id"]), emb, text_col="chunk_text"))
+    sinks.replace_tenant_index(empty, path, ["src2"])
+    assert spark.read.parquet(path).where("tenant_id = 'src2'").count() == 0
+
+
+def test_status_updates_keep_what_they_do_not_name(spark):
+    from quire.operators import access as A
+    docs = spark.sql("select * from values (1, 'completed', timestamp'2024-01-01'), (2, 'processing', null), (3, 'failed', null) as t(doc_id, status, processed_at)")
+    ups = spark.sql("select * from values (2, 'failed', timestamp'2024-01-02'), (2, 'completed', timestamp'2024-01-03') as t(doc_id, status, ts)")
+    got = {r.doc_id: (r.status, str(r.processed_at)[:10]) for r in A.update_status(docs, ups).collect()}
+    assert got == {1: ("completed", "2024-01-01"), 2: ("completed", "2024-01-03"), 3: ("failed", "None")}
