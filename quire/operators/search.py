@@ -143,7 +143,7 @@ def secure_search_offsets(requests: DataFrame, permissions: DataFrame, index: Da
                           embedder: V.Embedder, k: int = 5) -> DataFrame:
     """Q1 when the index rows carry their chunk's (document_id, start, end):
     the hit text is cut from the document in the JVM (J2 against the
-    document table, hits broadcast), so chunks need not be re-derived.
+    document table), so chunks need not be re-derived.
     documents: doc_id, text."""
     perms = permissions.select("user_id", "tenant_id", "permissions")
     allowed = requests.join(perms, ["user_id", "tenant_id"]) \
@@ -152,8 +152,8 @@ def secure_search_offsets(requests: DataFrame, permissions: DataFrame, index: Da
     hits = V.knn(index, q.select("query_id", "tenant_id", "query_embedding"), k=k, query_dim=embedder.dim,
                  carry_cols=["document_id", "start", "end"])
     can_view = allowed.select("query_id", F.array_contains("permissions", "pii:view").alias("can_view_pii"))
-    # hits are at most k per query: small, so the document side is not shuffled
-    j = documents.select(F.col("doc_id").alias("document_id"), "text").join(F.broadcast(hits), "document_id")
+    # no hint: hits grow with the query batch, AQE broadcasts them when their measured size allows
+    j = documents.select(F.col("doc_id").alias("document_id"), "text").join(hits, "document_id")
     j = j.withColumn("chunk_text", py_strip(F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start"))))
     j = j.join(can_view, "query_id")
     j = role_redacted(j, "chunk_text", "can_view_pii", "text_out")

@@ -176,7 +176,7 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None
     Either way the index is never shuffled, and `row_number() <= k` over the
     candidates is planned as a partial WindowGroupLimit before the exchange.
     `carry_cols` (small scalar index columns, e.g. a chunk's document and
-    offsets) ride along with the candidates on the arrow path."""
+    offsets) ride along with the candidates on every path."""
     if not 1 <= k:
         raise ValueError("k must be positive")
     if metric not in ("l2", "cosine"):
@@ -224,20 +224,21 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None
             if len(rows_b) > max_broadcast_queries:
                 raise ValueError("query ids too skewed for blockwise search")
             parts.append(_knn_arrow(index, blk, rows_b, k, None, query_id, vector_id, index_vec, query_vec,
-                                    metric))
+                                    metric, carry_cols or []))
         scored = parts[0]
         for p_ in parts[1:]:
             scored = scored.unionByName(p_)
     else:
         qb = F.broadcast(q) if small else q
-        idx = index.select(vector_id, index_vec, *extra_cols, *tcols)
+        along = list(dict.fromkeys([*extra_cols, *(carry_cols or [])]))
+        idx = index.select(vector_id, index_vec, *along, *tcols)
         pairs = idx.join(qb, tenant_col)
         if metric == "l2":
             score = squared_l2(F.col(query_vec), F.col(index_vec))
         else:
             score = F.lit(1.0) - dot(F.col(query_vec), F.col(index_vec)) / (
                 l2_norm(F.col(query_vec)) * l2_norm(F.col(index_vec)))
-        scored = pairs.select(*tcols, query_id, vector_id, *extra_cols, score.alias("score"))
+        scored = pairs.select(*tcols, query_id, vector_id, *along, score.alias("score"))
     w = Window.partitionBy(query_id).orderBy("score", vector_id)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -108,3 +108,20 @@ def test_build_index_continues_positions(spark):
     per = both.groupBy("tenant_id").agg(F.count("*").alias("n"), F.max("position").alias("mx"),
                                          F.countDistinct("position").alias("d"), F.min("position").alias("mn")).collect()
     assert all(r.n == r.mx + 1 == r.d and r.mn == 0 for r in per)
+
+
+def test_knn_keeps_columns_and_rows_beyond_the_broadcast_bound(spark):
+    import random
+
+    from quire.operators import vectors as V
+    r = random.Random(4)
+    vec = lambda: [r.uniform(-1, 1) for _ in range(6)]
+    index = spark.createDataFrame([(f"v{i}", vec(), f"t{i % 2}", i) for i in range(60)],
+                                  "vector_id string, embedding array<double>, tenant_id string, document_id long")
+    queries = spark.createDataFrame([(f"q{i}", vec(), f"t{i % 2}") for i in range(9)],
+                                    "query_id string, query_embedding array<double>, tenant_id string")
+    for tenant in ("tenant_id", None):
+        out = [V.knn(index, queries, k=3, tenant_col=tenant, max_broadcast_queries=n, carry_cols=["document_id"])
+               for n in ((50, 2) if tenant else (50, 6))]
+        rows = [sorted((x.query_id, x["rank"], x.vector_id, x.document_id, round(x.score, 9)) for x in o.collect()) for o in out]
+        assert rows[0] == rows[1] and len(rows[0]) == 27
