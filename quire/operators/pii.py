@@ -1,16 +1,15 @@
 """PII detection and redaction.
 
-Spans are found inside the JVM: for each pattern, ``regexp_extract_all``
-gives the matched values and ``split`` with the same pattern gives the text
-between them; the code-point offsets follow from prefix sums of the two
-length arrays.  Overlaps are resolved by a fold over the start-sorted span
-array (P3) and the redacted text is rebuilt from the gaps between kept spans
-(P4-P6).  Nothing is exploded before the fold, so the text is read once and
-no shuffle is needed until a report groups the results.
+Spans are found, resolved (P3) and, for redacted texts, replaced (P4-P6) in
+one Arrow pass over the row that holds the text: a Python string is cut at
+any position in constant time, so the cost is linear in the text and its
+spans.  A pure-JVM detector (`engine="jvm"`) is kept for tests.  No shuffle
+is needed until a report groups the results.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pandas as pd
@@ -117,9 +116,39 @@ def _regions(text: str, kind: str) -> list[tuple[int, int]]:
         out.append((lo, hi))
         at = text.find("@", hi)
     return out
+
 _PY_DETECTORS: dict = {}
 
 
+def _disjoint(keyed) -> list:
+    """P3 on start-sorted candidates: a span stays unless it starts before
+    the last kept one ends."""
+    kept, free_from = [], -1
+    for c in keyed:
+        if c["span"]["start"] >= free_from:
+            kept.append(c)
+            free_from = c["span"]["end"]
+    return kept
+
+
+def _stand_in(span, mode: str, salt) -> str:
+    """Replacement text of one span (the plain form of `replacement`)."""
+    if mode == "mask":
+        return P.MASK_LABELS.get(span["type"], P.MASK_DEFAULT)
+    if mode == "remove":
+        return ""
+    named = ":".join(x for x in (salt, span["text"], span["type"]) if x is not None)
+    return f"[{P.HASH_PREFIXES.get(span['type'], P.HASH_DEFAULT)}:{hashlib.sha256(named.encode()).hexdigest()[:8]}]"
+
+
+def _replaced(text: str, spans, mode: str, salt) -> str:
+    parts, at = [], 0
+    for s in spans:
+        parts += (text[at:s["start"]], _stand_in(s, mode, salt))
+        at = s["end"]
+    return "".join([*parts, text[at:]])
+
+
 def _python_detector(profile: str):
     """Arrow-batched detector running the patterns with Python's `re`, the
     engine whose semantics (Unicode \\b, \\d, \\s) the patterns are written
@@ -153,27 +182,37 @@ def _python_detector(profile: str):
         found.sort(key=lambda x: (x[0], x[1]))
         return [{"start": st, "neg_conf": -conf, "ord": o, "span": sp} for st, o, sp in found]
 
+    def keep(text):
+        return [c["span"] for c in _disjoint(scan(text))]
+
     @pandas_udf(KEYED_TYPE)
     def detect(texts: pd.Series) -> pd.Series:
         return texts.map(scan)
 
-    @pandas_udf(f"array<{KEYED_TYPE}>")
-    def detect_many(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: None if a is None else [scan(t) for t in a])
+    @pandas_udf(f"array<{SPAN_TYPE}>")
+    def detect_kept(texts: pd.Series) -> pd.Series:
+        return texts.map(keep)
 
     _PY_DETECTORS[profile] = detect
-    _PY_DETECTORS[profile + "/many"] = detect_many
+    _PY_DETECTORS[profile + "/kept"] = detect_kept
+    _PY_DETECTORS[profile + "/plain"] = keep
     return detect
 
 
-def detect_pii_many(texts: Column, profile: str = "reference") -> Column:
-    """P1 + P3 for an array of texts (e.g. the chunks of a document): array
-    of resolved span arrays, aligned with the input.  Lets per-chunk
-    redaction stay inside the document row (a Python UDF cannot be called
-    from inside a Spark lambda)."""
+def redact_many(texts: Column, mode: str = "mask", salt: Column | str = P.DEFAULT_SALT, profile: str = "reference") -> Column:
+    """`redact_text` for an array of texts (e.g. the chunks of a document):
+    array of redacted texts, aligned with the input; null for a null array."""
+    if mode not in P.REDACTION_MODES:
+        raise ValueError(f"Unknown redaction mode: {mode}")
     _python_detector(profile)
-    cands = _PY_DETECTORS[profile + "/many"](texts)
-    return F.transform(cands, lambda c: resolve_overlaps(c))
+    keep = _PY_DETECTORS[profile + "/plain"]
+
+    @pandas_udf("array<string>")
+    def cleaned(arrays: pd.Series, salts: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else [None if x is None else _replaced(x, keep(x), mode, k) for x in a]
+                          for a, k in zip(arrays, salts)], dtype=object)
+
+    return cleaned(texts, F.lit(salt) if isinstance(salt, str) else salt)
 
 
 def candidate_spans(text, profile: str = "reference", extra_spans: Column | None = None,
@@ -203,19 +242,19 @@ def resolve_overlaps(keyed_sorted: Column) -> Column:
 
     Spans arrive sorted by start and are non-empty, and kept spans are
     disjoint, so "overlaps a kept span" is "start < end of the last kept"."""
-    empty = F.array().cast(f"array<{SPAN_TYPE}>")
+    @pandas_udf(f"array<{SPAN_TYPE}>")
+    def kept(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: None if a is None else [c["span"] for c in _disjoint(a)])
 
-    def step(acc, k):
-        s = k["span"]
-        keep = (F.size(acc) == 0) | (s["start"] >= F.try_element_at(acc, F.lit(-1))["end"])
-        return F.when(keep, F.concat(acc, F.array(s))).otherwise(acc)
-
-    return F.aggregate(keyed_sorted, empty, step)
+    return kept(keyed_sorted)
 
 
 def detect_pii(text, profile: str = "reference", extra_spans: Column | None = None,
                engine: str = "python") -> Column:
     """P1 + P3: resolved spans, ascending by start."""
+    if engine == "python" and extra_spans is None:
+        _python_detector(profile)
+        return _PY_DETECTORS[profile + "/kept"](col_of(text))
     return resolve_overlaps(candidate_spans(text, profile, extra_spans, engine))
 
 
@@ -244,14 +283,29 @@ def redact(text, spans: Column, mode: str = "mask", salt: Column | str = P.DEFAU
     if mode not in P.REDACTION_MODES:
         raise ValueError(f"Unknown redaction mode: {mode}")
 
-    def piece(s, i):
-        prev_end = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(spans, i)["end"])
-        return F.concat(t.substr(prev_end + 1, s["start"] - prev_end), replacement(s, mode, salt))
+    @pandas_udf("string")
+    def rebuilt(texts: pd.Series, arrays: pd.Series, salts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else None if a is None else _replaced(x, a, mode, k)
+                          for x, a, k in zip(texts, arrays, salts)], dtype=object)
+
+    return rebuilt(t, spans, F.lit(salt) if isinstance(salt, str) else salt)
+
+
+def redact_text(text, mode: str = "mask", salt: Column | str = P.DEFAULT_SALT, profile: str = "reference") -> Column:
+    """P1 + P3 + P4-P6 in one pass: struct<text, n> of the redacted text and
+    the number of replaced spans (a null text gives null and 0)."""
+    if mode not in P.REDACTION_MODES:
+        raise ValueError(f"Unknown redaction mode: {mode}")
+    _python_detector(profile)
+    keep = _PY_DETECTORS[profile + "/plain"]
+
+    @pandas_udf("text string, n int")
+    def cleaned(texts: pd.Series, salts: pd.Series) -> pd.DataFrame:
+        kept = [keep(x) for x in texts]
+        return pd.DataFrame({"text": pd.Series([None if x is None else _replaced(x, a, mode, k) for x, a, k in zip(texts, kept, salts)], dtype=object),
+                             "n": pd.Series([len(a) for a in kept], dtype="int32")})
 
-    last_end = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))
-    body = F.array_join(F.transform(spans, piece), "")
-    tail = t.substr(last_end + 1, F.greatest(F.char_length(t) - last_end, F.lit(0)))
-    return F.when(t.isNull(), t).otherwise(F.concat(body, tail))
+    return cleaned(col_of(text), F.lit(salt) if isinstance(salt, str) else salt)
 
 
 def applied_redactions(spans: Column, mode: str = "mask", salt: Column | str = P.DEFAULT_SALT) -> Column:
@@ -285,11 +339,8 @@ def redact_table(df: DataFrame, id_cols: list[str], text_col: str = "text", mode
                  salt_col: str | None = None, profile: str = "reference") -> DataFrame:
     """P4-P6 per row: redacted text and number of redactions."""
     salt = F.col(salt_col) if salt_col else P.DEFAULT_SALT
-    d = with_pii(df.select(*id_cols, text_col, *([salt_col] if salt_col and salt_col not in id_cols else [])),
-                 text_col, profile)
-    return d.select(*id_cols,
-                    redact(F.col(text_col), F.col("pii_spans"), mode, salt).alias("redacted_text"),
-                    F.size("pii_spans").alias("n_redactions"))
+    return df.withColumn("_r", redact_text(F.col(text_col), mode, salt, profile)) \
+        .select(*id_cols, F.col("_r.text").alias("redacted_text"), F.col("_r.n").alias("n_redactions"))
 
 
 def applied_table(df: DataFrame, id_cols: list[str], text_col: str = "text", mode: str = "mask",
@@ -345,14 +396,23 @@ def pseudonym_links(df: DataFrame, tenant_col: str = "tenant_id", id_col: str =
 def overlap_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    profile: str = "reference") -> DataFrame:
     """Candidate span pairs that overlap (a.start < b.end and a.end > b.start),
-    i.e. what P3 had to resolve.  Pairs are formed inside each document's
-    start-sorted array between a span and the spans after it that start
-    before its end, so no cross product is built."""
-    d = df.select(id_col, candidate_spans(F.col(text_col), profile).alias("c"))
-    pairs = d.select(id_col, F.explode(F.flatten(F.transform("c", lambda a, i: F.transform(
-        F.filter(F.slice("c", i + 2, F.size("c") - i - 1),
-                 lambda b: b["span"]["start"] < a["span"]["end"]),
-        lambda b: F.struct(a["span"].alias("a"), b["span"].alias("b")))))).alias("p"))
+    i.e. what P3 had to resolve.  Each document's
+    start-sorted spans are swept once, keeping only those still open, so no
+    cross product is built."""
+    side = "struct<type:string,start:int,end:int>"
+
+    @pandas_udf(f"array<struct<a:{side},b:{side}>>")
+    def overlaps(arrays: pd.Series) -> pd.Series:
+        def of(cands):
+            out, open_spans = [], []
+            for s in (c["span"] for c in cands):
+                open_spans = [a for a in open_spans if a["end"] > s["start"]]
+                out += ({"a": a, "b": s} for a in open_spans)
+                open_spans.append({k: s[k] for k in ("type", "start", "end")})
+            return [{"a": p["a"], "b": {k: p["b"][k] for k in ("type", "start", "end")}} for p in out]
+        return arrays.map(of)
+
+    pairs = df.select(id_col, F.explode(overlaps(candidate_spans(F.col(text_col), profile))).alias("p"))
     return pairs.select(id_col, F.col("p.a.type").alias("type_a"), F.col("p.a.start").alias("start_a"),
                         F.col("p.a.end").alias("end_a"), F.col("p.b.type").alias("type_b"),
                         F.col("p.b.start").alias("start_b"), F.col("p.b.end").alias("end_b"))

@@ -20,9 +20,8 @@ from quire.operators import vectors as V
 def role_redacted(df: DataFrame, text_col: str, can_view_col: str, out_col: str) -> DataFrame:
     """Original text for holders of pii:view, masked (P1+P3+P4)
     otherwise; detection runs only for the rows that need it."""
-    d = df.withColumn("_spans", pii.detect_pii(F.when(~F.col(can_view_col), F.col(text_col))))
-    red = pii.redact(F.col(text_col), F.coalesce(F.col("_spans"), F.array().cast(f"array<{pii.SPAN_TYPE}>")), "mask")
-    return d.withColumn(out_col, F.when(F.col(can_view_col), F.col(text_col)).otherwise(red)).drop("_spans")
+    red = pii.redact_text(F.when(~F.col(can_view_col), F.col(text_col)))
+    return df.withColumn("_r", red).withColumn(out_col, F.when(F.col(can_view_col), F.col(text_col)).otherwise(F.col("_r.text"))).drop("_r")
 
 
 def _lit_split(s: Column, sep: str) -> Column:
@@ -54,11 +53,10 @@ def with_summary_text(df: DataFrame, text_col: str, doc_col: str, can_view_col:
     has no chunks (not found).  All inside the document's row."""
     d = df.withColumn("_chunks", K.chunk_array(F.col(text_col), F.col(doc_col)))
     texts = F.transform("_chunks", lambda c: c["text"])
-    d = d.withColumn("_spans", pii.detect_pii_many(F.when(~F.col(can_view_col), texts)))
-    parts = F.transform("_chunks", lambda c, i: F.when(F.col(can_view_col), c["text"]).otherwise(
-        pii.redact(c["text"], F.element_at("_spans", i + 1), "mask")))
+    d = d.withColumn("_masked", pii.redact_many(F.when(~F.col(can_view_col), texts)))
+    parts = F.when(F.col(can_view_col), texts).otherwise(F.col("_masked"))
     return d.withColumn(out_col, F.when(F.size("_chunks") > 0, F.array_join(parts, "\n\n"))) \
-        .drop("_chunks", "_spans")
+        .drop("_chunks", "_masked")
 
 
 def split_a(full: Column) -> Column:

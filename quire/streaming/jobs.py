@@ -43,8 +43,7 @@ def ingest_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoin
     partitioned by tenant."""
     docs = read_documents(spark, source_dir).withColumn("tenant_id", F.col("source"))
     clean = docs.withColumn("clean", TX.clean_text_for_embedding("text"))
-    clean = clean.withColumn("pii_spans", pii.detect_pii(F.col("clean")))
-    red = clean.withColumn("redacted", pii.redact(F.col("clean"), F.col("pii_spans"), mode))
+    red = clean.withColumn("redacted", pii.redact_text(F.col("clean"), mode)["text"])
     chunks = K.chunk_table(red.select("doc_id", "tenant_id", F.col("redacted").alias("text")),
                            keep_cols=["tenant_id"])
     w = (chunks.writeStream.format("parquet").option("path", sink_dir)
