@@ -28,6 +28,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_used_shuffles(spark: SparkSession) -> None:
+    """From now on Spark removes the shuffle files of each finished execution
+    (Spark 4.1 session setting).  Call it before the frames are made.  A plan
+    that is cut by checkpoints needs none of them again; were one needed after
+    all, Spark would run its stage once more."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def batches_of(batch_iter: Iterable[pa.RecordBatch], text_col: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most `max_bytes` of text (a
     single longer row stays whole): bounds the working memory of a task."""

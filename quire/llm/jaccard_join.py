@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import batches_of, cut_lineage
+from quire.llm.common import batches_of, cut_lineage, free_used_shuffles
 from quire.llm.components import components
 
 BATCH_BYTES = 2 << 20
@@ -320,6 +320,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                        max_group: int = MAX_GROUP, max_elements: int = MAX_ELEMENTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: component_id is the
     smallest doc_id reachable by links (J >= percent / 100)."""
+    free_used_shuffles(df.sparkSession)  # the regions' shuffle is the largest; only its edges stay
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     seen = cut_lineage(docs.mapInArrow(_sets_of(words), "doc_id long, n_shingles long, node long"))
     sizes = seen.where("doc_id is not null")
