@@ -1,4 +1,4 @@
-"""Connected components of an edge table (star contraction)."""
+"""Connected components of an edge table (star contraction: forests per task, then parent jumps)."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from quire.llm.common import cut_lineage
 
 #: Partitions whose forests one task joins.
 MERGED = 4
+#: Join keys over which the children of one node are spread.
+SALTS = 64
 
 
 class Forest:
@@ -50,32 +52,34 @@ def forest_edges(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def gathered(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with a > b, dealt by the larger node: its parents meet in
+    one task, which leaves it one of them and joins the others to that one.
+    A node has at most one row per task that made `edges`; the smaller nodes,
+    which many rows may share, are not the key."""
+    return cut_lineage(edges.repartition("a").mapInArrow(forest_edges, "a long, b long"))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges` (a, b); the component is
-    its smallest node.  Each round sends every node's neighbours to its
-    smallest neighbour (large star, then small star); minima are combined
-    before the shuffle, and each round's edges are checkpointed."""
+    its smallest node.  Each round moves every node from its parent b to the
+    smallest parent of b, and gathers the parents of a node again; each
+    round's edges are checkpointed.  The children of one b are spread over
+    `SALTS` join keys, each asking for b's parent once."""
     e = cut_lineage(edges.mapInArrow(forest_edges, "a long, b long"))
     # neighbouring partitions' forests share nodes: joining a few of them first
-    # leaves fewer edges for the rounds, which shuffle
+    # leaves fewer edges for the shuffle
     few = max(1, -(-e.rdd.getNumPartitions() // MERGED))
-    e = cut_lineage(e.coalesce(few).mapInArrow(forest_edges, "a long, b long"))
+    e = gathered(e.coalesce(few).mapInArrow(forest_edges, "a long, b long"))
     for _ in range(max_rounds):
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u <> v").distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(
-            F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("x"))
-        new = cut_lineage(small.select("x.a", "x.b").where("a <> b").distinct())
+        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        parents = low.select(F.col("a").alias("b"), "m")
         # settled when every node has one parent and no parent has one
-        parents = new.select(F.col("b").alias("a")).distinct()
-        manifold = new.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-        if not manifold and not new.join(parents, "a", "left_semi").limit(1).count():
-            e = new
+        if not low.where("n > 1").limit(1).count() and not e.select("b").distinct().join(parents, "b", "left_semi").limit(1).count():
             break
-        e = new
+        salted = e.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+        answers = salted.select("b", "salt").distinct().join(parents, "b")
+        e = gathered(salted.join(answers, ["b", "salt"], "left").select("a", F.coalesce("m", "b").alias("b")))
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
