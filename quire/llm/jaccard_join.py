@@ -8,8 +8,8 @@ The Jaccard distance d = 1 - J is a metric; documents link when d <= radius.
 2. *Coarse regions.*  Linked sets of sizes a <= b differ in at most
    a * (1 - t) / t shingles.  The hash space is cut into more ranges than that
    (by size class), so some non-empty range of both sets is equal: its content
-   is the region's key.  Each task keeps one node per key and turns the
-   others into candidate edges before anything is shuffled; regions that share
+   is the region's key.  Each task keeps one node per key and ties the others
+   to it by a spanning forest before anything is shuffled; regions that share
    documents are one candidate group, and links exist only inside a group.
 3. *Pivots.*  Inside a group a pivot takes a region: everything within the
    radius links to it.  By the triangle inequality a document outside may
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import batches_of, cut_lineage, free_used_shuffles
-from quire.llm.components import components
+from quire.llm.components import Forest, components
 
 BATCH_BYTES = 2 << 20
 FLUSH_ROWS = 1 << 19
@@ -197,16 +197,31 @@ def _sets_of(k: int):
 
 
 def _thin(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-    """One row per key (a = b) and candidate edges for its further nodes."""
+    """One row per key (a = b) and one candidate edge per node that shares a
+    key with another: nodes tied to each other are spanned by edges to their
+    smallest, which stands for them in the key rows."""
     k, n = np.concatenate(keys), np.concatenate(nodes)
     order = np.lexsort((n, k))
     k, n = k[order], n[order]
     head = np.concatenate([[True], k[1:] != k[:-1]])
     first = n[np.maximum.accumulate(np.where(head, np.arange(k.size), 0))]
-    keep = head | (n != first)
-    a, b = first[keep], n[keep]
-    route = np.where(a == b, k[keep], _mix(b.view(np.uint64))).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(a), pa.array(b)], names=["key", "a", "b"])
+    tied = n != first
+    x, y = first[tied], n[tied]
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    fresh = np.diff(x, prepend=x[:1] - 1).astype(bool) | np.diff(y, prepend=y[:1] - 1).astype(bool)
+    forest = Forest()
+    for a, b in zip(x[fresh].tolist(), y[fresh].tolist()):
+        forest.join(a, b)
+    k, stands = k[head], n[head]
+    b = np.array(sorted(forest.up), dtype=np.int64)
+    a = np.array([forest.root(v) for v in b.tolist()], dtype=np.int64)
+    if b.size:
+        at = np.minimum(np.searchsorted(b, stands), b.size - 1)
+        stands = np.where(b[at] == stands, a[at], stands)
+        a, b = a[a != b], b[a != b]
+    route = np.concatenate([k, _mix(b.view(np.uint64))]).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(np.concatenate([stands, a])), pa.array(np.concatenate([stands, b]))], names=["key", "a", "b"])
 
 
 def _keys_of(k: int, percent: int, common: np.ndarray):
