@@ -62,11 +62,17 @@ def default_roles(tenants: DataFrame, matrix: str = "api", existing: DataFrame |
 
 
 def _mark_first(df: DataFrame, keys: list[str]) -> DataFrame:
-    """`_first` = the earliest request (by request_id) of its key; exactly one
-    per key even when identical requests repeat (row_number, not a min, which
-    would mark every tied copy).  Request batches are small tables."""
+    """`_first` = the earliest request (by request_id, null ids first) of its
+    key; exactly one per key even when identical requests repeat.  The smallest
+    id of a key is a partial aggregate, so many requests of one key never meet
+    in one task; only copies of one request are numbered by a window."""
     from pyspark.sql.window import Window
-    return df.withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy("request_id")) == 1)
+    low = df.groupBy(*[F.col(k).alias(f"_low_{k}") for k in keys]).agg(F.min(F.struct("request_id")).alias("_low"))
+    same = [F.col(k).eqNullSafe(F.col(f"_low_{k}")) for k in keys]
+    copy = F.row_number().over(Window.partitionBy(*keys, "request_id").orderBy("request_id"))
+    first = F.col("request_id").eqNullSafe(F.col("_low.request_id")) & (F.col("_copy") == 1)
+    return df.withColumn("_copy", copy).join(low, same).withColumn("_first", first) \
+        .drop("_low", "_copy", *[f"_low_{k}" for k in keys])
 
 
 def create_roles(requests: DataFrame, existing: DataFrame, matrix: str = "service") -> DataFrame:
