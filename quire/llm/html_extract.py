@@ -7,10 +7,11 @@ headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments: by element, role or the words of class and id) are left out.  Over
 the other lines the text-to-tag ratio is smoothed with a Gaussian and split by
 threshold clustering (two means in one dimension); the containers that hold
-the lines of the high cluster are the content regions, and all their lines are
-kept, short ones too.  An article or main element, where there is one with
-text, bounds the region; furniture inside a page's only article is judged by
-the same words, except that its own header stays.
+the lines of the high cluster are the content regions (any number of them),
+and all their lines are kept, short ones too, unless they are mostly links.
+Article and main elements are evidence only: their lines gain a factor of two,
+one whose text is mostly in the high cluster is a region as a whole, and
+articles beside it with a like ratio too.  Headings go with the line below.
 
 One pass per row in the tasks that read the pages, no shuffle; memory is that
 of one page.  Rows: null and empty html give an empty text; text without any
@@ -31,6 +32,10 @@ from pyspark.sql import functions as F
 SIGMA = 1.0
 #: Share of a container's text that may be link text before it is a menu.
 LINK_SHARE = 0.5
+#: What a line inside an article or main element gains (logarithm of its ratio).
+ARTICLE_BONUS = float(np.log(2))
+#: An article beside a chosen one is chosen from this share of its ratio on.
+SIBLING_RATIO = 0.25
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
@@ -43,6 +48,8 @@ HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
                   "comment comments reply replies disqus discussion share sharing social related recommended newsletter subscribe "
                   "subscription signup login search pagination toolbar widget".split())
 SECTIONS = frozenset("html body article main section div td th center blockquote li dd".split())
+FLOW = frozenset("blockquote li dd td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -66,17 +73,19 @@ def _is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: boo
 
 
 class PageLines(HTMLParser):
-    """Collects (text, tags, link characters, container, article) per line."""
+    """Collects lines (text, tags, link characters, box, is a heading) and the
+    tree of their boxes; a node covers the lines lo..hi, parents come first."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, int]] = []
-        self._open: list[tuple[str, int]] = []  # tag, what it switches (1 silent, 2 furniture)
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.parent, self.tag, self.article, self.lo, self.hi = [0], [""], [""], [0], [0]
+        self._open: list[tuple[str, int]] = []  # tag, what it switches (1 hidden, 2 node)
         self._count: dict[str, int] = {}
         self._hidden = 0
-        self._sections = [0]
-        self._articles = [0]
-        self._next = 0
+        self._nodes = [0]
+        self._articles = 0
+        self._headings = 0
         self._links = 0
         self._text: list[str] = []
         self._tags = 0
@@ -86,26 +95,36 @@ class PageLines(HTMLParser):
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                self.lines.append((text, self._tags, self._link_chars, self._sections[-1], self._articles[-1]))
+                self.lines.append((text, self._tags, self._link_chars, self._nodes[-1], self._headings > 0))
         self._text, self._tags, self._link_chars = [], 0, 0
 
+    def finish(self) -> None:
+        self.flush()
+        for node in self._nodes:
+            self.hi[node] = len(self.lines)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.flush()
         self._tags += 1
         if tag in VOID:
             return
-        hides = tag in SILENT or _is_furniture(tag, attrs, self._articles[-1] > 0)
-        self._open.append((tag, int(hides)))
+        hides = tag in SILENT or _is_furniture(tag, attrs, self._articles > 0)
+        role = next((v for k, v in attrs if k == "role"), None)
+        article = tag if tag in ("article", "main") else role if role in ("article", "main") else ""
+        node = tag in SECTIONS or article != ""
+        if node:
+            self._nodes.append(len(self.parent))
+            self.parent.append(self._nodes[-2])
+            self.tag.append(tag)
+            self.article.append(article)
+            self.lo.append(len(self.lines))
+            self.hi.append(len(self.lines))
+            self._articles += article != ""
+        self._open.append((tag, int(hides) + 2 * node))
         self._count[tag] = self._count.get(tag, 0) + 1
         self._hidden += hides
-        if tag in SECTIONS:
-            self._next += 1
-            self._sections.append(self._next)
-        if tag in ("article", "main") or any(k == "role" and v in ("main", "article") for k, v in attrs):
-            self._next += 1
-            self._articles.append(self._articles[-1] or self._next)
-            self._open[-1] = (tag, int(hides) + 2)
+        self._headings += tag in HEADINGS
         self._links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -113,22 +132,24 @@ class PageLines(HTMLParser):
             self.flush()
         self._tags += 1
 
+    def _pop(self) -> str:
+        name, kind = self._open.pop()
+        self._count[name] -= 1
+        self._hidden -= kind & 1
+        if kind & 2:
+            node = self._nodes.pop()
+            self.hi[node] = len(self.lines)
+            self._articles -= self.article[node] != ""
+        self._headings -= name in HEADINGS
+        self._links -= name == "a"
+        return name
+
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
-        if not self._count.get(tag):
-            return
-        while self._open:
-            name, kind = self._open.pop()
-            self._count[name] -= 1
-            self._hidden -= kind & 1
-            if name in SECTIONS:
-                self._sections.pop()
-            if kind & 2:
-                self._articles.pop()
-            self._links -= name == "a"
-            if name == tag:
-                break
+        if self._count.get(tag):
+            while self._pop() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
         if not self._hidden:
@@ -159,6 +180,69 @@ def high_cluster(values: np.ndarray) -> np.ndarray:
     return values >= cut
 
 
+def _totals(values, keep) -> np.ndarray:
+    """Prefix sums over the lines, those not kept as 0."""
+    return np.concatenate([[0], np.cumsum(np.where(keep, values, 0))])
+
+
+def choose_lines(page: PageLines, keep: np.ndarray) -> np.ndarray:
+    """Which of the page's lines (only those of `keep`) the clusters choose."""
+    lines, parent, tag = page.lines, page.parent, page.tag
+    size = np.array([len(x[0]) for x in lines])
+    tags = np.array([max(x[1], 1) for x in lines])
+    links = np.array([x[2] for x in lines])
+    box = np.array([x[3] for x in lines])
+    n = len(parent)
+    within = [False] * n  # in an article or main element
+    for e in range(n):
+        within[e] = page.article[e] != "" or (e > 0 and within[parent[e]])
+    high = np.zeros(size.size, dtype=bool)
+    ratio = np.log1p(size[keep] / tags[keep])
+    bonus = np.where(np.array(within)[box[keep]], ARTICLE_BONUS, 0.0)
+    value = smoothed(ratio) + bonus
+    high[keep] = cluster = high_cluster(value)
+    # a box needs a line that is high by itself too, not only by its neighbours in other boxes
+    alone = np.zeros(size.size, dtype=bool)
+    alone[keep] = cluster & (ratio + bonus >= value[cluster].min() - 1e-9)
+    if not alone.any():
+        alone = high
+
+    own_text, own_links, own_high = (np.bincount(box[keep], w[keep], n) for w in (size, links, alone))
+    linked = own_links > LINK_SHARE * own_text
+    lo, hi = np.array(page.lo), np.array(page.hi)
+    text, link, tagged, best = ((t := _totals(w, keep))[hi] - t[lo] for w in (size, links, tags, size * high))
+    # articles whose text is mostly of the high cluster are regions as a whole, and so are those beside them with a like ratio
+    holds = [False] * n
+    for e in range(n - 1, 0, -1):
+        holds[parent[e]] |= holds[e] or (page.article[e] == "article" and text[e] > 0)
+    whole = [page.article[e] != "" and not (page.article[e] == "main" and holds[e]) and 2 * best[e] > text[e]
+             and link[e] <= LINK_SHARE * text[e] for e in range(n)]
+    beside: dict[int, float] = {}
+    for e in range(n):
+        if whole[e] and page.article[e] == "article":
+            beside[parent[e]] = max(beside.get(parent[e], 0.0), text[e] / max(tagged[e], 1))
+    for e in range(n):
+        if page.article[e] == "article" and parent[e] in beside and text[e] and link[e] <= LINK_SHARE * text[e]:
+            whole[e] = whole[e] or text[e] / max(tagged[e], 1) >= SIBLING_RATIO * beside[parent[e]]
+    region = [False] * n
+    inside = [False] * n
+    for e in range(n):
+        whole[e] = whole[e] or (e > 0 and whole[parent[e]])
+        inside[e] = bool(not linked[e] and own_high[e]) or (e > 0 and tag[e] in FLOW and inside[parent[e]])
+        region[e] = not linked[e] and (whole[e] or inside[e])
+    chosen = keep & np.array(region)[box]
+    # a heading belongs to the line it stands over, where its box holds that line
+    after = -1
+    for i in range(size.size - 1, -1, -1):
+        if not keep[i]:
+            continue
+        if not lines[i][4]:
+            after = i
+        elif not chosen[i] and after >= 0 and chosen[after] and lo[box[i]] <= after < hi[box[i]] and links[i] <= LINK_SHARE * size[i]:
+            chosen[i] = True
+    return chosen
+
+
 def main_blocks(html: str | None) -> list[str]:
     """Blocks of the main text in page order."""
     if not html:
@@ -166,29 +250,11 @@ def main_blocks(html: str | None) -> list[str]:
     page = PageLines()
     page.feed(html)
     page.close()
-    page.flush()
-    lines = page.lines
-    if not lines:
+    page.finish()
+    if not page.lines:
         return []
-    own = [x for x in lines if x[4]]
-    if own:  # text inside article or main elements: the one with most text
-        weight: dict[int, int] = {}
-        for x in own:
-            weight[x[4]] = weight.get(x[4], 0) + len(x[0])
-        best = max(weight, key=lambda a: (weight[a], -a))
-        lines = [x for x in own if x[4] == best]
-    ratio = np.array([len(t) / max(tags, 1) for t, tags, *_ in lines])
-    content = high_cluster(smoothed(np.log1p(ratio)))
-    text_in: dict[int, int] = {}
-    links_in: dict[int, int] = {}
-    for t, _, link, box, _ in lines:
-        text_in[box] = text_in.get(box, 0) + len(t)
-        links_in[box] = links_in.get(box, 0) + link
-    if own:  # within an article only link lists are left out
-        chosen = {b for b in text_in if links_in[b] <= LINK_SHARE * text_in[b]}
-    else:
-        chosen = {x[3] for x, c in zip(lines, content) if c and links_in[x[3]] <= LINK_SHARE * text_in[x[3]]}
-    return [x[0] for x in lines if x[3] in chosen]
+    chosen = choose_lines(page, np.ones(len(page.lines), dtype=bool))
+    return [x[0] for x, c in zip(page.lines, chosen) if c]
 
 
 def _extract(batches):

@@ -342,6 +342,32 @@ def test_html_without_article():
     assert blocks == ["Title", "Long text here of the piece with many words in it.", "Short.", "Another longer paragraph with a link and more text."]
 
 
+LONG = "A paragraph of the piece that is long enough to be read as running text by anybody. "
+
+
+def test_html_sibling_articles():
+    blocks = html_extract.main_blocks(f"<body><div><article><h2>One</h2><p>{LONG * 3}</p><p>{LONG * 2}</p></article><article><h2>Two</h2><p>{LONG * 2}</p>"
+                                      f"<p>Short.</p></article></div><div><a href=x>Home</a> <a href=y>About</a></div></body>")
+    assert blocks == ["One", (LONG * 3).strip(), (LONG * 2).strip(), "Two", (LONG * 2).strip(), "Short."]
+
+
+def test_html_teaser_article_beside_a_div():
+    blocks = html_extract.main_blocks(f"<body><article><h3><a href=x>Other news</a></h3><p>Read <a href=x>more</a></p></article>"
+                                      f"<div><h1>Title</h1><p>{LONG * 4}</p><p>{LONG * 3}</p><p>Short.</p></div></body>")
+    assert blocks == ["Title", (LONG * 4).strip(), (LONG * 3).strip(), "Short."]
+
+
+@pytest.mark.parametrize("tag", ["div", "section", "article"])
+def test_html_ratios_decide(tag):
+    """The same words, with one tag or many a line: the ratio alone chooses."""
+    def page(a, b):
+        return f"<body><{tag}><p>{a}</p></{tag}><div>x</div><div>y</div><div>z</div><{tag}><p>{b}</p></{tag}></body>"
+    plain = (LONG * 2).strip()
+    tagged = " ".join(f"<i>{w}</i>" for w in plain.split())
+    assert html_extract.main_blocks(page(plain, tagged)) == [plain] and html_extract.main_blocks(page(tagged, plain)) == [plain]
+    assert html_extract.main_blocks(page(plain, plain)) == [plain, plain]
+
+
 def test_smoothing_keeps_constants():
     assert html_extract.smoothed(np.full(9, 3.0)) == pytest.approx(np.full(9, 3.0))
     assert html_extract.high_cluster(np.array([1.0, 1.1, 9.0, 9.5])).tolist() == [False, False, True, True]
