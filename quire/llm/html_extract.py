@@ -2,9 +2,12 @@
 
 The standard library's parser streams a page's events into lines (one per
 block: white space collapsed, trimmed); a line knows its text, its tags, its
-link text and the container it stands in.  Lines in page furniture (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments: by element, role or the words of class and id) are left out.  Over
+link text and the container it stands in.  End tags that HTML lets a page
+leave out (p, li, dt, dd, tr, td, th) are supplied.  Lines in page furniture
+are left out: menus, footers, asides, buttons, scripts, hidden elements in
+themselves; headers, forms and elements whose class or id names furniture (by
+a whole token or its last word) unless they hold the article or most of the
+page's text; a page without articles on which nothing is left keeps all.  Over
 the other lines the text-to-tag ratio is smoothed with a Gaussian and split by
 threshold clustering (two means in one dimension); the containers that hold
 the lines of the high cluster are the content regions (any number of them),
@@ -41,35 +44,66 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
 SILENT = frozenset("script style noscript template svg head title iframe object canvas math".split())
-FURNITURE = frozenset("nav footer aside form button select textarea input dialog menu fieldset".split())
+FURNITURE = frozenset("nav footer aside button select textarea input dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar "
                   "navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal overlay "
                   "comment comments reply replies disqus discussion share sharing social related recommended newsletter subscribe "
                   "subscription signup login search pagination toolbar widget".split())
+#: Words of HINTS that never enclose a page's text where it has an article.
+FIRM = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent popup modal overlay "
+                 "comment comments reply replies disqus newsletter subscribe signup sidebar navbar breadcrumb breadcrumbs".split())
+STATES = frozenset("has have no not non with without is hide show".split())
+TITLES = frozenset("header masthead banner".split())
+PIECES = frozenset("article post entry content story section title".split())
 SECTIONS = frozenset("html body article main section div td th center blockquote li dd".split())
 FLOW = frozenset("blockquote li dd td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Starts that end an open paragraph, and elements that open items do not reach out of.
+ENDS_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
+                   "h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+SCOPES = frozenset("article aside blockquote button caption dl fieldset figure footer form header main menu nav object ol section table td th "
+                   "ul".split())
+ITEMS = {"p": "p", "li": "li", "dd": "dd", "dt": "dd", "td": "td", "th": "td", "tr": "tr"}
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    if tag in FURNITURE or (tag == "header" and not in_article):
-        return True
-    if tag in INLINE or tag in ("html", "body", "article", "main", "h1", "p") and not any(k in ("class", "id") for k, _ in attrs):
-        return False
+def _hinted(value: str, in_article: bool) -> str:
+    """The furniture word that a class or id names: a whole token, or its last
+    word; not tokens that say what an element has ("has-sidebar"), nor the
+    title block of an article."""
+    for token in value.split():
+        words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+        if words and words[-1] in HINTS and words[0] not in STATES:
+            if words[-1] in TITLES and (in_article or any(w in PIECES for w in words)):
+                continue
+            return words[-1]
+    return ""
+
+
+def _furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    """2: furniture in itself, 0: none, else by evidence that the page may
+    outweigh (3: adverts and comments, 1: others)."""
+    if tag in FURNITURE:
+        return 2
+    if tag in INLINE or tag in ("html", "body", "article", "main"):
+        return 0
+    level = int(tag in ("form", "fieldset") or tag == "header" and not in_article)
     for k, v in attrs:
+        if k == "hidden" or k == "aria-hidden" and v == "true":
+            return 2
         if not v:
             continue
-        if k == "role" and v.strip().lower() in ROLES:
-            return True
-        if k == "hidden" or k == "aria-hidden" and v == "true":
-            return True
-        if k in ("class", "id") and tag not in ("html", "body", "main"):
-            words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())
-            if any(w in HINTS for w in words) and not (tag in ("header",) and in_article):
-                return True
-    return False
+        if k == "role" and (role := v.strip().lower()) in ROLES:
+            if role not in ("form", "banner"):
+                return 2
+            level = max(level, int(role == "form" or not in_article))
+        if tag in HEADINGS or not (k == "class" or k == "id"):
+            continue
+        word = _hinted(v, in_article)
+        if word and not (k == "id" and (tag == "section" or in_article) and word not in FIRM):  # ids of sections are anchors
+            level = max(level, 3 if word in FIRM else 1)
+    return level
 
 
 class PageLines(HTMLParser):
@@ -79,8 +113,9 @@ class PageLines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.parent, self.tag, self.article, self.lo, self.hi = [0], [""], [""], [0], [0]
-        self._open: list[tuple[str, int]] = []  # tag, what it switches (1 hidden, 2 node)
+        self.parent, self.tag, self.article, self.level, self.lo, self.hi = [0], [""], [""], [0], [0], [0]
+        self._open: list[tuple[str, int, dict[str, int]]] = []  # tag, what it switches (1 hidden, 2 node), items open before it
+        self._items: dict[str, int] = {}  # place of the open p, li, ... in this scope
         self._count: dict[str, int] = {}
         self._hidden = 0
         self._nodes = [0]
@@ -106,22 +141,29 @@ class PageLines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.flush()
+        self._close_items(tag)
         self._tags += 1
         if tag in VOID:
             return
-        hides = tag in SILENT or _is_furniture(tag, attrs, self._articles > 0)
+        level = _furniture(tag, attrs, self._articles > 0)
+        hides = tag in SILENT or level == 2
         role = next((v for k, v in attrs if k == "role"), None)
         article = tag if tag in ("article", "main") else role if role in ("article", "main") else ""
-        node = tag in SECTIONS or article != ""
+        node = tag in SECTIONS or article != "" or level & 1 == 1
         if node:
             self._nodes.append(len(self.parent))
             self.parent.append(self._nodes[-2])
             self.tag.append(tag)
             self.article.append(article)
+            self.level.append(level)
             self.lo.append(len(self.lines))
             self.hi.append(len(self.lines))
             self._articles += article != ""
-        self._open.append((tag, int(hides) + 2 * node))
+        self._open.append((tag, int(hides) + 2 * node, self._items))
+        if tag in SCOPES:
+            self._items = {"tr": self._items["tr"]} if tag in ("td", "th") and "tr" in self._items else {}
+        if tag in ITEMS:
+            self._items = {**self._items, ITEMS[tag]: len(self._open) - 1}
         self._count[tag] = self._count.get(tag, 0) + 1
         self._hidden += hides
         self._headings += tag in HEADINGS
@@ -132,8 +174,15 @@ class PageLines(HTMLParser):
             self.flush()
         self._tags += 1
 
+    def _close_items(self, tag: str) -> None:
+        """End tags that HTML lets a page leave out."""
+        for item in (["p"] if tag in ENDS_P else []) + ([ITEMS[tag]] if tag in ITEMS and tag != "p" else []):
+            if (at := self._items.get(item, -1)) >= 0:
+                while len(self._open) > at:
+                    self._pop()
+
     def _pop(self) -> str:
-        name, kind = self._open.pop()
+        name, kind, self._items = self._open.pop()
         self._count[name] -= 1
         self._hidden -= kind & 1
         if kind & 2:
@@ -243,6 +292,42 @@ def choose_lines(page: PageLines, keep: np.ndarray) -> np.ndarray:
     return chosen
 
 
+def outside_furniture(page: PageLines) -> np.ndarray:
+    """Lines that no furniture holds by the evidence of words and elements.
+    An element that holds the article, or most of the page's text, is spared;
+    if nothing is left on a page without articles, all lines count."""
+    n, size = len(page.parent), np.array([len(x[0]) for x in page.lines])
+    box = np.array([x[3] for x in page.lines])
+    lo, hi = np.array(page.lo), np.array(page.hi)
+    total = np.concatenate([[0], np.cumsum(size)])
+    text, whole = total[hi] - total[lo], total[-1]
+    doubtful = [False] * n  # inside something whose words outweigh the articles in it
+    own = [False] * n  # inside an article or main element
+    for e in range(1, n):
+        doubtful[e] = doubtful[page.parent[e]] or page.level[e] > 0 and (page.level[e] == 3 or 2 * text[e] <= whole)
+        own[e] = own[page.parent[e]] or page.article[e] != ""
+    own, doubtful = np.array(own), np.array(doubtful)
+    clear = own & ~doubtful
+    counted = clear if clear[box].any() else own
+    of_articles = _totals(size, counted[box])
+    held = of_articles[hi] - of_articles[lo]
+    articles_to = np.cumsum([a != "" for a in page.article])
+    last = np.arange(n)  # last node below each
+    for e in range(n - 1, 0, -1):
+        last[page.parent[e]] = max(last[page.parent[e]], last[e])
+    furniture = [False] * n
+    for e in range(1, n):
+        if page.level[e] and not furniture[page.parent[e]]:
+            outside = of_articles[-1] - held[e]
+            others = articles_to[-1] - (articles_to[last[e]] - articles_to[e - 1])
+            most = 2 * text[e] > whole and (others == 0 if page.level[e] == 3 else 4 * outside < text[e])
+            furniture[e] = not (held[e] > outside or most)
+        else:
+            furniture[e] = furniture[page.parent[e]]
+    keep = ~np.array(furniture)[box]
+    return keep if keep.any() or articles_to[-1] else np.ones(size.size, dtype=bool)
+
+
 def main_blocks(html: str | None) -> list[str]:
     """Blocks of the main text in page order."""
     if not html:
@@ -253,7 +338,10 @@ def main_blocks(html: str | None) -> list[str]:
     page.finish()
     if not page.lines:
         return []
-    chosen = choose_lines(page, np.ones(len(page.lines), dtype=bool))
+    keep = outside_furniture(page)
+    if not keep.any():
+        return []
+    chosen = choose_lines(page, keep)
     return [x[0] for x, c in zip(page.lines, chosen) if c]
 
 

@@ -368,6 +368,36 @@ def test_html_ratios_decide(tag):
     assert html_extract.main_blocks(page(plain, plain)) == [plain, plain]
 
 
+@pytest.mark.parametrize("start,end", [
+    ("<div class='layout has-sidebar'>", "</div>"), ("<div class='no-header'>", "</div>"), ("<div class='page widget'>", "</div>"),
+    ("<form id='search'>", "</form>"), ("<div class='sidebar'><div class='menu'>", "</div></div>")])
+def test_html_wrappers_do_not_hide_the_text(start, end):
+    for inner in (f"<article class='post with-comments'><h1>Title</h1><p>{LONG * 3}</p><p>Short.</p></article>",
+                  f"<h1>Title</h1><p>{LONG * 3}</p><p>Short.</p>"):
+        page = f"<body><nav><a href=x>Home</a></nav>{start}{inner}{end}<div class='ad'>Buy</div><footer>foot</footer></body>"
+        assert html_extract.main_blocks(page) == ["Title", (LONG * 3).strip(), "Short."]
+
+
+def test_html_furniture_words_inside_an_article():
+    blocks = html_extract.main_blocks(
+        f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p><h2 id='related-work'>Related work</h2><p>{LONG}</p>"
+        f"<section id='discussion'><h2>Discussion</h2><p>{LONG * 2}</p></section><div class='ad'>Buy</div><div class='social share'>Tell all</div></article>"
+        f"<section class='comments'><article class='comment-body'><p>{LONG * 9}</p></article></section>")
+    assert blocks == ["Title", LONG.strip(), "Related work", LONG.strip(), "Discussion", (LONG * 2).strip()]
+
+
+def test_html_left_out_end_tags():
+    for items in ("<p class='ad'>Buy<p>{0}<p>{0}", "<p>{0}<p class=promo>Buy<div><p>{0}</div>", "<ul><li class='promo'>Buy<li>{0}<li>{0}</ul>",
+                  "<table><tr><td class=ad>Buy<td>{0}<tr><td>{0}</table>", "<dl><dt class=ad>Buy<dd>{0}<dd>{0}</dl>"):
+        assert html_extract.main_blocks(f"<article>{items.format(LONG)}</article>") == [LONG.strip()] * 2
+    assert html_extract.main_blocks("<ul><li class=ad>x<ul><li>y</ul>z</ul><p>" + LONG) == [LONG.strip()]
+
+
+def test_html_nothing_left():
+    assert html_extract.main_blocks("<div class=discussion><div class=comment>One.</div><div class=comment>Two.</div></div>") == ["One.", "Two."]
+    assert html_extract.main_blocks("<div class=ad>Buy</div><article></article>") == []
+
+
 def test_smoothing_keeps_constants():
     assert html_extract.smoothed(np.full(9, 3.0)) == pytest.approx(np.full(9, 3.0))
     assert html_extract.high_cluster(np.array([1.0, 1.1, 9.0, 9.5])).tolist() == [False, False, True, True]
