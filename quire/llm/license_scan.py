@@ -1,24 +1,26 @@
 """Operator 10: licence scans by sentence rules.
 
-1. A text's sentences (ended by . ! ? : ; before white space, or by a line end
-   where the lines do not flow on) are normalised: lower case, one spelling
-   of licence, comment marks and punctuation gone, version numbers replaced by
-   a mark and kept.
-2. Known sentences have identifiers (table `SENTENCES`, longest match of a
-   sentence's end first, so that words before the known part do not hide it).
+1. A text's words are normalised, with their places kept: lower case, one
+   spelling of licence, comment marks and punctuation gone, version numbers
+   replaced by a mark and kept.
+2. Known sentences have identifiers (table `SENTENCES`).  They are found as
+   word sequences anywhere in the text, across line ends and punctuation,
+   several in a sentence; where two overlap the longer one counts.
 3. The sequence of identifiers is matched against `RULES` in order: a rule is
    an ordered list of identifiers that name one licence; identifiers taken by
    an earlier (longer) rule are not used again.  Identifiers no rule takes are
-   reported as `unknown`.
+   reported as `unknown`.  A finding begins with the sentence its known words
+   stand in (or behind the finding before it) and ends with those words.
 
 The tables are fixed and small; each row is scanned in the task that reads it,
 texts without a cue word cost one search.  Rows: null and empty texts give no
 findings; repeated rows are kept; an empty table gives no rows; extra columns
-are not read.  Offsets count code points of the whole text.
+are not read.  Licences named in other words than the known ones are not found.  Offsets count code points of the whole text.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -69,17 +71,62 @@ SENTENCES = {
     "all rights reserved": "reserved",
 }
 
+# the same notices in their usual forms
+_UNDER = [f"{verb} under the {terms}" for verb in ("licensed", "released", "distributed", "available") for terms in ("", "terms of the ")]
+for _u in _UNDER:
+    for _k in ("apache license VER", "apache license", "apache VER license"):
+        SENTENCES.setdefault(_u + _k, "apache-notice")
+    for _k in ("bsd license", "bsd VER clause license", "new bsd license", "modified bsd license", "simplified bsd license"):
+        SENTENCES.setdefault(_u + _k, "bsd-notice")
+    SENTENCES.setdefault(_u + "mit license", "mit-notice")
+    SENTENCES.setdefault(_u + "isc license", "isc-notice")
+    SENTENCES.setdefault(_u + "mozilla public license", "mpl-notice")
+    SENTENCES.setdefault(_u + "mozilla public license VER", "mpl-notice")
+SENTENCES["the contents of this file are subject to the mozilla public license VER"] = "mpl-notice"
+SENTENCES["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+          "this software without specific prior written permission"] = "bsd-name"
+for _name, _id in (("gnu general public license", "gpl"), ("gnu lesser general public license", "lgpl"),
+                   ("gnu library general public license", "lgpl"), ("gnu affero general public license", "agpl")):
+    for _u in _UNDER:
+        SENTENCES.setdefault(_u + _name, f"{_id}-notice")
+        SENTENCES.setdefault(f"{_u}{_name} VER", f"{_id}-notice")
+        SENTENCES.setdefault(f"{_u}{_name} VER only", f"{_id}-grant")
+        for _later in ("or later", "or any later version", "or at your option any later version"):
+            SENTENCES.setdefault(f"{_u}{_name} VER {_later}", f"{_id}-grant-later")
+    _fsf = "as published by the free software foundation"
+    for _who in ("this program is ", "this library is ", "this software is ", "this file is ", ""):
+        _g = f"{_who}free software you can redistribute it and or modify it under the terms of the {_name}"
+        SENTENCES.setdefault(f"{_g} {_fsf}", f"{_id}-notice")
+        for _k in (f"{_g} VER {_fsf}", f"{_g} {_fsf} VER", f"{_g} {_fsf} VER of the license", f"{_g} {_fsf} VER only"):
+            SENTENCES.setdefault(_k, f"{_id}-grant")
+        for _later in ("or later", "or any later version", "or at your option any later version"):
+            for _k in (f"{_g} {_fsf} either VER of the license {_later}", f"{_g} {_fsf} VER of the license {_later}",
+                       f"{_g} {_fsf} VER {_later}", f"{_g} VER {_later} {_fsf}", f"{_g} VER {_fsf} {_later}"):
+                SENTENCES.setdefault(_k, f"{_id}-grant-later")
+for _name, _id in (("", "cc-by"), ("sharealike ", "cc-by-sa"), ("share alike ", "cc-by-sa"), ("noderivatives ", "cc-by-nd"), ("noderivs ", "cc-by-nd"),
+                   ("no derivatives ", "cc-by-nd")):
+    for _nc in ("", "noncommercial ", "non commercial "):
+        _cc = _id.replace("cc-by", "cc-by-nc") if _nc else _id
+        for _art in ("a ", "the ", "", "the terms of the "):
+            for _end in ("", " international", " international license", " unported", " unported license", " license", " generic license"):
+                SENTENCES.setdefault(f"licensed under {_art}creative commons attribution {_nc}{_name}VER{_end}", _cc)
+
 # fixed values: ordered rules, longer evidence first; {} takes the version of the sequence's first sentence that has one
 RULES = [
     ("Apache-{}", ("apache-notice", "apache-comply", "apache-copy", "apache-as-is", "apache-see")),
     ("Apache-{}", ("apache-notice", "apache-comply", "apache-copy")),
     ("MIT", ("mit-grant", "mit-keep", "mit-as-is")),
     ("MIT", ("mit-grant", "mit-keep")),
+    ("BSD", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD", ("bsd-grant", "bsd-source")),
-    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-grant",)), ("ISC", ("isc-notice",)),
     ("GPL-{}-or-later", ("gpl-grant-later",)),
+    ("LGPL-{}-or-later", ("lgpl-grant-later",)),
+    ("AGPL-{}-or-later", ("agpl-grant-later",)),
     ("GPL-{}-only", ("gpl-grant",)),
+    ("LGPL-{}-only", ("lgpl-grant",)),
+    ("AGPL-{}-only", ("agpl-grant",)),
     ("GPL-{}", ("gpl-notice",)), ("LGPL-{}", ("lgpl-notice",)), ("AGPL-{}", ("agpl-notice",)), ("MPL-{}", ("mpl-notice",)),
     ("Apache-{}", ("apache-notice",)), ("MIT", ("mit-notice",)), ("MIT", ("mit-grant",)), ("BSD", ("bsd-notice",)), ("BSD", ("bsd-grant",)),
     ("CC-BY-{}", ("cc-by",)), ("CC-BY-SA-{}", ("cc-by-sa",)), ("CC-BY-NC-{}", ("cc-by-nc",)), ("CC-BY-ND-{}", ("cc-by-nd",)),
@@ -89,49 +136,49 @@ RULES = [
 
 _CUE = re.compile(r"licen[cs]e|permission is|permission to use|redistribut|copyright notice|public domain|rights reserved", re.I)
 _END = re.compile(r"[.!?:;](?=\s|$)|\n(?=\s*\n)|$")
-_MEANT = re.compile(r"""\((?:the|this) ["'\u201c]?licen[cs]e["'\u201d]?\)|\(the ["'\u201c]?software["'\u201d]?\)""", re.I)
-_VERSION = re.compile(r"\b(?:version |ver |v ?)?(\d+(?:\.\d+)*)\b")
+#: What `normalise` reads: a definition in brackets (left out), a version, a word.
+_TOKEN = re.compile(r"""(\((?:the|this)\s+["'\u201c]{0,2}licen[cs]e["'\u201d]{0,2}\))"""
+                    r"|\b(?:(?:version|ver|v)\b[.:]?[\s#*/;]*|v)?(\d+(?:\.\d+)*)\b|([a-z]+)", re.I | re.A)
+_CLOSING = re.compile(r"""["')\]]*[.!?:;](?=\s|$)""")
 _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)")
-_LONGEST = max(len(k.split()) for k in SENTENCES)
-
-
-def normalise(sentence: str) -> tuple[list[str], str | None]:
-    """Words of a sentence with versions as VER, and the first version."""
-    s = re.sub(r"(?m)^\s*(?://+|[#*;]+|--)", " ", sentence)
-    s = _MEANT.sub(lambda m: " the software " if "oftware" in m.group() else " ", s).lower().replace("licence", "license")
-    found = _VERSION.search(s)
-    s = re.sub(r"[^a-zA-Z\s]+", " ", _VERSION.sub(" VER ", s))
-    return s.split(), found.group(1) if found else None
-
-
-def sentences(text: str) -> list[tuple[int, int]]:
-    out, start = [], 0
-    for m in _END.finditer(text):
-        if text[start:m.end()].strip():
-            out.append((start, m.end()))
-        start = m.end()
-    return out
-
-
-def identify(words: list[str]) -> str | None:
-    """Identifier of the longest known sentence that ends these words."""
-    for n in range(min(len(words), _LONGEST), 2, -1):
-        if (name := SENTENCES.get(" ".join(words[-n:]))) is not None:
-            return name
-    return None
-
-
-def _candidates(text: str) -> list[tuple[int, int]]:
-    """Sentences with a cue and, where one runs over lines, its lines too."""
-    out = []
-    for a, b in sentences(text):
-        piece = text[a:b]
-        if not _CUE.search(piece):
-            # known sentences without a cue word only matter next to cued ones
-            if len(piece) > 2000:
-                continue
-        out.append((a, b))
-    return out
+_TREE: dict = {}  # the known sentences word by word, "" where one ends
+for _k, _id in SENTENCES.items():
+    _node = _TREE
+    for _word in _k.split():
+        _node = _node.setdefault(_word, {})
+    _node[""] = _id
+
+
+def normalise(text: str) -> tuple[list[str], list[re.Match]]:
+    """Words of a text with versions as VER, and the matches they come from."""
+    words, found = [], []
+    for m in _TOKEN.finditer(text):
+        if m.lastindex == 2:
+            words.append("VER")
+        elif m.lastindex == 3:
+            words.append(m.group().lower().replace("licence", "license"))
+        else:
+            continue
+        found.append(m)
+    return words, found
+
+
+def identify(words: list[str]) -> list[tuple[int, int, str]]:
+    """(first word, word behind the last, identifier) of the known sentences in
+    text order; of overlapping ones the longest, then the first."""
+    hits = []
+    for i, word in enumerate(words):
+        node, j = _TREE.get(word), i + 1
+        while node is not None:
+            if "" in node:
+                hits.append((i, j, node[""]))
+            node, j = node.get(words[j]) if j < len(words) else None, j + 1
+    used, out = bytearray(len(words)), []
+    for i, j, name in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
+        if not any(used[i:j]):
+            used[i:j] = b"\1" * (j - i)
+            out.append((i, j, name))
+    return sorted(out)
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:
@@ -139,19 +186,16 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if not text or not (_CUE.search(text) or "SPDX-" in text):
         return []
     seen: list[list] = []  # identifier, version, start, end
-    for a, b in _candidates(text):
-        words, version = normalise(text[a:b])
-        name = identify(words)
-        if name:
-            seen.append([name, version, a + (len(text[a:b]) - len(text[a:b].lstrip())), b])
-            continue
-        at = a
-        for line in text[a:b].split("\n") if "\n" in text[a:b] else ():
-            words, version = normalise(line)
-            name = identify(words) if _CUE.search(line) else None
-            if name:
-                seen.append([name, version, at + len(line) - len(line.lstrip()), at + len(line)])
-            at += len(line) + 1
+    words, places = normalise(text)
+    ends = [m.end() for m in _END.finditer(text)]
+    for i, j, name in identify(words):
+        first, end = places[i].start(), places[j - 1].end()
+        k = bisect.bisect_right(ends, first)
+        start = max(ends[k - 1] if k else 0, seen[-1][3] if seen else 0)
+        start += len(text[start:first]) - len(text[start:first].lstrip())
+        if (closing := _CLOSING.match(text, end)) is not None:
+            end = closing.end()
+        seen.append([name, next((m.group(2) for m in places[i:j] if m.lastindex == 2), None), start, end])
     taken = [False] * len(seen)
     found = [(m.group(1), m.start(), m.end()) for m in _SPDX.finditer(text)]
     for licence, ids in RULES:

@@ -415,6 +415,64 @@ def test_licenses(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def gnu(kind, stop, version, later=True, what="program", mark=""):
+    text = (f"This {what} is free software{stop[0]} you can redistribute it and/or modify\nit under the terms of the GNU {kind} as published by\n"
+            f"the Free Software Foundation{stop[1]} {'either ' if later else ''}version {version} of the License"
+            f"{', or' if later else ''}\n{'(at your option) any later version' if later else ''}.\n\n"
+            f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.  See the\nGNU {kind} for more details.")
+    return "\n".join(mark + x for x in text.split("\n"))
+
+
+NOTICES = {
+    "gpl3": (gnu("General Public License", ":,", "3"), ["GPL-3-or-later"]),
+    "gpl2": (gnu("General Public License", ";;", "2", mark=" * "), ["GPL-2-or-later"]),
+    "gpl2only": (gnu("General Public License", ";;", "2", later=False), ["GPL-2-only"]),
+    "gpl2kernel": ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\n"
+                   "published by the Free Software Foundation.", ["GPL-2-only"]),
+    "lgpl": (gnu("Lesser General Public License", ";;", "2.1", what="library", mark="# "), ["LGPL-2.1-or-later"]),
+    "agpl": (gnu("Affero General Public License", ":,", "3"), ["AGPL-3-or-later"]),
+    "mpl": ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+            " * file, You can obtain one at https://mozilla.org/MPL/2.0/. */", ["MPL-2.0"]),
+    "apache": ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n'
+               "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in "
+               'writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either '
+               "express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.", ["Apache-2.0"]),
+    "bsd": ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+            "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+            "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n"
+            "   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be "
+            'used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED "AS IS".', ["BSD"]),
+    "mit": ('Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\n'
+            "in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n"
+            "copies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice "
+            "and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n"
+            'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\n'
+            "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE.", ["MIT"]),
+    "cc": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License. To view a copy of this license, visit\n"
+           "http://creativecommons.org/licenses/by-sa/4.0/.", ["CC-BY-SA-4.0"]),
+    "midway": ("Released under the MIT License by Acme.", ["MIT"]),
+    "lines": ("Licensed under CC BY-SA 4.0\nAll rights reserved", ["CC-BY-SA-4.0", "All-Rights-Reserved"]),
+    "two": ("Code is licensed under the MIT License and text is licensed under CC BY 4.0 unless said otherwise", ["MIT", "CC-BY-4.0"]),
+    "later": ("It is released under the terms of the GNU General Public License v3.0 or later, see COPYING", ["GPL-3.0-or-later"]),
+    "far": ("word " * 600 + "this work is dedicated to the public domain by " + "word " * 600, ["Public-Domain"]),
+}
+
+
+@pytest.mark.parametrize("name", NOTICES)
+@pytest.mark.parametrize("before,after", [("", ""), ("file.c: part of Acme, ", " Some more text"), ("Copyright 2020 Acme\n", "\nint main(void)\n")])
+def test_standard_notices(name, before, after):
+    notice, licences = NOTICES[name]
+    text = before + notice + after
+    found = license_scan.scan(text)
+    assert [x[0] for x in found] == licences
+    assert all(0 <= a < b <= len(text) for _, a, b in found) and all(x[2] <= y[1] for x, y in zip(found, found[1:]))
+
+
+def test_licenses_overlapping_sentences_count_once():
+    words, _ = license_scan.normalise("Licensed under the GNU General Public License, version 2 or any later version; licensed under the licence")
+    assert [x[2] for x in license_scan.identify(words)] == ["gpl-grant-later"]
+
+
 def test_license_lines_of_the_corpus(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")
     line = re.compile(r"licensed under the GNU General Public License, version [\d.]+\.|Released under the MIT License\.|Licensed under CC BY-NC [\d.]+\."
