@@ -7,8 +7,9 @@ max-pooled per chunk; the mean and the maximum over the chunks go through one
 hidden layer to one probability.
 
 The model is fitted on the driver on a bounded sample: at most `per_class`
-labelled documents of either class (smallest hashes of doc_id) with at most
-`chunks_per_doc` chunks spread over each document.  Scoring is one pass over
+labelled documents of either class (smallest hashes of doc_id), fewer where
+they hold more than `sample_bytes`; all chunks of a document that is taken
+are fitted on, as all are scored.  Scoring is one pass over
 all texts in the tasks that read them, with no shuffle; the network (some
 tens of KB) travels with the task.
 
@@ -34,7 +35,7 @@ EMBED = 8
 FILTERS = 32
 HIDDEN = 24
 PER_CLASS = 800
-CHUNKS_PER_DOC = 4
+SAMPLE_BYTES = 16 << 20
 EPOCHS = 14
 HELD_OUT = (3, 1)  # crc32(doc_id) mod 3 = 1
 _PAD = 256
@@ -78,6 +79,15 @@ class Network:
         parts = [self.responses(self.groups(chunks[i:i + _AT_ONCE])).max(axis=1) for i in range(0, len(chunks), _AT_ONCE)]
         return np.maximum(np.concatenate(parts) + self.w["bias"], 0)
 
+    def best_windows(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and height of each filter's best response per chunk."""
+        best, top = [], []
+        for i in range(0, len(chunks), _AT_ONCE):
+            z = self.responses(self.groups(chunks[i:i + _AT_ONCE]))
+            best.append(z.argmax(axis=1))
+            top.append(np.take_along_axis(z, best[-1][:, None, :], axis=1)[:, 0])
+        return np.concatenate(best), np.concatenate(top)
+
     def head(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.maximum(doc @ self.w["hidden"] + self.w["hidden_bias"], 0)
         z = np.clip(h @ self.w["out"] + self.w["out_bias"][0], -30, 30)
@@ -96,11 +106,11 @@ def document_vectors(pooled: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.hstack([np.add.reduceat(pooled, first[:-1]) / count, np.maximum.reduceat(pooled, first[:-1])])
 
 
-def fit(samples: list[tuple[list[bytes], int]], epochs: int = EPOCHS, batch: int = 48, rate: float = 4e-3, seed: int = 7) -> Network:
-    """Train on (chunks, label) pairs by Adam on the log loss; a max-pooled
-    filter learns from its best window only."""
+def fit(samples: list[tuple[bytes, int]], epochs: int = EPOCHS, batch: int = 48, rate: float = 4e-3, seed: int = 7) -> Network:
+    """Train on (text, label) pairs, all chunks of each text, by Adam on the log
+    loss; a max-pooled filter learns from its best window only."""
     net, r = Network(seed), np.random.default_rng(seed)
-    data = [np.stack([np.pad(np.frombuffer(c, np.uint8).astype(np.int16), (0, CHUNK - len(c)), constant_values=_PAD) for c in cs]) for cs, _ in samples]
+    data = [chunks_of(raw, chunk_starts(len(raw))) for raw, _ in samples]
     label = np.array([y for _, y in samples], dtype=np.float32)
     share = np.clip(label.mean(), 1e-3, 1 - 1e-3)
     weight = np.where(label == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
@@ -113,10 +123,8 @@ def fit(samples: list[tuple[list[bytes], int]], epochs: int = EPOCHS, batch: int
             own = order[lo:lo + batch]
             first = np.cumsum([0, *[len(data[i]) for i in own]])
             chunks = np.concatenate([data[i] for i in own])
-            groups = net.groups(chunks)
-            z = net.responses(groups)
-            best = z.argmax(axis=1)  # chunks x filters
-            top = np.take_along_axis(z, best[:, None, :], axis=1)[:, 0] + net.w["bias"]
+            best, top = net.best_windows(chunks)  # chunks x filters
+            top = top + net.w["bias"]
             pooled = np.maximum(top, 0)
             doc = document_vectors(pooled, first)
             h, p = net.head(doc)
@@ -131,13 +139,15 @@ def fit(samples: list[tuple[list[bytes], int]], epochs: int = EPOCHS, batch: int
             dp = dp * (top > 0)
             g["bias"] = dp.sum(axis=0)
             rows = np.arange(len(chunks))[:, None]
-            left, right = groups[rows, best], groups[rows, best + 1]  # chunks x filters x wide
-            g["filters"] = np.hstack([np.einsum("cfw,cf->wf", left, dp), np.einsum("cfw,cf->wf", right, dp)])
             ge = np.zeros_like(net.w["embed"])
             cells = chunks.reshape(len(chunks), -1, GROUP)
+            grown = []
             for half, shift in ((net.w["filters"][:, :FILTERS], 0), (net.w["filters"][:, FILTERS:], 1)):
+                own_cells = cells[rows, best + shift]  # chunks x filters x GROUP
+                grown.append(np.einsum("cfw,cf->wf", net.w["embed"][own_cells].reshape(*best.shape, -1), dp))
                 back = (dp[:, :, None] * half.T[None]).reshape(-1, EMBED)
-                np.add.at(ge, cells[rows, best + shift].reshape(-1), back)
+                np.add.at(ge, own_cells.reshape(-1), back)
+            g["filters"] = np.hstack(grown)
             ge[_PAD] = 0
             g["embed"] = ge
             t += 1
@@ -148,26 +158,23 @@ def fit(samples: list[tuple[list[bytes], int]], epochs: int = EPOCHS, batch: int
     return net
 
 
-def _sample_chunks(most: int):
-    def run(batches):
-        for batch in batches:
-            out = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                raw = text or b""
-                starts = chunk_starts(len(raw))
-                pick = starts[np.unique(np.linspace(0, starts.size - 1, most).astype(int))]
-                out.append([raw[s:s + CHUNK] for s in pick.tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.list_(pa.binary()))],
-                                             names=["doc_id", "quality", "chunks"])
-    return run
-
-
 def in_fold(id_col: str = "doc_id"):
     text = F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")
     return F.crc32(text) % HELD_OUT[0] == HELD_OUT[1]
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chunks_per_doc: int = CHUNKS_PER_DOC,
+def within(rows: list, most: int) -> list:
+    """The first rows by hash that hold at most `most` bytes, one at least."""
+    out, held = [], 0
+    for x in sorted(rows, key=lambda x: (x["hash"], x["doc_id"])):
+        held += x["size"]
+        if out and held > most:
+            break
+        out.append(x)
+    return out
+
+
+def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES,
           epochs: int = EPOCHS) -> Network | float:
     """Fit on labelled rows outside the held-out fold; a float is the
     constant score when a class is missing."""
@@ -175,10 +182,16 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, c
         F.min("quality").alias("quality"), F.max("quality").alias("_top")).where("quality = _top").select("doc_id", "quality")
     picked = [truth.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     ids = picked[0].union(picked[1])  # at most 2 * per_class rows
-    rows = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").mapInArrow(
-        _sample_chunks(chunks_per_doc), "doc_id long, quality int, chunks array<binary>").collect()
-    rows = sorted(rows, key=lambda x: (x["doc_id"], x["quality"], [bytes(c) for c in x["chunks"]]))
-    samples = [([bytes(c) for c in x["chunks"]], int(x["quality"])) for x in rows]
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("raw"))
+    sizes = texts.join(F.broadcast(ids), "doc_id").groupBy("quality", F.xxhash64("doc_id").alias("hash"), "doc_id").agg(
+        F.sum(F.coalesce(F.octet_length("raw"), F.lit(0))).alias("size")).collect()
+    taken = [(x["doc_id"], q) for q in (0, 1) for x in within([x for x in sizes if x["quality"] == q], sample_bytes // 2)]
+    if not taken:
+        return 0.5
+    chosen = documents.sparkSession.createDataFrame(taken, "doc_id long, quality int")
+    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
+    rows = sorted((x["doc_id"], int(x["quality"]), bytes(x["raw"] or b"")) for x in rows)
+    samples = [(raw, quality) for _, quality, raw in rows]
     if len({y for _, y in samples}) < 2:
         return float(np.mean([y for _, y in samples])) if samples else 0.5
     return fit(samples, epochs)

@@ -318,6 +318,19 @@ def test_cnn_chunks_cover_whole_texts():
     assert net.score([far])[0] != net.score([far[:-20] + b"#*$%#*$%#*$%#*$%#*$%"])[0]
 
 
+def test_cnn_is_fitted_on_whole_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{i} " * 3000) for i in range(60)] + [(99, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(60), 99]], "doc_id long, quality int")
+    whole = {(f"{i} " * 3000).encode() for i in range(60)} | {b""}
+    monkeypatch.setattr(quality_cnn, "fit", lambda samples, epochs: samples)
+    held = {str(i) for i in [*range(60), 99] if zlib.crc32(str(i).encode()) % 3 == 1}
+    got = quality_cnn.train(docs, labels)
+    assert sorted(raw for raw, _ in got) == sorted(raw for raw in whole if (raw.split() or [b"99"])[0].decode() not in held)
+    for most, bound in ((60000, 60000), (1, 1 << 20)):
+        got = quality_cnn.train(docs, labels, sample_bytes=most)
+        assert {raw for raw, _ in got} <= whole and {y for _, y in got} == {0, 1} and sum(len(raw) for raw, _ in got) <= bound
+
+
 PAGE = ('<html><head><title>T</title><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>'
         '<div class="cookie-notice">We use cookies</div><article><h1>Head &amp; line</h1><p>One   two<b>three</b>.<br>four<p>Short.</p>'
         '<div class="ad">Buy</div></article><section class="comments"><p>A reader comment that is long enough to look like text.</p></section>'
