@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -521,3 +522,59 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in table(kept)} == exp
     rows = table(corpus_pipeline.run(spark, SF))
     assert {r["doc_id"] for r in rows} <= exp | {r["doc_id"] for r in table(docs)} and len(rows) > 100
+
+
+def plain_counts(text):
+    w = WORDS.findall(text)
+    windows = collections.Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(text.count(c) for c in "#*$%&|<>"),
+            "n_dup_lines": len(lines) - len(set(lines)), "n_lines": len(lines),
+            "n_repeat_words": len({j for i in range(len(w) - 4) if windows[tuple(w[i:i + 5])] > 1 for j in range(i, i + 5)}),
+            "n_upper": sum(unicodedata.category(c) == "Lu" for c in text), "n_again": sum(a == b for a, b in zip(w, w[1:]))}
+
+
+def plain_verdict(text, cut):
+    q = plain_counts(text)
+    if q["n_words"] < 10 or 100 * q["n_repeat_words"] > 20 * q["n_words"]:
+        return False
+    stratum = sum(q["n_words"] >= x for x in quality_rules.STRATA)
+    for rule, (num, den, top) in quality_rules.RULES.items():
+        step = min(int(quality_rules.STEPS * q[num] / (max(q[den], 1) * top) + 1e-9), quality_rules.STEPS)
+        if step >= cut.get(f"{stratum}:{rule}", quality_rules.STEPS + 1):
+            return False
+    return True
+
+
+def test_pipeline_run_equals_a_plain_chain(spark):
+    """Rule verdicts, scores, brute-force components and pieces that cover exactly the survivors' ids."""
+    import corpus_pipeline
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    texts = {r["doc_id"]: r["text"] for r in table(docs)}
+    assert len(texts) == docs.count()
+    cut = quality_rules.learn_cutoffs(quality_rules.count_table(docs), labels)
+    ruled = {i: t for i, t in texts.items() if plain_verdict(t or "", cut)}
+    model = quality_cnn.train(docs, labels)
+    good = {i: t for i, t in ruled.items() if model.score([(t or "").encode()])[0] >= 0.5}
+    left = {c for _, c in brute_components(good, 5, 80).values()}
+    assert len(texts) > len(ruled) > len(good) > len(left) > 100
+    tok = vocab.load_tokenizer(vocab.tokenizer_path())
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in table(corpus_pipeline.run(spark, sf)):
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(pieces) == left
+    for i, own in pieces.items():
+        ids = np.array(tok.encode(texts[i] or "", add_special_tokens=False).ids + [0], "<u4")
+        at = 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == ids.size and r["ids_crc32"] == zlib.crc32(ids[at:at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == ids.size
+    for own in sequences.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 1024
