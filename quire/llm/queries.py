@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import (bpe_codec, html_extract, jaccard_join, language_id, license_scan, packing, quality_cnn, quality_rules, sharding,
-                       topk_search)
+from quire.llm import (bpe_codec, conversation_trie, hard_negatives, html_extract, jaccard_join, language_id, license_scan, packing, quality_cnn,
+                       quality_rules, sharding, topk_search, url_filter)
 from quire.llm.common import read_table
 
 
@@ -58,6 +58,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.planted_confusions(read_table(spark, sf_dir, "embeddings")))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = url_filter.write_filter(url_filter.rule_table(spark, url_filter.RULES), url_filter.word_table(spark, url_filter.BLOCK_WORDS))
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), listed)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.turn_ids(read_table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(conversation_trie.rebuild(turns))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -65,6 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_html_extract, op3_topk_search, op4_bpe_codec, op5_quality_rules, op6_sharding, op7_quality_cnn,
-    op8_jaccard_join, op9_packing, op10_license_scan, pipeline)}
+    op8_jaccard_join, op9_packing, op10_license_scan, op11_hard_negatives, op12_url_filter, op13_conversation_trie, pipeline)}
 
-ORACLES: dict[str, str] = {"op3_topk_search": topk_search.ORACLE}
+ORACLES: dict[str, str] = {"op3_topk_search": topk_search.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE,
+                           "op12_url_filter": url_filter.ORACLE, "op13_conversation_trie": conversation_trie.ORACLE}
