@@ -13,7 +13,8 @@
    dynamic program prices new patterns until none improves.  Rounded-down
    multiplicities are used whole; the few pieces left over are packed by best
    fit.
-3. *Assignment* (data-parallel): a piece's rank in its class comes from the
+3. *Assignment* (data-parallel): full sequences are numbered where they
+   stand.  Another piece's rank in its class comes from the
    counts of (bucket, class) and its place in its bucket, so that a class
    that holds a third of all pieces is ranked by many tasks.  Rank ranges
    belong to patterns; sequence number and slot follow by arithmetic, and the
@@ -88,7 +89,7 @@ def tokenised_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         run, _PIECES_DDL + (", ids array<int>" if with_ids else ""))
 
 
-# --- patterns (driver, bounded by the number of length classes) -------------
+# --- patterns (driver, bounded by the number of length classes; numpy without BLAS) ---
 
 def _best_pattern(value: np.ndarray, units: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """Unbounded knapsack: the pattern of highest value within `room` units."""
@@ -112,21 +113,43 @@ def _best_pattern(value: np.ndarray, units: np.ndarray, room: int) -> tuple[floa
     return float(best[room]), pattern
 
 
-def solve_patterns(units: np.ndarray, demand: np.ndarray, room: int, max_rounds: int = 4000,
-                   gap: float = 1e-4) -> list[tuple[np.ndarray, float]]:
+def _product(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Matrix times vector by numpy's own sums: no linear-algebra threads run
+    on the driver."""
+    return (matrix * vector).sum(axis=1)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots, again without such threads."""
+    m = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(m)])
+    for k in range(m):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k][None, :]
+    return both[:, m:]
+
+
+def solve_patterns(units: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-4) -> list[tuple[np.ndarray, float]]:
     """min sum(x) with sum(pattern * x) = demand, x >= 0, by the revised
     simplex method with column generation; ends when no pattern prices below
-    cost or the value is within `gap` of the dual bound."""
+    cost, the value is within `gap` of the dual bound, or it has not fallen
+    for ten rounds a class (degenerate pivots, which could go round for ever).
+    Whatever the end, the patterns found cover the demand."""
     m = len(units)
     columns = [np.eye(m, dtype=np.int64)[i] * (room // units[i]) for i in range(m)]
     inverse = np.diag([1.0 / c[i] for i, c in enumerate(columns)])
-    x = inverse @ demand
-    for k in range(max_rounds):
+    x = _product(inverse, demand)
+    least, still, k = np.inf, 0, 0
+    while still <= 10 * m:
         dual = inverse.sum(axis=0)  # every pattern costs one sequence
         best, pattern = _best_pattern(dual, units, room)
         if best <= 1 + 1e-9 or x.sum() * (1 - 1 / best) <= gap * x.sum():
             break
-        step = inverse @ pattern
+        step = _product(inverse, pattern)
         rises = step > 1e-9
         ratio = np.where(rises, x / np.where(rises, step, 1), np.inf)
         out = int(ratio.argmin())
@@ -136,9 +159,12 @@ def solve_patterns(units: np.ndarray, demand: np.ndarray, room: int, max_rounds:
         row = inverse[out] / step[out]
         inverse = inverse - np.outer(step, row)
         inverse[out] = row
-        if k % 200 == 199:  # fresh inverse against rounding drift
-            inverse = np.linalg.inv(np.array(columns, dtype=float).T)
-            x = np.maximum(inverse @ demand, 0)
+        k += 1
+        if k % 200 == 0:  # fresh inverse against rounding drift
+            inverse = _inverse(np.array(columns).T)
+            x = np.maximum(_product(inverse, demand), 0)
+        still = 0 if x.sum() < least - 1e-9 * demand.sum() else still + 1
+        least = min(least, x.sum())
     return list(zip(columns, x))
 
 
@@ -164,9 +190,9 @@ def plan_sequences(units: np.ndarray, demand: np.ndarray, room: int) -> list[tup
     return plan
 
 
-def _assignment(histogram: dict[int, int], grain: int, capacity: int) -> dict[str, np.ndarray]:
+def _assignment(histogram: dict[int, int], grain: int, capacity: int) -> tuple[dict[str, np.ndarray], int]:
     """Rank ranges: class, first rank, copies per sequence, first sequence,
-    first slot; sorted by (class, first rank)."""
+    first slot; sorted by (class, first rank); and the number of sequences."""
     classes = np.array(sorted(histogram), dtype=np.int64)
     demand = np.array([histogram[c] for c in classes.tolist()], dtype=np.int64)
     rows, taken, sequence = [], dict.fromkeys(classes.tolist(), 0), 0
@@ -180,7 +206,7 @@ def _assignment(histogram: dict[int, int], grain: int, capacity: int) -> dict[st
                 slot += n
         sequence += times
     rows.sort()
-    return {k: np.array([r[i] for r in rows], dtype=np.int64) for i, k in enumerate(("cls", "first", "copies", "seq", "slot"))}
+    return {k: np.array([r[i] for r in rows], dtype=np.int64) for i, k in enumerate(("cls", "first", "copies", "seq", "slot"))}, sequence
 
 
 def _placed(plan: dict[str, np.ndarray]):
@@ -215,11 +241,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
     # the bucket count follows the executors, not a constant, on large clusters
     buckets = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = F.xxhash64("doc_id", "start", "ids_crc32")
+    whole, pieces = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
     pieces = pieces.withColumn("cls", F.ceil(F.col("length") / grain).cast("long")) \
         .withColumn("bucket", F.pmod(spread, F.lit(buckets)))
     counts = pieces.groupBy("cls", "bucket").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["cls"]: r["n"] for r in counts.groupBy("cls").agg(F.sum("n").alias("n")).collect()}  # <= capacity / grain rows
-    plan = _assignment(histogram, grain, capacity)
+    plan, planned = _assignment(histogram, grain, capacity)
     before = Window.partitionBy("cls").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("cls", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("cls", "bucket").orderBy(spread, "doc_id", "start", "ids_crc32", "doc_tokens")
@@ -228,4 +255,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*names).schema)
     placed = ranked.mapInPandas(_placed(plan), f"{schema}, sequence_id long, slot long")
     running = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(*names, "sequence_id", F.coalesce(F.sum("length").over(running), F.lit(0)).alias("offset"))
+    shared = placed.select(*names, "sequence_id", F.coalesce(F.sum("length").over(running), F.lit(0)).alias("offset"))
+    # full sequences need no rank: the checkpoint's partitions and their order are fixed
+    alone = whole.select(*names, (F.lit(planned) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return shared.unionByName(alone)
