@@ -9,8 +9,9 @@ themselves; headers, forms and elements whose class or id names furniture (by
 a whole token or its last word) unless they hold the article or most of the
 page's text; a page without articles on which nothing is left keeps all.  Over
 the other lines the text-to-tag ratio is smoothed with a Gaussian and split by
-threshold clustering (two means in one dimension); the containers that hold
-the lines of the high cluster are the content regions (any number of them),
+threshold clustering (two means in one dimension; means that lie close
+together are one cluster, so uneven paragraphs are not parted); the containers
+that hold the lines of the high cluster are the content regions (any number of them),
 and all their lines are kept, short ones too, unless they are mostly links.
 Article and main elements are evidence only: their lines gain a factor of two,
 one whose text is mostly in the high cluster is a region as a whole, and
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 SIGMA = 1.0
 #: Share of a container's text that may be link text before it is a menu.
 LINK_SHARE = 0.5
+#: Clusters of lines whose mean ratios (logarithms) are nearer than this are one.
+APART = float(np.log(4))
 #: What a line inside an article or main element gains (logarithm of its ratio).
 ARTICLE_BONUS = float(np.log(2))
 #: An article beside a chosen one is chosen from this share of its ratio on.
@@ -215,8 +218,9 @@ def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[radius:radius + values.size] / ones
 
 
-def high_cluster(values: np.ndarray) -> np.ndarray:
-    """Threshold between two means, moved until it rests; all if equal."""
+def high_cluster(values: np.ndarray, apart: float = 0.0) -> np.ndarray:
+    """Threshold between two means, moved until it rests; all values if they
+    are equal, or if the two means lie less than `apart` from each other."""
     cut = values.mean()
     for _ in range(50):
         high = values >= cut
@@ -226,7 +230,10 @@ def high_cluster(values: np.ndarray) -> np.ndarray:
         if abs(new - cut) < 1e-9:
             break
         cut = new
-    return values >= cut
+    high = values >= cut
+    if high.all() or not high.any() or values[high].mean() - values[~high].mean() < apart:
+        return np.ones(values.size, dtype=bool)
+    return high
 
 
 def _totals(values, keep) -> np.ndarray:
@@ -249,10 +256,10 @@ def choose_lines(page: PageLines, keep: np.ndarray) -> np.ndarray:
     ratio = np.log1p(size[keep] / tags[keep])
     bonus = np.where(np.array(within)[box[keep]], ARTICLE_BONUS, 0.0)
     value = smoothed(ratio) + bonus
-    high[keep] = cluster = high_cluster(value)
+    high[keep] = cluster = high_cluster(value, APART)
     # a box needs a line that is high by itself too, not only by its neighbours in other boxes
     alone = np.zeros(size.size, dtype=bool)
-    alone[keep] = cluster & (ratio + bonus >= value[cluster].min() - 1e-9)
+    alone[keep] = cluster & (cluster.all() or ratio + bonus >= (value[cluster].mean() + value[~cluster].mean()) / 2)
     if not alone.any():
         alone = high
 
