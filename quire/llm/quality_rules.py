@@ -1,22 +1,26 @@
 """Operator 5: quality rules with risk-controlled thresholds (native).
 
-Every document gets exact counts; every rule is a ratio of them.  A rule's
-cutoff is chosen per stratum (text length class: a fixed number of strata)
-from the labelled documents (labels.quality 1 = good):
-
-* For each cutoff of a fixed grid, a good document at or above it is a false
-  rejection.  The hypothesis "the false rejection rate exceeds `risk`" is
-  rejected when the exact binomial tail P(Bin(n, risk) <= errors) is at most
-  delta / (strata * rules): Bonferroni over strata and rules, and within a
-  rule fixed-sequence testing from the mildest cutoff, which stops at the
-  first failure, so every cutoff passed holds jointly with confidence
-  1 - delta.
-* Among the cutoffs passed the one wins that rejects most labelled-bad
-  documents less `good_weight` times the good ones; ties go to the mildest.
-  A stratum or rule without a cutoff that passes rejects nothing.
+Every document gets exact counts; every rule is a ratio of them, on a grid of
+`STEPS` steps.  Cutoffs are chosen per stratum (text length class: a fixed
+number of strata) from the labelled documents (labels.quality 1 = good), whose
+ids' checksums put them into two halves:
+
+* On the first half a rule takes the cutoff that rejects most labelled-bad
+  documents less `good_weight` times the good ones; ties go to the mildest,
+  and a rule that is worth nothing is left out.
+* The second half is the holdout.  A stratum's chosen rules are tested
+  together: at level s a document is rejected if some rule's step reaches both
+  its cutoff and s, and a good document that is rejected by any rule is a
+  false rejection.  The hypothesis "the stratum's false rejection rate exceeds
+  `risk`" is rejected when the exact binomial tail P(Bin(n, risk) <= errors)
+  is at most delta / strata (Bonferroni); levels are tested from the mildest
+  on, stopping at the first failure (fixed sequence), and the last level
+  passed raises the cutoffs below it.  With confidence 1 - delta every stratum
+  loses at most `risk` of its good documents to all its rules together.  A
+  stratum where the mildest level fails rejects nothing.
 
 All work is DataFrame expressions inside the scan; the label join moves ids
-and counts only, never texts; the thresholds (strata * rules <= 15 by
+and steps only, never texts; the thresholds (strata * rules <= 15 by
 construction) become literals of the verdict.
 
 Rows: null text counts as empty (no words, base_failed); repeated rows are
@@ -32,7 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut_lineage
+from quire.llm.common import cut_lineage, written
 
 RISK = 0.02
 DELTA = 0.1
@@ -88,8 +92,8 @@ def repeat_words(words: Column, n: int = 5) -> Column:
     return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
 
-def annotate(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """`df` with one struct column `q`: the counts every rule uses."""
+def annotate(df: DataFrame, text_col: str = "text", out_col: str = "q") -> DataFrame:
+    """`df` with one struct column `out_col`: the counts every rule uses."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def count(words: Column) -> Column:
@@ -104,7 +108,7 @@ def annotate(df: DataFrame, text_col: str = "text") -> DataFrame:
             repeat_words(words).cast("long").alias("n_repeat_words"),
             F.regexp_count(text, F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
             _again(words).cast("long").alias("n_again"))
-    return df.withColumn("q", _let(words_of(text), count))
+    return df.withColumn(out_col, _let(words_of(text), count))
 
 
 def _again(words: Column) -> Column:
@@ -138,39 +142,55 @@ def _binomial_tail(errors: Column, n: Column, p: float) -> Column:
     return F.when(few, F.least(terms["sum"], F.lit(1.0))).otherwise(1.0)
 
 
-def thresholds(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", risk: float = RISK, delta: float = DELTA,
-               good_weight: float = GOOD_WEIGHT) -> DataFrame:
-    """One row: `cut`, a map from 'stratum:rule' to the chosen grid step.
-
-    `counts` has the id and the struct column `q`."""
-    level = delta / ((len(STRATA) + 1) * len(RULES))
+def _labelled(counts: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """(id, stratum, steps, good, holdout) of the labelled rows that the base
+    rule leaves; `steps` holds a row's grid step under every rule."""
     truth = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col(id_col)).agg(
         F.min("quality").alias("good"), F.max("quality").alias("_top")).where("good = _top").select(id_col, "good")
-    steps = F.array(*[F.struct(F.lit(r).alias("rule"), _step(F.col("q"), r).alias("step")) for r in RULES])
-    seen = counts.where(~base_failed(F.col("q"))).select(
-        id_col, stratum_of(F.col("q.n_words")).alias("stratum"), F.explode(steps).alias("s")) \
-        .select(id_col, "stratum", "s.rule", "s.step").join(truth, id_col)
-    cell = seen.groupBy("stratum", "rule", "step", "good").agg(F.count(F.lit(1)).alias("n"))
-    # strata * rules * steps * 2 rows at most from here on
-    per = cell.groupBy("stratum", "rule").agg(
+    q = F.col("q")
+    steps = F.array(*[_step(q, r) for r in RULES])
+    holdout = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 2 == 1
+    return counts.where(~base_failed(q)).select(id_col, stratum_of(q["n_words"]).alias("stratum"), steps.alias("steps")).join(truth, id_col) \
+        .withColumn("holdout", holdout)
+
+
+def _from(counts: str, low: Column) -> Column:
+    """Rows at step `low` or above, from a map step -> rows."""
+    return F.aggregate(F.map_entries(F.col(counts)), F.lit(0).cast("long"),
+                       lambda a, e: a + F.when(e["key"] >= low, e["value"]).otherwise(0))
+
+
+def _by_step(cells: DataFrame, *keys: str) -> DataFrame:
+    """Per key: maps step -> rows for good and bad (strata * rules * steps * 2 rows at most come in)."""
+    return cells.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.when(F.col("good") == 1, F.struct("step", "n")))).alias("good"),
         F.map_from_entries(F.collect_list(F.when(F.col("good") == 0, F.struct("step", "n")))).alias("bad"))
 
-    def total(m: str, low: Column) -> Column:
-        return F.aggregate(F.map_entries(F.col(m)), F.lit(0).cast("long"),
-                           lambda a, e: a + F.when(e["key"] >= low, e["value"]).otherwise(0))
-    grid = per.select("stratum", "rule", total("good", F.lit(0)).alias("n"), F.transform(
-        F.sequence(F.lit(STEPS), F.lit(1), F.lit(-1)),
-        lambda s: F.struct(s.alias("step"), total("good", s).alias("errors"), total("bad", s).alias("caught"))).alias("steps"))
-    judged = grid.select("stratum", "rule", F.transform("steps", lambda c: F.struct(
-        c["step"].alias("step"), (c["caught"] - good_weight * c["errors"]).alias("worth"),
-        (_binomial_tail(c["errors"], F.col("n"), risk) <= level).alias("ok"))).alias("steps"))
-    first_bad = F.array_position(F.transform("steps", lambda c: c["ok"].cast("int")), 0)
-    passed = F.when(first_bad == 0, F.col("steps")).otherwise(F.slice("steps", F.lit(1), (first_bad - 1).cast("int")))
-    best = judged.select("stratum", "rule", F.array_max(F.transform(
-        F.filter(passed, lambda c: c["worth"] > 0), lambda c: F.struct(c["worth"], c["step"].alias("step")))).alias("best"))
-    return best.groupBy().agg(F.map_from_entries(F.collect_list(F.when(
-        F.col("best").isNotNull(), F.struct(F.concat_ws(":", "stratum", "rule"), F.col("best.step"))))).alias("cut"))
+
+def candidates(seen: DataFrame, good_weight: float = GOOD_WEIGHT) -> dict[tuple[int, int], int]:
+    """(stratum, rule) -> the step worth most on the rows outside the holdout."""
+    cells = seen.where("not holdout").select("stratum", F.posexplode("steps").alias("rule", "step"), "good") \
+        .groupBy("stratum", "rule", "step", "good").agg(F.count(F.lit(1)).alias("n"))
+    worth = F.transform(F.sequence(F.lit(STEPS), F.lit(1), F.lit(-1)), lambda s: F.struct(
+        (_from("bad", s) - good_weight * _from("good", s)).alias("worth"), s.alias("step")))
+    best = _by_step(cells, "stratum", "rule").select("stratum", "rule", F.array_max(worth).alias("best")).where("best.worth > 0")
+    return {(r["stratum"], r["rule"]): r["best"]["step"] for r in best.collect()}  # strata * rules rows
+
+
+def thresholds(seen: DataFrame, chosen: dict[tuple[int, int], int], risk: float = RISK, delta: float = DELTA) -> dict[int, int]:
+    """stratum -> the strictest grid step from which on the joint verdict of
+    its chosen rules passes on the holdout; strata where none does are left out."""
+    reached = F.lit(0)
+    for (stratum, rule), step in sorted(chosen.items()):
+        own = F.col("steps")[rule]
+        reached = F.greatest(reached, F.when((F.col("stratum") == stratum) & (own >= step), own).otherwise(0))
+    cells = seen.where("holdout").groupBy("stratum", reached.alias("step"), "good").agg(F.count(F.lit(1)).alias("n"))
+    n = _from("good", F.lit(0))
+    level = delta / (len(STRATA) + 1)
+    ok = F.transform(F.sequence(F.lit(STEPS), F.lit(1), F.lit(-1)), lambda s: (_binomial_tail(_from("good", s), n, risk) <= level).cast("int"))
+    failed = _by_step(cells, "stratum").select("stratum", F.array_position(ok, 0).alias("first"))
+    lowest = {r["stratum"]: 1 if r["first"] == 0 else STEPS + 2 - r["first"] for r in failed.collect()}  # one row a stratum
+    return {s: step for s, step in lowest.items() if step <= STEPS}
 
 
 def count_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,25 +199,40 @@ def count_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return cut_lineage(annotate(df.select(id_col, text_col), text_col).select(id_col, "q"))
 
 
-def learn_cutoffs(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", **settings) -> dict[str, int]:
+def learn_cutoffs(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", risk: float = RISK, delta: float = DELTA,
+                  good_weight: float = GOOD_WEIGHT) -> dict[str, int]:
     """'stratum:rule' -> grid step (at most strata * rules entries)."""
-    own = labels.select(F.col("doc_id").alias(id_col), "quality")
-    return thresholds(counts, own, id_col, **settings).collect()[0]["cut"]
+    seen = cut_lineage(_labelled(counts, labels.select(F.col("doc_id").alias(id_col), "quality"), id_col))
+    chosen = candidates(seen, good_weight)
+    lowest = thresholds(seen, chosen, risk, delta) if chosen else {}
+    names = list(RULES)
+    return {f"{s}:{names[r]}": max(step, lowest[s]) for (s, r), step in chosen.items() if s in lowest}
 
 
-def judge(counted: DataFrame, cut: dict[str, int]) -> DataFrame:
-    """Rows with `q` get base_failed and kept."""
-    q = F.col("q")
+def rejects(q: Column, cut: dict[str, int]) -> Column:
+    """Whether a rule's cutoff is reached."""
     over = F.lit(False)
     for name, step in sorted(cut.items()):
         stratum, rule = name.split(":")
         over = over | ((stratum_of(q["n_words"]) == int(stratum)) & (_step(q, rule) >= step))
-    return counted.withColumn("base_failed", base_failed(q)).withColumn("kept", ~F.col("base_failed") & ~over)
+    return over
+
+
+def judge(counted: DataFrame, cut: dict[str, int]) -> DataFrame:
+    """Rows with `q` get base_failed and kept."""
+    q = F.col("q")
+    return counted.withColumn("base_failed", base_failed(q)).withColumn("kept", ~F.col("base_failed") & ~rejects(q, cut))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` that pass, with their columns unchanged.  The counts
-    are made again in the filtering scan, which costs less than moving every
-    text through a join."""
-    cut = learn_cutoffs(count_table(df, id_col, text_col), labels, id_col)
-    return judge(annotate(df, text_col), cut).where("kept").select(*df.columns)
+    """The rows of `df` that pass, with their columns unchanged.  Texts are
+    counted once: the rows that the base rule leaves are written with their
+    counts to the shared folder, the cutoffs are learned from the ids and
+    counts there, and the verdict reads that table."""
+    own = "q"
+    while own in df.columns:  # a name that the input does not use
+        own += "_"
+    q = F.col(own)
+    counted = written(annotate(df, text_col, own).where(~base_failed(q)), "quality")
+    cut = learn_cutoffs(counted.select(id_col, q.alias("q")), labels, id_col)
+    return counted.where(~rejects(q, cut)).select(*df.columns)
