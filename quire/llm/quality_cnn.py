@@ -7,8 +7,8 @@ max-pooled per chunk; the mean and the maximum over the chunks go through one
 hidden layer to one probability.
 
 The model is fitted on the driver on a bounded sample: at most `per_class`
-labelled documents of either class (smallest hashes of doc_id), fewer where
-they hold more than `sample_bytes`; all chunks of a document that is taken
+labelled documents of either class (smallest hashes of doc_id), without those
+that do not fit into `sample_bytes` any more; all chunks of a document that is taken
 are fitted on, as all are scored.  Scoring is one pass over
 all texts in the tasks that read them, with no shuffle; the network (some
 tens of KB) travels with the task.
@@ -164,13 +164,13 @@ def in_fold(id_col: str = "doc_id"):
 
 
 def within(rows: list, most: int) -> list:
-    """The first rows by hash that hold at most `most` bytes, one at least."""
+    """The first rows by hash that hold at most `most` bytes together; a row
+    that does not fit any more is passed by."""
     out, held = [], 0
     for x in sorted(rows, key=lambda x: (x["hash"], x["doc_id"])):
-        held += x["size"]
-        if out and held > most:
-            break
-        out.append(x)
+        if held + x["size"] <= most:
+            out.append(x)
+            held += x["size"]
     return out
 
 
