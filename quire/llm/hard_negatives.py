@@ -121,15 +121,20 @@ class Cell:
                         far = self.edge[own][:, None] * norm + slack
                         low[own] = np.maximum(low[self.parent[own]] - far, -most)
                         high[own] = np.minimum(high[self.parent[own]] + far, most)
-                        some = np.flatnonzero(wanted(own, here, low[own], high[own]).any(axis=0))
+                        hit = wanted(own, here, low[own], high[own])
                     else:
-                        low[own], high[own], some = -most, most, np.arange(here.size)
+                        low[own], high[own], hit = -most, most, np.ones((own.size, here.size), dtype=bool)
                     self.pairs += own.size * here.size
-                    self.scored += own.size * some.size
-                    if some.size:
-                        s = self.a[own] @ c[some].T
-                        low[own[:, None], some], high[own[:, None], some] = s, s
-                        take(own, here[some], s.astype(np.int64))
+                    some = hit.any(axis=0)
+                    # neighbours want nearly the same candidates, or each is served alone
+                    groups = [(own, some)] if 4 * hit.sum() > own.size * some.sum() else [(own[i:i + 1], hit[i]) for i in range(own.size)]
+                    for mine, cols in groups:
+                        cols = np.flatnonzero(cols)
+                        self.scored += mine.size * cols.size
+                        if cols.size:
+                            s = self.a[mine] @ c[cols].T
+                            low[mine[:, None], cols], high[mine[:, None], cols] = s, s
+                            take(mine, here[cols], s.astype(np.int64))
 
 
 def best_rows(scores: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +143,14 @@ def best_rows(scores: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray
     return np.take_along_axis(scores, by, 1), np.take_along_axis(ids, by, 1)
 
 
+def _surely(low: np.ndarray, counted: np.ndarray, top: int) -> np.ndarray:
+    """Per row, a score that `top` of the counted candidates reach by their
+    lower bounds (-inf if they are fewer): a lower score is not among the best."""
+    if low.shape[1] < top:
+        return np.full(len(low), -np.inf)
+    return np.partition(np.where(counted, low, -np.inf), low.shape[1] - top, axis=1)[:, low.shape[1] - top]
+
+
 def find_positives(cell: Cell, top: int) -> tuple[np.ndarray, np.ndarray]:
     best = np.full((len(cell.a), top), _NONE)
     best_id = np.full((len(cell.a), top), _NO_ID)
@@ -146,7 +159,8 @@ def find_positives(cell: Cell, top: int) -> tuple[np.ndarray, np.ndarray]:
         return (cell.labels[here] == cell.anchor_labels[own][:, None]) & (cell.ids[here] != cell.anchor_ids[own][:, None])
 
     def wanted(own, here, low, high):
-        return fits(own, here) & (high >= best[own, -1:])
+        fit = fits(own, here)
+        return fit & (high >= np.maximum(best[own, -1], _surely(low, fit, top))[:, None])
 
     def take(own, here, s):
         fit = fits(own, here)
@@ -164,10 +178,13 @@ def find_negatives(cell: Cell, least: np.ndarray, most: np.ndarray, top: int) ->
     best_id = np.full(best.shape, _NO_ID)
 
     def wanted(own, here, low, high):
+        fit = (cell.labels[here] != cell.anchor_labels[own][:, None]) & (cell.ids[here] != cell.anchor_ids[own][:, None])
         out = np.zeros(low.shape, dtype=bool)
         for w in range(least.shape[1]):
-            out |= (high >= least[own, w, None]) & (low <= most[own, w, None])
-        return out & (cell.labels[here] != cell.anchor_labels[own][:, None])
+            a, b = least[own, w, None], most[own, w, None]
+            within = fit & (low >= a) & (high <= b)
+            out |= (high >= np.maximum(a[:, 0], _surely(low, within, top))[:, None]) & (low <= b)
+        return out & fit
 
     def take(own, here, s):
         fit = (cell.labels[here] != cell.anchor_labels[own][:, None]) & (cell.ids[here] != cell.anchor_ids[own][:, None])
