@@ -66,6 +66,12 @@ def _scan(text: str, size: int, overlap: int):
     return out
 
 
+def scan_chunks(text: str, size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP) -> list[dict]:
+    """The chunks (start, end, text) of one Python string, for passes that
+    hold the text already."""
+    return _scan(text, size, overlap)
+
+
 def chunk_spans(text, size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP) -> Column:
     """K1 core: array of (start, end, text) per row.
 

@@ -199,6 +199,16 @@ def _python_detector(profile: str):
     return detect
 
 
+def python_redactor(mode: str = "mask", salt: str = P.DEFAULT_SALT, profile: str = "reference"):
+    """`redact_text` of one Python string, for passes that hold the text
+    already (the caller's Arrow stage)."""
+    if mode not in P.REDACTION_MODES:
+        raise ValueError(f"Unknown redaction mode: {mode}")
+    _python_detector(profile)
+    keep = _PY_DETECTORS[profile + "/plain"]
+    return lambda text: _replaced(text, keep(text), mode, salt)
+
+
 def redact_many(texts: Column, mode: str = "mask", salt: Column | str = P.DEFAULT_SALT, profile: str = "reference") -> Column:
     """`redact_text` for an array of texts (e.g. the chunks of a document):
     array of redacted texts, aligned with the input; null for a null array."""

@@ -7,8 +7,10 @@ document's chunks are never regrouped through a shuffle; redaction by role
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from quire.functions import patterns as P
 from quire.functions.text import py_strip
@@ -50,13 +52,21 @@ def with_summary_text(df: DataFrame, text_col: str, doc_col: str, can_view_col:
                       out_col: str = "full") -> DataFrame:
     """Chunks of the document (K1), each redacted by role (P8, per chunk as
     the reference does), joined by a blank line; null when the document
-    has no chunks (not found).  All inside the document's row."""
-    d = df.withColumn("_chunks", K.chunk_array(F.col(text_col), F.col(doc_col)))
-    texts = F.transform("_chunks", lambda c: c["text"])
-    d = d.withColumn("_masked", pii.redact_many(F.when(~F.col(can_view_col), texts)))
-    parts = F.when(F.col(can_view_col), texts).otherwise(F.col("_masked"))
-    return d.withColumn(out_col, F.when(F.size("_chunks") > 0, F.array_join(parts, "\n\n"))) \
-        .drop("_chunks", "_masked")
+    has no chunks (not found).  One Arrow pass in the document's row."""
+    return df.withColumn(out_col, _redacted_chunks(F.col(text_col), F.col(can_view_col)))
+
+
+def _redacted_chunks(text: Column, can_view: Column) -> Column:
+    masked = pii.python_redactor("mask")
+
+    @pandas_udf("string")
+    def joined(texts: pd.Series, views: pd.Series) -> pd.Series:
+        out = []
+        for t, view in zip(texts, views):
+            parts = [c["text"] for c in K.scan_chunks(t)] if t is not None else []
+            out.append("\n\n".join(parts if view else map(masked, parts)) if parts else None)
+        return pd.Series(out, dtype=object)
+    return joined(text, can_view)
 
 
 def split_a(full: Column) -> Column:
@@ -95,6 +105,43 @@ def summarize_b(pieces: Column, query: Column) -> tuple[Column, Column]:
             F.when(focused, F.slice(relevant, 1, 3)).otherwise(g_high))
 
 
+def chunk_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_cols: list[str] | None = None,
+                  mode: str = "mask", salt: Column | str = P.DEFAULT_SALT) -> DataFrame:
+    """The rows of the chunk store.  `chunk_text` is redacted (P1, P3,
+    P4-P6), `original_text` is kept for holders of pii:view, and
+    `redaction_metadata` lists the applied redactions (P7; empty: none).
+    The id is derived from the original text and doubles as its hash and as
+    the id of its vector, as in the reference.  One pass in the document's
+    row; nothing shuffles."""
+    chunks = K.chunk_table(docs, id_col, text_col, keep_cols=keep_cols)
+    spans = chunks.withColumn("_spans", pii.detect_pii(F.col("chunk_text")))
+    keep = [c for c in (keep_cols or []) if c not in (id_col, text_col)]
+    return spans.select(
+        "chunk_id", "document_id", *keep, "chunk_index", "start", "end", "length", F.col("chunk_id").alias("text_hash"),
+        pii.redact(F.col("chunk_text"), F.col("_spans"), mode, salt).alias("chunk_text"), F.col("chunk_text").alias("original_text"),
+        pii.applied_redactions(F.col("_spans"), mode, salt).alias("redaction_metadata"), F.col("chunk_id").alias("vector_id"))
+
+
+def hit_metadata(hits: DataFrame, vectors: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """What a search hit shows: its vector's chunk, the chunk's offsets,
+    text and redaction metadata, and the document's file name.
+
+    hits: query_id, rank, vector_id, score; vectors (S9): vector_id, chunk_id,
+    position, embedding_version; chunks (S6); documents: document_id, filename.
+    The stored tables are narrowed to the hits from step to step: a side that
+    turns out small is broadcast at run time, and where both are large the
+    optimizer's runtime filter (a Bloom filter of the hits' keys) prunes the
+    scan of the stored table before its exchange.  Hits without a vector,
+    chunk or document are left out (inner joins, as in the reference)."""
+    h = hits.select("query_id", "rank", "vector_id", "score")
+    v = vectors.select("vector_id", "chunk_id", "position", "embedding_version")
+    c = chunks.select("chunk_id", "document_id", "start", "end", "chunk_text", "redaction_metadata")
+    d = documents.select("document_id", F.col("filename").alias("document_name"))
+    j = h.join(v, "vector_id").join(c, "chunk_id").join(d, "document_id")
+    return j.select("query_id", "rank", "vector_id", "score", "position", "embedding_version", "chunk_id", "document_id", "document_name",
+                    "start", "end", F.col("chunk_text").alias("text"), "redaction_metadata")
+
+
 def secure_search(requests: DataFrame, permissions: DataFrame, index: DataFrame, chunks: DataFrame,
                   embedder: V.Embedder, k: int = 5) -> DataFrame:
     """Q1: authorise (J5 semi join on document:search) -> embed the query
@@ -108,7 +155,7 @@ def secure_search(requests: DataFrame, permissions: DataFrame, index: DataFrame,
     allowed = requests.join(perms, ["user_id", "tenant_id"]) \
         .filter(F.array_contains("permissions", "document:search"))
     q = V.embed_batch(allowed, embedder, text_col="query", out_col="query_embedding")
-    hits = V.knn(index, q.select("query_id", "tenant_id", "query_embedding"), k=k, query_dim=embedder.dim)
+    hits = V.knn(index, q.select("query_id", "tenant_id", "query_embedding"), k=k)
     can_view = allowed.select("query_id", F.array_contains("permissions", "pii:view").alias("can_view_pii"))
     j = hits.join(chunks.select(F.col("chunk_id").alias("vector_id"), "document_id", "chunk_text"), "vector_id") \
         .join(can_view, "query_id")
@@ -147,7 +194,7 @@ def secure_search_offsets(requests: DataFrame, permissions: DataFrame, index: Da
     allowed = requests.join(perms, ["user_id", "tenant_id"]) \
         .filter(F.array_contains("permissions", "document:search"))
     q = V.embed_batch(allowed, embedder, text_col="query", out_col="query_embedding")
-    hits = V.knn(index, q.select("query_id", "tenant_id", "query_embedding"), k=k, query_dim=embedder.dim,
+    hits = V.knn(index, q.select("query_id", "tenant_id", "query_embedding"), k=k,
                  carry_cols=["document_id", "start", "end"])
     can_view = allowed.select("query_id", F.array_contains("permissions", "pii:view").alias("can_view_pii"))
     # no hint: hits grow with the query batch, AQE broadcasts them when their measured size allows

@@ -152,157 +152,134 @@ def mean_pool(df: DataFrame, group_cols: list[str], vec_col: str = "embedding",
 
 # --- V6: exact kNN -------------------------------------------------------------
 
-def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | None = "tenant_id",
+#: Rows of one tile at most (on average: tiles are dealt by hashes).
+TILE_VECTORS = 16_384
+TILE_QUERIES = 4_096
+#: Largest table of split scopes that travels with every task (some MB).
+SPLIT_SCOPES = 200_000
+_QUERIES_AT_ONCE = 256
+
+
+def _usable_vectors(df: DataFrame, vec: str, scope: list[str]) -> DataFrame:
+    return df.where(F.col(vec).isNotNull()).dropna(subset=scope) if scope else df.where(F.col(vec).isNotNull())
+
+
+def _tile_counts(df: DataFrame, scope: list[str], per: int, out: str) -> DataFrame:
+    """Scopes with more than `per` rows and the number of tiles they need."""
+    n = df.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(out))
+    return n.where(F.col(out) > 1)
+
+
+def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | list[str] | None = "tenant_id",
         query_id: str = "query_id", vector_id: str = "vector_id", index_vec: str = "embedding",
-        query_vec: str = "query_embedding", metric: str = "l2", max_broadcast_queries: int = 50_000,
-        extra_cols: list[str] | None = None, method: str = "auto",
-        max_broadcast_bytes: int = 64 * 1024 * 1024, query_dim: int | None = None,
-        carry_cols: list[str] | None = None) -> DataFrame:
-    """The k nearest vectors of each query inside its tenant.
+        query_vec: str = "query_embedding", metric: str = "l2", carry_cols: list[str] | None = None,
+        tile_vectors: int = TILE_VECTORS, tile_queries: int = TILE_QUERIES) -> DataFrame:
+    """The k nearest vectors of each query inside its tenant (or
+    inside its values of several scope columns; None: in the whole index).
 
     Score is squared L2 (ascending), as the flat index of the reference;
-    metric="cosine" ranks by 1 - cosine.  k is capped by the tenant's index
-    size automatically (fewer rows exist).  Ties are broken by vector id.
-
-    The query batch counts as small when it has at most
-    `max_broadcast_queries` rows and about `max_broadcast_bytes` of vectors.
-
-    method="arrow" (default when the query batch is proven small): the
-    batch is broadcast to every index partition, distances are computed with
-    numpy on Arrow batches and each partition keeps a running top-k per
-    query, so it emits at most k rows per query.  method="join": the batch
-    is joined to the index on the tenant and distances are built-in
-    higher-order functions; used when the batch is too large to broadcast.
-    Either way the index is never shuffled, and `row_number() <= k` over the
-    candidates is planned as a partial WindowGroupLimit before the exchange.
-    `carry_cols` (small scalar index columns, e.g. a chunk's document and
-    offsets) ride along with the candidates on every path."""
+    metric="cosine" ranks by 1 - cosine.  Ties are broken by vector id; fewer
+    than k vectors give all of them.  Null vectors and scopes take no part;
+    vectors meet only those of their own dimension.
+
+    Both sides are cut into tiles: a scope with more than `tile_vectors`
+    vectors (`tile_queries` queries) is salted over as many tiles as it needs,
+    by a hash of id and vector, so that neither a hot tenant nor a hot query
+    id meets in one task.  A vector is copied once per query tile of its
+    scope, a query once per vector tile.  A pair of tiles meets in one task,
+    which keeps its k best rows per query; these candidates are ranked per
+    query (`row_number() <= k` is a WindowGroupLimit before the exchange).
+    Neither side is collected or broadcast.  `carry_cols` (index columns, e.g.
+    a chunk's document and offsets) ride along with the candidates."""
     if not 1 <= k:
         raise ValueError("k must be positive")
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric}")
-    extra_cols = extra_cols or []
-    if extra_cols and not tenant_col:
-        raise ValueError("extra_cols need a tenant key (join them to the hits instead)")
-    tcols = [tenant_col] if tenant_col else []
-    q = queries.select(query_id, query_vec, *tcols)
-    # Bound the broadcast by bytes as well as rows: the dimension is read
-    # from one query (vectors of an index share it).
-    if query_dim is None:
-        first = q.select(F.size(query_vec).alias("d")).limit(1).collect()
-        query_dim = first[0]["d"] if first else 1
-    dim = max(1, query_dim)
-    max_broadcast_queries = max(1, min(max_broadcast_queries, max_broadcast_bytes // (8 * dim + 64)))
-    rows = None
-    if method in ("auto", "arrow") and not extra_cols:
-        # One bounded job both proves the batch small and fetches it.
-        rows = q.limit(max_broadcast_queries + 1).collect()
-        small = len(rows) <= max_broadcast_queries
-    else:
-        small = q.limit(max_broadcast_queries + 1).count() <= max_broadcast_queries
-    if method == "auto" or not tenant_col:
-        # Without a tenant key every query meets every vector (J6); that is
-        # only done against broadcast query blocks, never as a Spark cross join.
-        method = "arrow" if (small and rows is not None) or not tenant_col else "join"
-        if method == "arrow" and rows is None and small:
-            rows = q.limit(max_broadcast_queries + 1).collect()
-    if method == "arrow" and small:
-        if rows is None:
-            raise ValueError("extra_cols need method='join'")
-        scored = _knn_arrow(index, q, rows, k, tenant_col, query_id, vector_id, index_vec, query_vec, metric,
-                            carry_cols or [])
-    elif method == "arrow" and tenant_col:
-        raise ValueError("query batch too large to broadcast; use method='join'")
-    elif not tenant_col:
-        # No tenant key and a batch too large to broadcast: exact blockwise
-        # search over broadcastable blocks of queries, never a cross product.
-        nblocks = -(-2 * q.count() // max_broadcast_queries)  # blocks half full on average
-        parts = []
-        for b in range(nblocks):
-            blk = q.filter(F.pmod(F.xxhash64(query_id), F.lit(nblocks)) == b)
-            rows_b = blk.limit(max_broadcast_queries + 1).collect()
-            if len(rows_b) > max_broadcast_queries:
-                raise ValueError("query ids too skewed for blockwise search")
-            parts.append(_knn_arrow(index, blk, rows_b, k, None, query_id, vector_id, index_vec, query_vec,
-                                    metric, carry_cols or []))
-        scored = parts[0]
-        for p_ in parts[1:]:
-            scored = scored.unionByName(p_)
-    else:
-        qb = F.broadcast(q) if small else q
-        along = list(dict.fromkeys([*extra_cols, *(carry_cols or [])]))
-        idx = index.select(vector_id, index_vec, *along, *tcols)
-        pairs = idx.join(qb, tenant_col)
-        if metric == "l2":
-            score = squared_l2(F.col(query_vec), F.col(index_vec))
+    scope = [tenant_col] if isinstance(tenant_col, str) else list(tenant_col or [])
+    carry = list(carry_cols or [])
+    idx = _usable_vectors(index.select(*dict.fromkeys([*scope, vector_id, index_vec, *carry])), index_vec, scope)
+    qs = _usable_vectors(queries.select(*dict.fromkeys([*scope, query_id, query_vec])), query_vec, scope)
+    one = F.lit(1)
+    if scope:
+        split = _tile_counts(idx, scope, tile_vectors, "_down").join(_tile_counts(qs, scope, tile_queries, "_across"), scope, "full")
+        known = split.limit(SPLIT_SCOPES + 1).count()
+        if known:
+            split = F.broadcast(split) if known <= SPLIT_SCOPES else split
+            idx, qs = idx.join(split, scope, "left"), qs.join(split, scope, "left")
+            down, across = F.coalesce("_down", one), F.coalesce("_across", one)
         else:
-            score = F.lit(1.0) - dot(F.col(query_vec), F.col(index_vec)) / (
-                l2_norm(F.col(query_vec)) * l2_norm(F.col(index_vec)))
-        scored = pairs.select(*tcols, query_id, vector_id, *along, score.alias("score"))
+            down = across = one
+    else:
+        down, across = (F.lit(max(1, -(-d.count() // per))) for d, per in ((idx, tile_vectors), (qs, tile_queries)))
+
+    def dealt(df: DataFrame, salt: str, own: str, parts: Column, other: str, copies: Column, vec: str) -> DataFrame:
+        return df.withColumn("_dim", F.size(vec)).withColumn(own, F.pmod(F.xxhash64(salt, vec), parts).cast("int")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), (copies - 1).cast("int")))).drop("_down", "_across")
+    idx, qs = dealt(idx, vector_id, "_i", down, "_j", across, index_vec), dealt(qs, query_id, "_j", across, "_i", down, query_vec)
+    cell = [*scope, "_dim", "_i", "_j"]
+
+    def field(df: DataFrame, c: str) -> str:
+        return f"`{c}` {df.schema[c].dataType.simpleString()}"
+    kept = [*scope, vector_id, *[c for c in carry if c not in (*scope, vector_id)]]
+    schema = ", ".join([field(qs, query_id), "score double", *[field(idx, c) for c in kept if c != query_id]])
+    found = idx.groupBy(*cell).cogroup(qs.groupBy(*cell)).applyInArrow(
+        _nearest(k, metric, query_id, vector_id, index_vec, query_vec, [c for c in kept if c != query_id]), schema)
     w = Window.partitionBy(query_id).orderBy("score", vector_id)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _knn_arrow(index, q, rows, k, tenant_col, query_id, vector_id, index_vec, query_vec, metric, carry=()):
+def _nearest(k: int, metric: str, query_id: str, vector_id: str, index_vec: str, query_vec: str, kept: list[str]):
+    """Pair of tiles -> the k best rows of each query id.
+
+    L2 candidates are those whose distance by the expanded square is within
+    rounding of the k-th; only these are measured term by term."""
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    spark = index.sparkSession
-    # `rows` was fetched with a bounded limit by the caller.
-    by_tenant: dict = {}
-    for r in rows:
-        t = r[tenant_col] if tenant_col else None
-        by_tenant.setdefault(t, ([], []))
-        by_tenant[t][0].append(r[query_id])
-        by_tenant[t][1].append(np.asarray(r[query_vec], dtype=np.float64))
-    packed = {t: (ids, np.vstack(vs)) for t, (ids, vs) in by_tenant.items()}
-    bc = spark.sparkContext.broadcast(packed)
-    qid_type = q.schema[query_id].dataType.simpleString()
-    vid_type = index.schema[vector_id].dataType.simpleString()
-    t_type = index.schema[tenant_col].dataType.simpleString() if tenant_col else None
-    carry = list(carry)
-    out_schema = (f"{tenant_col} {t_type}, " if tenant_col else "") + \
-        f"{query_id} {qid_type}, {vector_id} {vid_type}, score double" + \
-        "".join(f", {c} {index.schema[c].dataType.simpleString()}" for c in carry)
-
-    def scores(Q, V):
-        if metric == "l2":
-            out = np.empty((Q.shape[0], V.shape[0]))
-            for s in range(0, Q.shape[0], 64):
-                d = Q[s:s + 64, None, :] - V[None, :, :]
-                out[s:s + 64] = np.einsum("qvd,qvd->qv", d, d)
-            return out
-        qn = np.linalg.norm(Q, axis=1)[:, None]
-        vn = np.linalg.norm(V, axis=1)[None, :]
-        return 1.0 - (Q @ V.T) / (qn * vn)
-
-    def run(batches):
-        import pandas as pd
-        best: dict = {}
-        for pdf in batches:
-            groups = pdf.groupby(tenant_col, sort=False) if tenant_col else [(None, pdf)]
-            for t, g in groups:
-                if t not in bc.value:
-                    continue
-                ids, Q = bc.value[t]
-                V = np.vstack([np.asarray(v, dtype=np.float64) for v in g[index_vec]])
-                D = scores(Q, V)
-                cand = pd.DataFrame({query_id: np.repeat(np.asarray(ids, dtype=object), V.shape[0]),
-                                     vector_id: np.tile(g[vector_id].to_numpy(dtype=object), len(ids)),
-                                     "score": D.ravel(),
-                                     **{c: np.tile(g[c].to_numpy(dtype=object), len(ids)) for c in carry}})
-                if t in best:
-                    cand = pd.concat([best[t], cand], ignore_index=True)
-                cand = cand.sort_values([query_id, "score", vector_id], kind="mergesort")
-                best[t] = cand.groupby(query_id, sort=False).head(k)
-        for t, b in best.items():
-            if tenant_col:
-                b = b.assign(**{tenant_col: t})[[tenant_col, query_id, vector_id, "score", *carry]]
-            else:
-                b = b[[query_id, vector_id, "score", *carry]]
-            yield b
+    def matrix(t, c):
+        return np.asarray(t.column(c).combine_chunks().flatten(), dtype=np.float64).reshape(t.num_rows, -1)
 
-    cols = [vector_id, index_vec] + ([tenant_col] if tenant_col else []) + carry
-    return index.select(*cols).mapInPandas(run, out_schema)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            left, right = left.slice(0, 0), right.slice(0, 0)
+            V, Q = np.zeros((0, 1)), np.zeros((0, 1))
+        else:
+            V, Q = matrix(left, index_vec), matrix(right, query_vec)
+        place = np.empty(len(V), dtype=np.int64)  # ids in Spark's order
+        place[np.asarray(pc.sort_indices(left.column(vector_id)))] = np.arange(len(V))
+        asked = right.column(query_id).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) if len(Q) else np.empty(0, int)
+        v2, q2 = (V * V).sum(axis=1), (Q * Q).sum(axis=1)
+        rows, cols, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for lo in range(0, len(Q), _QUERIES_AT_ONCE):
+            q, n2 = Q[lo:lo + _QUERIES_AT_ONCE], q2[lo:lo + _QUERIES_AT_ONCE]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = q @ V.T
+                s = n2[:, None] + v2[None, :] - 2 * s if metric == "l2" else 1.0 - s / (np.sqrt(n2)[:, None] * np.sqrt(v2)[None, :])
+            last = np.partition(s, min(k, len(V)) - 1, axis=1)[:, min(k, len(V)) - 1]
+            slack = 1e-9 * (1 + n2 + v2.max()) if metric == "l2" else 0.0
+            r, c = np.nonzero(~(s > (last + slack)[:, None]))
+            if metric == "l2":
+                exact = np.empty(r.size)
+                for at in range(0, r.size, 65_536):
+                    d = q[r[at:at + 65_536]] - V[c[at:at + 65_536]]
+                    exact[at:at + 65_536] = np.einsum("ij,ij->i", d, d)
+            else:
+                exact = s[r, c]
+            by = np.lexsort((place[c], exact, asked[lo + r]))
+            rows.append(lo + r[by])
+            cols.append(c[by])
+            scores.append(exact[by])
+        r, c, s = np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
+        by = np.lexsort((place[c], s, asked[r]))
+        r, c, s = r[by], c[by], s[by]
+        first = np.flatnonzero(np.r_[True, np.diff(asked[r]) != 0]) if r.size else np.empty(0, int)
+        best = np.arange(r.size) - np.repeat(first, np.diff(np.r_[first, r.size])) < k
+        r, c, s = r[best], c[best], s[best]
+        hits = left.select(kept).take(pa.array(c))
+        return pa.table([right.column(query_id).take(pa.array(r)), pa.array(s), *hits.columns], names=[query_id, "score", *kept])
+
+    return run
 
 
 def index_stats(index: DataFrame, tenants: DataFrame, tenant_col: str = "tenant_id",
@@ -320,17 +297,38 @@ def index_stats(index: DataFrame, tenants: DataFrame, tenant_col: str = "tenant_
 
 def build_index(rows: DataFrame, tenant_col: str = "tenant_id", id_col: str = "chunk_id",
                 vec_col: str = "embedding", version: str = DEFAULT_EMBEDDING_VERSION,
-                existing: DataFrame | None = None) -> DataFrame:
+                start: DataFrame | None = None) -> DataFrame:
     """Index rows (tenant_id, position, vector_id, chunk_id,
     embedding, embedding_version).  Positions are contiguous per tenant and
-    continue after the current maximum of `existing`."""
+    go on from `start` (tenant_id, next_position) where it names a tenant.
+
+    Only the keys are range-partitioned and numbered; the vectors join them
+    afterwards.  Chunk ids are content-derived: equal ids of a tenant hold the
+    same text, and one row of them is indexed."""
     from quire.operators.ordinals import dense_positions
     base = rows.select(F.col(tenant_col).alias("tenant_id"), F.col(id_col).alias("chunk_id"),
-                       F.col(vec_col).alias("embedding"))
-    pos = dense_positions(base, "tenant_id", ["chunk_id"], "position")
-    if existing is not None:
-        top = existing.groupBy("tenant_id").agg((F.max("position") + 1).alias("_base"))
-        pos = pos.join(top, "tenant_id", "left") \
-            .withColumn("position", F.col("position") + F.coalesce("_base", F.lit(0))).drop("_base")
-    return pos.select("tenant_id", "position", F.col("chunk_id").alias("vector_id"), "chunk_id",
-                      "embedding", F.lit(version).alias("embedding_version"))
+                       F.col(vec_col).alias("embedding")).dropDuplicates(["tenant_id", "chunk_id"])
+    pos = dense_positions(rows.select(F.col(tenant_col).alias("tenant_id"), F.col(id_col).alias("chunk_id")).distinct(),
+                          "tenant_id", ["chunk_id"], "position")
+    if start is not None:
+        pos = pos.join(start.select("tenant_id", "next_position"), "tenant_id", "left") \
+            .withColumn("position", F.col("position") + F.coalesce("next_position", F.lit(0))).drop("next_position")
+    return base.join(pos, ["tenant_id", "chunk_id"]).select(
+        "tenant_id", "position", F.col("chunk_id").alias("vector_id"), "chunk_id", "embedding", F.lit(version).alias("embedding_version"))
+
+
+def search_versions(index: DataFrame, queries: DataFrame, versions: list[str] | None = None, **settings) -> DataFrame:
+    """V9: exact search in an index that holds several embedding versions
+    (of several dimensions) side by side.  A query names its
+    `embedding_version` and meets only vectors of it in its tenant; `versions`
+    is pushed into the scan of an index partitioned by version, before any
+    distance is computed."""
+    if versions is not None:
+        index, queries = (d.where(F.col("embedding_version").isin(versions)) for d in (index, queries))
+    return knn(index, queries, tenant_col=["tenant_id", "embedding_version"], **settings)
+
+
+def vector_metadata(index: DataFrame) -> DataFrame:
+    """The table that maps a vector to its chunk (vector_id, chunk_id,
+    tenant_id, position, embedding_version), without the vectors."""
+    return index.select("vector_id", "chunk_id", "tenant_id", "position", "embedding_version")

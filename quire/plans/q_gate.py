@@ -82,7 +82,7 @@ def g1r(spark, sf):
 _STRIP = "regexp_replace(coalesce(txt, ''), " + q("^" + WS + "+|" + WS + "+$") + ", '', 'g')"
 _INJ = " OR ".join(f"strpos(lower(txt), {q(p)}) > 0" for p in P.QUERY_INJECTION_PATTERNS)
 _QUERY_TEXTS = ("SELECT 'benchmark' AS corpus, item_id AS id, text AS txt FROM benchmark UNION ALL "
-                "SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations WHERE role = 'user'")
+                "SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations")
 
 
 @query("g6_query_validation", "G6, G9 query bounds",
@@ -92,7 +92,7 @@ _QUERY_TEXTS = ("SELECT 'benchmark' AS corpus, item_id AS id, text AS txt FROM b
 def g6(spark, sf):
     b = tables.load(spark, sf, "benchmark").select(F.lit("benchmark").alias("corpus"), F.col("item_id").alias("id"),
                                                     F.col("text").alias("txt"))
-    c = tables.load(spark, sf, "conversations").filter(F.col("role") == "user").select(
+    c = tables.load(spark, sf, "conversations").select(
         F.lit("conversations").alias("corpus"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         F.col("text").alias("txt"))
     u = b.unionByName(c)

@@ -12,6 +12,7 @@ from quire.operators import search as S
 from quire.operators import vectors as V
 from quire.plans.catalog import query
 from quire.plans.q_chunks import chunk_sql
+from quire.session import cut
 from quire.plans.sqlfrag import WS, candidates, embed_ctes, mask_label, q, rebuild, resolve, sq_l2
 from quire.sources import tables
 
@@ -63,7 +64,7 @@ def q1(spark, sf):
     docs = _seeded(spark, sf)
     ch = K.chunk_table(docs, keep_cols=["tenant_id"])
     emb = V.embed_batch(ch, V.HashEmbedder(DIM), text_col="chunk_text")
-    index = emb.select("tenant_id", F.col("chunk_id").alias("vector_id"), "embedding", "document_id", "start", "end")
+    index = cut(emb.select("tenant_id", F.col("chunk_id").alias("vector_id"), "embedding", "document_id", "start", "end"))
     res = S.secure_search_offsets(req, perms, index, docs.select("doc_id", "text"), V.HashEmbedder(DIM), k=K_TOP)
     return res.withColumn("score", F.round("score", 6))
 
@@ -76,6 +77,51 @@ def a10(spark, sf):
     return S.search_metrics(req, q1(spark, sf), K_TOP)
 
 
+_RECORDS_SQL = (
+    _SEEDED_CHUNKS + ", t AS (SELECT c.*, d.source AS tenant_id, " + resolve(candidates("c.chunk_text")) + " AS kept FROM chunks c "
+    "JOIN documents d ON d.doc_id = c.document_id), "
+    "rec AS (SELECT *, " + rebuild("chunk_text", "kept", lambda s: mask_label(s + ".type")) + " AS masked, len(kept) AS n_redactions, "
+    "array_to_string(list_reverse(list_transform(kept, lambda x: x.type || '@' || CAST(x.start AS VARCHAR))), ',') AS redactions FROM t) ")
+
+
+def _records(spark, sf):
+    return S.chunk_records(_seeded(spark, sf), keep_cols=["tenant_id"])
+
+
+def _flat(metadata):
+    """Redaction metadata in columns that any engine can compare."""
+    return [F.size(metadata).cast("long").alias("n_redactions"),
+            F.array_join(F.transform(metadata, lambda r: F.concat(r["type"], F.lit("@"), r["original_start"].cast("string"))), ",").alias("redactions")]
+
+
+@query("s6_chunk_records", "S6 (redacted and original text, redaction metadata, vector id)",
+       _RECORDS_SQL + "SELECT chunk_id, document_id, tenant_id, chunk_index, start, \"end\", chunk_id AS text_hash, masked AS chunk_text, "
+       "chunk_text AS original_text, n_redactions, redactions, chunk_id AS vector_id FROM rec")
+def s6(spark, sf):
+    return _records(spark, sf).select("chunk_id", "document_id", "tenant_id", "chunk_index", "start", "end", "text_hash", "chunk_text", "original_text",
+                                      *_flat(F.col("redaction_metadata")), "vector_id")
+
+
+@query("j2_hit_metadata", "J2, S9 (vector metadata, chunk and document of every hit)",
+       Q1_SQL.replace(_SEEDED_CHUNKS, _RECORDS_SQL.rstrip() + " ", 1).replace(", t AS (SELECT c.chunk_id, d.source AS tenant_id, c.document_id, c.chunk_text FROM chunks c "
+                                                                   "JOIN documents d ON d.doc_id = c.document_id), ", ", ", 1) +
+       ", pos AS (SELECT chunk_id, row_number() OVER (PARTITION BY tenant_id ORDER BY chunk_id) - 1 AS position FROM t) "
+       "SELECT top.query_id, top.rank, top.chunk_id AS vector_id, round(top.score, 6) AS score, pos.position, 'v1' AS embedding_version, top.chunk_id, "
+       "rec.document_id, 'doc-' || CAST(rec.document_id AS VARCHAR) || '.txt' AS document_name, rec.start, rec.\"end\", rec.masked AS text, "
+       "rec.n_redactions, rec.redactions FROM top JOIN pos ON pos.chunk_id = top.chunk_id JOIN rec ON rec.chunk_id = top.chunk_id")
+def j2(spark, sf):
+    records = cut(_records(spark, sf))
+    embedder = V.HashEmbedder(DIM)
+    index = cut(V.build_index(V.embed_batch(records, embedder, text_col="original_text")))
+    asked = V.embed_batch(_requests(spark, sf), embedder, text_col="query", out_col="query_embedding")
+    hits = V.knn(index, asked.select("query_id", "tenant_id", "query_embedding"), k=K_TOP)
+    docs = tables.documents(spark, sf).select(F.col("doc_id").alias("document_id"),
+                                              F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"))
+    found = S.hit_metadata(hits, V.vector_metadata(index), records, docs)
+    return found.select("query_id", "rank", "vector_id", F.round("score", 6).alias("score"), "position", "embedding_version", "chunk_id", "document_id",
+                        "document_name", "start", "end", "text", *_flat(F.col("redaction_metadata")))
+
+
 # --- summaries -----------------------------------------------------------------
 
 _FULL_SQL = (
@@ -163,16 +209,16 @@ def q5(spark, sf):
     return _summaries(spark, sf, "b", None)
 
 
-@query("c6_chunk_lookup", "J9, C5, C6 (first chunk of every document; original text only on request)",
+@query("c6_chunk_lookup", "J9, C5, C6 (every chunk, by id and tenant; original text only on request)",
        _SEEDED_CHUNKS + ", t AS (SELECT c.*, d.source AS tenant_id FROM chunks c JOIN documents d "
        "ON d.doc_id = c.document_id), req AS (SELECT chunk_id, tenant_id, document_id % 2 = 0 AS include_original "
-       "FROM t WHERE chunk_index = 0), j AS (SELECT t.*, r.include_original, " + resolve(candidates("t.chunk_text")) +
+       "FROM t), j AS (SELECT t.*, r.include_original, " + resolve(candidates("t.chunk_text")) +
        " AS kept FROM t JOIN req r ON r.chunk_id = t.chunk_id AND r.tenant_id = t.tenant_id) "
        "SELECT chunk_id, tenant_id, document_id, start, \"end\", "
        + rebuild("chunk_text", "kept", lambda s: mask_label(s + ".type")) + " AS text, "
        "CASE WHEN include_original THEN chunk_text END AS original_text FROM j")
 def c6(spark, sf):
-    ch = K.chunk_table(_seeded(spark, sf), keep_cols=["tenant_id"])
-    req = ch.filter(F.col("chunk_index") == 0).select(
+    ch = cut(K.chunk_table(_seeded(spark, sf), keep_cols=["tenant_id"]))
+    req = ch.select(
         "chunk_id", "tenant_id", (F.col("document_id") % 2 == 0).alias("include_original"))
     return S.chunk_lookup(ch, req)

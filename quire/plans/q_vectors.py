@@ -112,3 +112,25 @@ def s9(spark, sf):
     idx = V.build_index(emb)
     return idx.select("tenant_id", "position", "vector_id", "chunk_id", "embedding_version",
                       F.round(V.l2_norm(F.col("embedding")), 6).alias("norm"))
+
+
+_HALF = DIM // 2
+_V9 = ("SELECT label, vec_id, embedding, 'v1' AS ver FROM embeddings UNION ALL "
+       f"SELECT label, vec_id, embedding[1:{_HALF}], 'v2' FROM embeddings WHERE vec_id % 3 <> 0")
+
+
+@query("v9_versioned_search", "V9 (two embedding versions of different dimension in one index, exact kNN in each)",
+       f"WITH ix AS ({_V9}), cen AS (SELECT label, ver, list(m ORDER BY i) AS q FROM (SELECT label, ver, i, avg(x::DOUBLE) AS m FROM "
+       "(SELECT label, ver, unnest(generate_series(0, len(embedding) - 1)) AS i, unnest(embedding) AS x FROM ix) GROUP BY ALL) GROUP BY ALL), "
+       f"d AS (SELECT ix.ver, ix.label, ix.vec_id, {sq_l2('ix.embedding', 'cen.q')} AS score FROM ix JOIN cen ON cen.label = ix.label AND cen.ver = ix.ver) "
+       "SELECT ver AS embedding_version, label, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER "
+       "(PARTITION BY ver, label ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 4")
+def v9(spark, sf):
+    e = tables.load(spark, sf, "embeddings")
+    index = e.select(F.col("label").alias("tenant_id"), "vec_id", "embedding", F.lit("v1").alias("embedding_version")).unionByName(
+        e.where("vec_id % 3 <> 0").select(F.col("label").alias("tenant_id"), "vec_id", F.slice("embedding", 1, _HALF).alias("embedding"),
+                                          F.lit("v2").alias("embedding_version")))
+    asked = V.mean_pool(index, ["tenant_id", "embedding_version"], "embedding", "query_embedding") \
+        .withColumn("query_id", F.concat_ws(":", "embedding_version", F.col("tenant_id").cast("string")))
+    hits = V.search_versions(index, asked, k=4, vector_id="vec_id")
+    return hits.select("embedding_version", F.col("tenant_id").alias("label"), "vec_id", F.round("score", 6).alias("score"), "rank")

@@ -94,3 +94,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="quire-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return local
+
+
+def cut(df):
+    """Reliable checkpoint in the shared folder: a result that several steps
+    read is made once and survives lost executors."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
