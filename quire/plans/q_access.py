@@ -122,13 +122,13 @@ def j5r(spark, sf):
 
 _GRANT_REQ = ("SELECT CAST(user_id AS VARCHAR) AS user_id, 'src' || CAST(user_id % 20 AS VARCHAR) AS tenant_id, "
               "CASE event_id % 3 WHEN 0 THEN 'analyst' WHEN 1 THEN 'viewer' ELSE 'auditor' END AS role_name "
-              "FROM events WHERE event_type = 'signup'")
+              "FROM events")
 
 
 def _grant_requests(spark, sf):
-    e = tables.load(spark, sf, "events").filter(F.col("event_type") == "signup")
+    e = tables.load(spark, sf, "events")
     m = F.col("event_id") % 3
-    return e.select(F.col("user_id").cast("string").alias("user_id"), tables.user_tenant_col(F.col("user_id"))
+    return e.select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("user_id"), tables.user_tenant_col(F.col("user_id"))
                     .alias("tenant_id"), F.when(m == 0, "analyst").when(m == 1, "viewer").otherwise("auditor")
                     .alias("role_name"))
 
@@ -142,16 +142,43 @@ def c3(spark, sf):
     return AC.apply_grants(users_df(spark, sf), _grant_requests(spark, sf), roles_df(spark, sf))
 
 
+_ANY_ROLE = "CASE {x} % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'editor' WHEN 2 THEN 'viewer' ELSE 'analyst' END"
+_REVOKE_REQ = ("SELECT event_id AS request_id, CAST(user_id AS VARCHAR) AS user_id, "
+               "'src' || CAST((user_id + CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 END) % 20 AS VARCHAR) AS tenant_id, "
+               + _ANY_ROLE.format(x="(event_id // 7)") + " AS role_name FROM events WHERE event_id IS NOT NULL")
+
+
+def _revoke_requests(spark, sf):
+    """Every event asks for the end of some role of its user, two thirds of them in a tenant that is not the user's."""
+    e = tables.load(spark, sf, "events").filter("event_id IS NOT NULL")
+    return e.select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("user_id"),
+                    tables.user_tenant_col(F.col("user_id") + F.when(F.col("user_id") % 3 == 0, 0).otherwise(1)).alias("tenant_id"),
+                    tables.user_role_col(F.expr("event_id div 7")).alias("role_name"))
+
+
 @query("c3_revoke_roles", "C3 revoke, U4 (anti join)",
-       BASE + ", req AS (SELECT CAST(user_id AS VARCHAR) AS user_id, 'src' || CAST(user_id % 20 AS VARCHAR) AS tenant_id, "
-       "CASE user_id % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'editor' WHEN 2 THEN 'viewer' ELSE 'analyst' END AS role_name "
-       "FROM events WHERE event_type = 'error' AND value > 50) "
-       "SELECT * FROM users u ANTI JOIN req q ON q.user_id = u.user_id AND q.tenant_id = u.tenant_id "
-       "AND q.role_name = u.role_name")
+       BASE + f", req AS ({_REVOKE_REQ}) SELECT * FROM users u ANTI JOIN req q "
+       "ON q.user_id = u.user_id AND q.tenant_id = u.tenant_id AND q.role_name = u.role_name")
 def c3r(spark, sf):
-    e = tables.load(spark, sf, "events").filter((F.col("event_type") == "error") & (F.col("value") > 50))
-    req = tables.users(e)
-    return AC.revoke_roles(users_df(spark, sf), req).select("user_id", "tenant_id", "role_name")
+    return AC.revoke_roles(users_df(spark, sf), _revoke_requests(spark, sf)).select("user_id", "tenant_id", "role_name")
+
+
+@query("c3_grant_outcomes", "C3 grant, outcome per request",
+       BASE + f", req AS ({_GRANT_REQ.replace('SELECT', 'SELECT event_id AS request_id,', 1)}), "
+       "r AS (SELECT q.*, row_number() OVER (PARTITION BY user_id, tenant_id, role_name ORDER BY request_id) = 1 AS first FROM req q) "
+       "SELECT request_id, user_id, tenant_id, role_name, CASE WHEN NOT EXISTS (SELECT 1 FROM roles x WHERE x.tenant_id = r.tenant_id AND x.name = r.role_name) "
+       "THEN 'unknown_role' WHEN NOT first OR EXISTS (SELECT 1 FROM users u WHERE u.user_id = r.user_id AND u.tenant_id = r.tenant_id "
+       "AND u.role_name = r.role_name) THEN 'already_granted' ELSE 'granted' END AS outcome FROM r")
+def c3g(spark, sf):
+    return AC.grant_outcomes(users_df(spark, sf), _grant_requests(spark, sf), roles_df(spark, sf))
+
+
+@query("c3_revoke_outcomes", "C3 revoke, whether each request removed a grant",
+       BASE + f", req AS ({_REVOKE_REQ}), r AS (SELECT q.*, row_number() OVER (PARTITION BY user_id, tenant_id, role_name ORDER BY request_id) = 1 "
+       "AS first FROM req q) SELECT request_id, user_id, tenant_id, role_name, first AND EXISTS (SELECT 1 FROM users u WHERE u.user_id = r.user_id "
+       "AND u.tenant_id = r.tenant_id AND u.role_name = r.role_name) AS removed FROM r")
+def c3o(spark, sf):
+    return AC.revoke_outcomes(users_df(spark, sf), _revoke_requests(spark, sf))
 
 
 _SERVICE = _values(AC.SERVICE_ROLES)
@@ -194,23 +221,83 @@ def c7(spark, sf):
     return AC.provision_tenants(req, existing)
 
 
-@query("j8_fk_orphans", "J8 (left anti join per foreign key)",
-       BASE + "SELECT 'labels.doc_id' AS foreign_key, count(*) AS n_orphans FROM labels l ANTI JOIN documents d "
-       "ON d.doc_id = l.doc_id UNION ALL SELECT 'user_roles.role', count(*) FROM users u ANTI JOIN roles r "
-       "ON r.tenant_id = u.tenant_id AND r.name = u.role_name UNION ALL SELECT 'roles.tenant', count(*) FROM roles r "
-       "ANTI JOIN tenants t ON t.tenant_id = r.tenant_id UNION ALL SELECT 'users.tenant', count(*) FROM users u "
-       "ANTI JOIN tenants t ON t.tenant_id = u.tenant_id")
+_PROVISION = ("SELECT doc_id AS request_id, CASE WHEN doc_id % 5 = 0 THEN source ELSE 'tenant_' || CAST(doc_id // 3 AS VARCHAR) END AS name, "
+              "'admin' || CAST(doc_id % 400 AS VARCHAR) || '@' || coalesce(lang, 'xx') || '.example.com' AS admin_email FROM documents")
+_HASH = "substring(sha256({0}), 1, 32)"
+_ROLE_ROWS = ", ".join(f"('{n}', '{','.join(p)}')" for n, p in AC.API_ROLES.items())
+
+
+@query("c7_change_set", "C7 (tenant, role, user and grant rows, rejects; names and addresses unique in request order)",
+       f"WITH RECURSIVE req AS (SELECT *, row_number() OVER (ORDER BY request_id) AS rn FROM ({_PROVISION}) WHERE request_id IS NOT NULL AND name IS NOT NULL), "
+       "taken AS (SELECT (SELECT coalesce(list(DISTINCT source), []) FROM documents) AS names, "
+       "(SELECT coalesce(list(DISTINCT 'admin' || CAST(user_id % 3 AS VARCHAR) || '@en.example.com'), []) FROM events) AS emails), "
+       "s(rn, names, emails, outcome) AS (SELECT 0::BIGINT, names, emails, ''::VARCHAR FROM taken UNION ALL "
+       "SELECT q.rn, CASE WHEN o = 'created' THEN list_append(s.names, q.name) ELSE s.names END, "
+       "CASE WHEN o = 'created' THEN list_append(s.emails, q.admin_email) ELSE s.emails END, o FROM s JOIN req q ON q.rn = s.rn + 1, "
+       "LATERAL (SELECT CASE WHEN list_contains(s.names, q.name) THEN 'name_taken' WHEN list_contains(s.emails, q.admin_email) THEN 'email_taken' "
+       "ELSE 'created' END AS o) x), "
+       "d AS (SELECT q.*, s.outcome, " + _HASH.format("'tenant:' || q.name") + " AS tid, " + _HASH.format("'user:' || q.admin_email") +
+       " AS uid FROM req q JOIN s ON s.rn = q.rn), ok AS (SELECT * FROM d WHERE outcome = 'created') "
+       "SELECT 'tenant' AS kind, request_id, tid AS id, tid AS tenant_id, name, admin_email AS detail FROM ok UNION ALL "
+       "SELECT 'role', request_id, " + _HASH.format("'role:' || tid || ':' || m.n") + f", tid, m.n, m.p FROM ok, (VALUES {_ROLE_ROWS}) m(n, p) UNION ALL "
+       "SELECT 'user', request_id, uid, tid, admin_email, 'System Admin' FROM ok UNION ALL "
+       "SELECT 'grant', request_id, " + _HASH.format("'grant:' || uid || ':' || " + _HASH.format("'role:' || tid || ':admin'")) +
+       ", tid, 'admin', uid FROM ok UNION ALL SELECT 'reject', request_id, NULL, NULL, name, outcome FROM d WHERE outcome <> 'created'")
+def c7s(spark, sf):
+    d = tables.load(spark, sf, "documents")
+    name = F.when(F.col("doc_id") % 5 == 0, F.col("source")).otherwise(F.concat(F.lit("tenant_"), F.expr("doc_id div 3").cast("string")))
+    email = F.concat(F.lit("admin"), (F.col("doc_id") % 400).cast("string"), F.lit("@"), F.coalesce("lang", F.lit("xx")), F.lit(".example.com"))
+    req = d.select(F.col("doc_id").alias("request_id"), name.alias("name"), email.alias("admin_email"))
+    users = tables.load(spark, sf, "events").select(
+        F.concat(F.lit("admin"), (F.col("user_id") % 3).cast("string"), F.lit("@en.example.com")).alias("email")).distinct()
+    return AC.provision_changes(req, d.select(F.col("source").alias("name")).distinct(), users)
+
+
+_CHUNK_KEYS = chunk_sql(1000, 200)
+# Parents with gaps (a deleted tenant, deleted users, a missing role, deleted
+# documents, every chunk that starts a fourth page), so that every key has orphans.
+_J8 = (_CHUNK_KEYS + f", all_tenants AS ({TENANTS_SQL}), tenants AS (SELECT * FROM all_tenants WHERE tenant_id <> 'src3'), all_users AS ({USERS_SQL}), "
+       "users AS (SELECT * FROM all_users WHERE CAST(user_id AS BIGINT) % 17 <> 0), "
+       f"all_roles AS ({API_ROLES_SQL}), roles AS (SELECT * FROM all_roles WHERE NOT (tenant_id = 'src5' AND name = 'editor')), "
+       "docs AS (SELECT * FROM documents WHERE doc_id % 13 <> 0), vectors AS (SELECT c.chunk_id, d.source AS tenant_id FROM chunks c JOIN documents d "
+       "ON d.doc_id = c.document_id), kept AS (SELECT * FROM chunks WHERE start < 3000) ")
+_J8_KEYS = [
+    ("users.tenant_id", "all_users a ANTI JOIN tenants t ON t.tenant_id = a.tenant_id"),
+    ("roles.tenant_id", "all_roles a ANTI JOIN tenants t ON t.tenant_id = a.tenant_id"),
+    ("user_roles.user_id", "all_users a ANTI JOIN users u ON u.user_id = a.user_id"),
+    ("user_roles.role_id", "all_users a ANTI JOIN roles r ON r.tenant_id = a.tenant_id AND r.name = a.role_name"),
+    ("user_roles.assigned_by", "(SELECT CAST(CAST(user_id AS BIGINT) - 1 AS VARCHAR) AS user_id FROM all_users WHERE CAST(user_id AS BIGINT) % 3 <> 0) a "
+                               "ANTI JOIN users u ON u.user_id = a.user_id"),
+    ("documents.tenant_id", "documents a ANTI JOIN tenants t ON t.tenant_id = a.source"),
+    ("documents.uploaded_by", "(SELECT CAST(doc_id % 1500 AS VARCHAR) AS user_id FROM documents WHERE doc_id % 4 <> 0) a ANTI JOIN users u ON u.user_id = a.user_id"),
+    ("chunks.document_id", "chunks a ANTI JOIN docs d ON d.doc_id = a.document_id"),
+    ("audit_events.tenant_id", "(SELECT 'src' || CAST(user_id % 20 AS VARCHAR) AS tenant_id FROM events) a ANTI JOIN tenants t ON t.tenant_id = a.tenant_id"),
+    ("audit_events.user_id", "(SELECT CAST(user_id AS VARCHAR) AS user_id FROM events) a ANTI JOIN users u ON u.user_id = a.user_id"),
+    ("vector_metadata.chunk_id", "vectors a ANTI JOIN kept c ON c.chunk_id = a.chunk_id"),
+    ("vector_metadata.tenant_id", "vectors a ANTI JOIN tenants t ON t.tenant_id = a.tenant_id"),
+]
+
+
+@query("j8_fk_orphans", "J8 (all 12 foreign keys in one tagged pass, over parents with gaps)",
+       _J8 + " UNION ALL ".join(f"SELECT '{k}' AS foreign_key, count(*) AS n_orphans FROM {j}" for k, j in _J8_KEYS))
 def j8(spark, sf):
-    docs = tables.load(spark, sf, "documents")
-    users = users_df(spark, sf)
-    roles = roles_df(spark, sf)
-    tenants = tenants_df(spark, sf)
+    docs = tables.documents(spark, sf)
+    events = tables.load(spark, sf, "events").select(tables.user_tenant_col(F.col("user_id")).alias("tenant_id"), F.col("user_id").cast("string").alias("user_id"))
+    number = F.col("user_id").cast("long")
+    users = users_df(spark, sf).withColumn("assigned_by", F.when(number % 3 != 0, (number - 1).cast("string")))
+    docs = docs.withColumn("uploaded_by", F.when(F.col("doc_id") % 4 != 0, (F.col("doc_id") % 1500).cast("string")))
+    tenant, by_user, fk = ["tenant_id"], ["user_id"], AC.KeyUse
     return AC.fk_orphans([
-        ("labels.doc_id", tables.load(spark, sf, "labels"), ["doc_id"], docs, ["doc_id"]),
-        ("user_roles.role", users, ["tenant_id", "role_name"], roles, ["tenant_id", "name"]),
-        ("roles.tenant", roles, ["tenant_id"], tenants, ["tenant_id"]),
-        ("users.tenant", users, ["tenant_id"], tenants, ["tenant_id"]),
-    ]).select("foreign_key", "n_orphans")
+        (tenants_df(spark, sf), [fk("tenant", tenant, where=F.expr("tenant_id <> 'src3'"))]),
+        (users, [fk("user", by_user, where=number % 17 != 0), fk("tenant", tenant, "users.tenant_id"), fk("user", by_user, "user_roles.user_id"),
+                 fk("role", ["tenant_id", "role_name"], "user_roles.role_id"), fk("user", ["assigned_by"], "user_roles.assigned_by")]),
+        (roles_df(spark, sf), [fk("role", ["tenant_id", "name"], where=F.expr("not (tenant_id = 'src5' and name = 'editor')")),
+                               fk("tenant", tenant, "roles.tenant_id")]),
+        (docs, [fk("document", ["doc_id"], where=F.expr("doc_id % 13 <> 0")), fk("tenant", tenant, "documents.tenant_id"),
+                fk("user", ["uploaded_by"], "documents.uploaded_by")]),
+        (K.chunk_table(docs, keep_cols=tenant), [fk("chunk", ["chunk_id"], where=F.expr("start < 3000")), fk("document", ["document_id"], "chunks.document_id"),
+                                                 fk("chunk", ["chunk_id"], "vector_metadata.chunk_id"), fk("tenant", tenant, "vector_metadata.tenant_id")]),
+        (events, [fk("tenant", tenant, "audit_events.tenant_id"), fk("user", by_user, "audit_events.user_id")])])
 
 
 @query("j9_point_lookup", "J9 (batch point lookup as a semi join)",
