@@ -16,6 +16,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 EVENT_FIELDS = ["timestamp", "action", "tenant_id", "user_id", "resource", "resource_type",
                 "ip_address", "user_agent", "request_data", "response_data"]
@@ -111,20 +112,18 @@ def read_log(spark, path: str) -> DataFrame:
                                         F.col("_metadata.file_path").alias("file_path"))
 
 
-_LINE_SCHEMA = "struct<" + ",".join(f"{k}:string" for k in LINE_FIELDS) + ",_corrupt:string>"
-
-
+_LINE_TYPE = "struct<" + ",".join(f"{k}:string" for k in LINE_FIELDS) + ">"
 _SEALED_SHAPE = "^OBJECT<((" + "|".join(LINE_FIELDS) + "): (STRING|VOID)(, )?)*>$"
 
 
 def event_by_id(lines: DataFrame, audit_ids: DataFrame, key: str) -> DataFrame:
     """For each requested audit_id, its logged line and whether it may be
-    read: `found` only if the line verifies; else why not (`missing` if the
-    log has no such event).  One join on the id; the log is not collected."""
+    read: `found` only if the line verifies; else why not (`absent` if the log
+    has no such event).  One join on the id; the log is not collected."""
     checked = verify(lines, key).where("audit_id is not null")
     best = checked.groupBy("audit_id").agg(F.max(F.struct((F.col("status") == "valid").alias("ok"), "status", "line")).alias("_b"))
     return audit_ids.select("audit_id").join(best, "audit_id", "left").select(
-        "audit_id", F.when(F.col("_b.ok"), "found").otherwise(F.coalesce("_b.status", F.lit("missing"))).alias("outcome"),
+        "audit_id", F.when(F.col("_b.ok"), "found").otherwise(F.coalesce("_b.status", F.lit("absent"))).alias("outcome"),
         F.when(F.col("_b.ok"), F.col("_b.line")).alias("line"))
 
 
@@ -132,28 +131,51 @@ def verify(lines: DataFrame, key: str) -> DataFrame:
     """D3/D4 per line: status in blank / malformed / missing / valid /
     invalid, plus the parsed audit_id, tenant and action.
 
-    The line is parsed once (from_json into a struct, malformed text lands
-    in `_corrupt`); every field below reads that struct."""
+    The line is parsed once, into a variant; the fields and the event's shape
+    are read from it.  It is parsed as the only element of an array, as the
+    parser would pass over what follows a complete value."""
     line = F.col("line")
-    parsed = lines.withColumn("_p", F.from_json(line, _LINE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}))
+    parsed = lines.withColumn("_v", F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))).select(
+        *lines.columns, F.schema_of_variant(F.try_variant_get("_v", "$[0]", "variant")).alias("_shape"),
+        F.try_variant_get("_v", "$[0]", _LINE_TYPE).alias("_p"), F.try_variant_get("_v", "$[1]", "variant").isNull().alias("_one"))
     p = F.col("_p")
     fields = {k: p[k] for k in EVENT_FIELDS + ["audit_id", "result_hash"]}
     sig = p["signature"]
     expected = hmac_sha256(canonical(fields), key)
-    body = F.regexp_replace(F.coalesce(line, F.lit("")), r"^\s+|\s+$", "")
-    malformed = p.isNull() | p["_corrupt"].isNotNull() | ~body.startswith("{")
+    blank = F.coalesce(line, F.lit("")).rlike(r"^\s*$")
+    ok = F.coalesce(F.col("_shape").startswith("OBJECT<") & F.col("_one"), F.lit(False)) & line.rlike(r"^\s*\{") & line.rlike(r"\}\s*$")
     # Signed is the whole event: a field of another name, a value that is no
     # longer a string or another algorithm is not what was sealed.
-    shape = F.schema_of_variant(F.try_parse_json(line))
-    as_sealed = shape.rlike(_SEALED_SHAPE) & (p["signature_algorithm"] == SIGNATURE_ALGORITHM)
-    status = (F.when(body == "", "blank")
-              .when(malformed, "malformed")
+    as_sealed = F.col("_shape").rlike(_SEALED_SHAPE) & (p["signature_algorithm"] == SIGNATURE_ALGORITHM)
+    status = (F.when(blank, "blank")
+              .when(~ok, "malformed")
               .when(sig.isNull() | (sig == ""), "missing")
               .when((sig == expected) & F.coalesce(as_sealed, F.lit(False)), "valid")
               .otherwise("invalid"))
-    ok = ~malformed
-    return parsed.select(*lines.columns, status.alias("status"), F.when(ok, p["audit_id"]).alias("audit_id"),
-                         F.when(ok, p["tenant_id"]).alias("tenant_id"), F.when(ok, p["action"]).alias("action"))
+    return parsed.select(*lines.columns, status.alias("status"), *[F.when(ok, p[k]).alias(k) for k in ("audit_id", "tenant_id", "action")])
+
+
+def numbered_log(spark, path: str) -> DataFrame:
+    """(line, file_path, line_number) of a log in several files; lines
+    are numbered from 1 over the files in the order of their paths, blank
+    lines included.
+
+    A line's place in its split is its place in the scan's task; the splits'
+    line counts, added up in the order (file, offset of the split), give the
+    rest.  Only that table (one row per split) is ordered in one task; the
+    lines are never sorted or moved."""
+    raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
+                                       F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"))
+    splits = raw.groupBy("file_path", "_at").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("file_path", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file_path", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return raw.join(starts, ["file_path", "_at"]).select(
+        "line", "file_path", (F.col("_row") - F.col("_first") + F.col("_before") + 1).alias("line_number"))
+
+
+def first_lines(numbered: DataFrame, limit: int | None) -> DataFrame:
+    """The first `limit` lines of a numbered log (0 or None: all)."""
+    return numbered.where(F.col("line_number") <= limit) if limit else numbered
 
 
 def integrity_report(verified: DataFrame, by: list[str] | None = None, limit: int | None = None,
@@ -192,3 +214,16 @@ def activity_report(events: DataFrame, exact: bool = True) -> DataFrame:
     users = F.count_distinct("user_id") if exact else F.approx_count_distinct("user_id")
     return d.rollup("tenant_id", "action", "day").agg(F.count(F.lit(1)).alias("n_events"),
                                                       users.alias("n_users"))
+
+
+def activity_windows(events: DataFrame, window: str = "1 hour", slide: str | None = None, session_gap: str | None = None) -> DataFrame:
+    """Events per tenant, action and time window: tumbling (`window`),
+    sliding (`window`, `slide`) or session windows (`session_gap`).  The same
+    plan serves tables and streams; a session's counts are merged partially
+    before the exchange."""
+    if session_gap:
+        win = F.session_window("ts", session_gap)
+    else:
+        win = F.window("ts", window, slide) if slide else F.window("ts", window)
+    agg = events.groupBy(win.alias("w"), "tenant_id", "action").agg(F.count(F.lit(1)).alias("n_events"))
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "tenant_id", "action", "n_events")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import patterns as P
+from quire.session import cut
 
 
 def client_key(xff: Column, real_ip: Column, peer: Column) -> Column:
@@ -37,15 +38,74 @@ def _bucketed(df: DataFrame, client: str, ts: str, window_seconds: int) -> DataF
     return own.unionByName(ctx)
 
 
+#: Requests of one client in one window width that one task still counts in a frame.
+FRAME_ROWS = 1_000_000
+
+
 def window_load(df: DataFrame, client: str = "client", ts: str = "ts",
-                window_seconds: int = P.RATE_LIMIT_WINDOW_SECONDS) -> DataFrame:
+                window_seconds: int = P.RATE_LIMIT_WINDOW_SECONDS, frame_rows: int = FRAME_ROWS) -> DataFrame:
     """For each request, the number of the client's requests with a
-    timestamp in [ts - window, ts] (offered load; rejected ones count)."""
+    timestamp in [ts - window, ts] (offered load; rejected ones count).
+
+    A range frame per (client, bucket) counts all clients but those that
+    crowd more than `frame_rows` requests into one bucket; these are counted
+    by `crowded_load`, which never needs a frame in one task."""
     width = window_seconds * 1_000_000
-    b = _bucketed(df, client, ts, window_seconds)
-    w = Window.partitionBy(client, "_b").orderBy("_t").rangeBetween(-width, 0)
-    return (b.withColumn("window_count", F.count(F.lit(1)).over(w))
-            .filter("_own").drop("_own", "_b", "_t"))
+
+    def framed(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(client, "_b").orderBy("_t").rangeBetween(-width, 0)
+        return _bucketed(rows, client, ts, window_seconds).withColumn("window_count", F.count(F.lit(1)).over(w)).filter("_own").drop("_own", "_b", "_t")
+    if df.count() <= frame_rows:
+        return framed(df)
+    bucket = F.floor(F.unix_micros(F.col(ts)) / width)
+    crowded = df.groupBy(F.col(client).alias("_crowded"), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")) \
+        .where(F.col("_n") > frame_rows).select("_crowded").distinct()  # at most rows / frame_rows clients
+    if not crowded.limit(1).count():
+        return framed(df)
+    same = F.col(client) == F.col("_crowded")
+    return framed(df.join(crowded, same, "left_anti")).unionByName(crowded_load(df.join(crowded, same, "left_semi"), client, ts, window_seconds))
+
+
+def crowded_load(df: DataFrame, client: str = "client", ts: str = "ts", window_seconds: int = P.RATE_LIMIT_WINDOW_SECONDS,
+                 num_partitions: int | None = None) -> DataFrame:
+    """W3 for clients of any density: a request's count is the difference of
+    two ranks, the client's requests up to its time less those before its
+    window.  The times of the requests and of their windows' starts are range
+    partitioned together, so one window width of one client is many tasks;
+    running sums per partition and a small table of the partitions' totals
+    (as in the dense positions) give the ranks."""
+    spark = df.sparkSession
+    width = window_seconds * 1_000_000
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = df.withColumn("_t", F.unix_micros(F.col(ts)))
+    times = d.where(F.col(client).isNotNull() & F.col("_t").isNotNull()).groupBy(client, "_t").agg(F.count(F.lit(1)).alias("_add"))
+    # a window's start counts what lies before it: it stands before requests of the same time
+    marks = times.select(client, "_t", F.explode(F.array(
+        F.struct((F.col("_t") - width).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("add")),
+        F.struct(F.col("_t").alias("at"), F.lit(1).alias("kind"), F.col("_add").alias("add")))).alias("m")).select(client, "_t", "m.*")
+    keys = [client, "at", "kind"]
+    ordered = marks.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id())
+
+    def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, carried = None, 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            so_far = pdf.groupby(client, sort=False)["add"].cumsum()
+            if pdf[client].iloc[0] == last:
+                so_far += (pdf[client] == last) * carried
+            last, carried = pdf[client].iloc[-1], int(so_far.iloc[-1])
+            yield pd.DataFrame({client: pdf[client], "_t": pdf["_t"], "kind": pdf["kind"], "_pid": pdf["_pid"], "run": so_far.astype("int64")})
+    kind = df.schema[client].dataType.simpleString()
+    # cut: the sampled range bounds must be the same for the sums and for their offsets
+    sums = cut(ordered.mapInPandas(running, f"{client} {kind}, _t long, kind int, _pid int, run long"))
+    before = Window.partitionBy(client).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.groupBy(client, "_pid").agg(F.max("run").alias("_own")) \
+        .select(client, "_pid", F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_before"))
+    rank = F.col("run") + F.col("_before")
+    counts = sums.join(offsets, [client, "_pid"]).groupBy(client, "_t").agg(
+        F.sum(F.when(F.col("kind") == 1, rank).otherwise(-rank)).alias("window_count"))
+    return d.join(counts, [client, "_t"]).select(*df.columns, "window_count")
 
 
 def _segments(df: DataFrame, client: str, ts: str, order: str, window_seconds: int) -> DataFrame:

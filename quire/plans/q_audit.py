@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire.operators import audit as AU
+from quire.session import checkpoint_dir, cut
 from quire.plans.catalog import query
 from quire.sources import tables
 
@@ -111,14 +114,23 @@ def a2(spark, sf):
     return AU.integrity_report(AU.verify(log_lines_df(spark, sf), DEMO_KEY), by=["tenant_id"])
 
 
-@query("d4_read_events", "D4, J9 (lookup by audit id with validity)",
-       VERIFIED_SQL + "SELECT v.event_id, v.audit_id, v.status = 'valid' AS signature_valid FROM verified v "
-       "JOIN events e ON e.event_id = v.event_id WHERE e.event_type IN ('error', 'purchase') AND v.audit_id IS NOT NULL")
+@query("d4_read_events", "D4, J9 (every audit id, and as many unknown ones: found, or why not)",
+       VERIFIED_SQL + ", asked AS (SELECT audit_id FROM ids UNION SELECT sha256('no ' || audit_id) FROM ids), "
+       "b AS (SELECT audit_id, max(CASE WHEN status = 'valid' THEN 'z' ELSE status END) AS s FROM verified WHERE audit_id IS NOT NULL GROUP BY audit_id) "
+       "SELECT a.audit_id, CASE WHEN b.s = 'z' THEN 'found' ELSE coalesce(b.s, 'absent') END AS outcome FROM asked a LEFT JOIN b ON b.audit_id = a.audit_id")
 def d4(spark, sf):
-    v = AU.verify(log_lines_df(spark, sf), DEMO_KEY)
-    wanted = tables.load(spark, sf, "events").filter(F.col("event_type").isin("error", "purchase")).select("event_id")
-    r = v.join(wanted, "event_id", "left_semi").filter(F.col("audit_id").isNotNull())
-    return r.select("event_id", "audit_id", (F.col("status") == "valid").alias("signature_valid"))
+    ids = sealed_df(spark, sf).select("audit_id")
+    asked = ids.union(ids.select(F.sha2(F.concat(F.lit("no "), "audit_id"), 256))).distinct()
+    return AU.event_by_id(cut(log_lines_df(spark, sf)), asked, DEMO_KEY).select("audit_id", "outcome")
+
+
+@query("o4_log_line_order", "O4, S7, S8 (a written log of several files read back in line order)",
+       VERIFIED_SQL + "SELECT row_number() OVER (ORDER BY event_id) AS line_number, audit_id, status FROM verified")
+def o4_lines(spark, sf):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/audit-log-{uuid.uuid4().hex}"
+    lines = log_lines_df(spark, sf).repartitionByRange(6, "event_id").sortWithinPartitions("event_id")
+    AU.write_log(lines, path)
+    return AU.verify(AU.numbered_log(spark, path), DEMO_KEY).select("line_number", "audit_id", "status")
 
 
 @query("o4_integrity_first_lines", "O4 (first 5000 log lines, blanks use up the limit)",
@@ -137,3 +149,34 @@ def o4(spark, sf):
        f"count(DISTINCT user_id) AS n_users FROM ev GROUP BY ROLLUP (tenant_id, action, substring(timestamp, 1, 10))")
 def a8(spark, sf):
     return AU.activity_report(AU.events_from_requests(tables.load(spark, sf, "events")))
+
+
+_R5 = "WITH ev AS (SELECT ts, 'src' || CAST(user_id % 20 AS VARCHAR) AS tenant_id, event_type AS action, epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL) "
+_H = 3_600_000_000
+
+
+def _activity(spark, sf):
+    return AU.events_from_requests(tables.load(spark, sf, "events"), keep=["ts"])
+
+
+@query("r5_tumbling", "R5 batch (tumbling windows of 6 hours)",
+       _R5 + f"SELECT make_timestamp(t // {6 * _H} * {6 * _H}) AS window_start, make_timestamp((t // {6 * _H} + 1) * {6 * _H}) AS window_end, "
+       "tenant_id, action, count(*) AS n_events FROM ev GROUP BY ALL")
+def r5_tumbling(spark, sf):
+    return AU.activity_windows(_activity(spark, sf), "6 hours")
+
+
+@query("r5_sliding", "R5 batch (windows of 6 hours every 2 hours)",
+       _R5 + f", s AS (SELECT tenant_id, action, (t // {2 * _H} - unnest([0, 1, 2])) * {2 * _H} AS w FROM ev) SELECT make_timestamp(w) AS window_start, "
+       f"make_timestamp(w + {6 * _H}) AS window_end, tenant_id, action, count(*) AS n_events FROM s GROUP BY ALL")
+def r5_sliding(spark, sf):
+    return AU.activity_windows(_activity(spark, sf), "6 hours", "2 hours")
+
+
+@query("r5_session", "R5 batch (sessions that end after 12 idle hours)",
+       _R5 + f", g AS (SELECT *, CASE WHEN t - lag(t) OVER w <= {12 * _H} THEN 0 ELSE 1 END AS opens FROM ev WINDOW w AS (PARTITION BY tenant_id, action ORDER BY t)), "
+       "s AS (SELECT *, sum(opens) OVER (PARTITION BY tenant_id, action ORDER BY t RANGE UNBOUNDED PRECEDING) AS n FROM g) "
+       f"SELECT make_timestamp(min(t)) AS window_start, make_timestamp(max(t) + {12 * _H}) AS window_end, tenant_id, action, count(*) AS n_events "
+       "FROM s GROUP BY tenant_id, action, n")
+def r5_session(spark, sf):
+    return AU.activity_windows(_activity(spark, sf), session_gap="12 hours")

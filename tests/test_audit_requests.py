@@ -141,4 +141,75 @@ def test_verification_covers_the_whole_event(spark):
     assert [r.status for r in AU.verify(df, "k").collect()] == ["valid"] * 5 + ["invalid"] * 3
     want = spark.createDataFrame([(first["audit_id"],), ("nope",)], "audit_id string")
     got = {r.audit_id: r.outcome for r in AU.event_by_id(spark.createDataFrame([(x,) for x in lines], "line string"), want, "k").collect()}
-    assert got == {first["audit_id"]: "found", "nope": "missing"}
+    assert got == {first["audit_id"]: "found", "nope": "absent"}
+
+
+def test_one_clients_requests_in_one_window(spark):
+    """Ranks instead of frames: one client, one window width, many tasks."""
+    import bisect
+    import datetime as dt
+    import random
+
+    from quire.operators import requests as RQ
+    r = random.Random(3)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, "one" if i % 9 else f"c{i % 4}", base + dt.timedelta(seconds=r.randrange(4000))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, client string, ts timestamp")
+    exp = {}
+    times = {}
+    for _, c, t in rows:
+        times.setdefault(c, []).append(t)
+    for c in times:
+        times[c].sort()
+    for i, c, t in rows:
+        exp[i] = bisect.bisect_right(times[c], t) - bisect.bisect_left(times[c], t - dt.timedelta(seconds=600))
+    for got in (RQ.crowded_load(df, window_seconds=600, num_partitions=16), RQ.window_load(df, window_seconds=600, frame_rows=100),
+                RQ.window_load(df, window_seconds=600, frame_rows=2000), RQ.window_load(df, window_seconds=600)):
+        assert got.columns == ["event_id", "client", "ts", "window_count"]
+        assert {x.event_id: x.window_count for x in got.collect()} == exp
+
+
+def test_line_numbers_over_files_and_splits(spark, scratch):
+    import os
+
+    from quire.operators import audit as AU
+    lines = [f"line {i} " + "x" * (i % 50) if i % 7 else "" for i in range(900)]
+    for k in range(3):
+        with open(os.path.join(scratch, f"part-{k}.log"), "w") as f:
+            f.write("".join(x + "\n" for x in lines[300 * k:300 * k + 300]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        numbered = AU.numbered_log(spark, scratch)
+        got = numbered.collect()
+        parts = numbered.rdd.getNumPartitions()
+        first = AU.first_lines(numbered, 310).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [x.line for x in sorted(got, key=lambda x: x.line_number)] == lines and sorted(x.line_number for x in got) == list(range(1, 901))
+    assert sorted(x.line_number for x in first) == list(range(1, 311)) and len({x.file_path for x in first}) == 2 and parts > 1
+    assert AU.first_lines(numbered, None).count() == 900
+
+
+def test_verify_reads_every_kind_of_line(spark):
+    from quire.operators import audit as AU
+    ev = spark.createDataFrame([("2024-01-01T00:00:00Z", "a", "t", "u", "r", "x", None, None, '{"k": 1}', "{}")], ", ".join(f"{k} string" for k in AU.EVENT_FIELDS))
+    good = AU.log_line(AU.seal(ev, "k")).first().line
+    lines = {"valid": good, "blank": " \t ", "malformed": good[:-1], "missing": good.replace('"signature":', '"other":')}
+    rows = [*lines.items(), ("malformed", "[1]"), ("malformed", "null"), ("malformed", good + "x"), ("malformed", good + good), ("malformed", good + "," + good), ("malformed", good + "]"), ("malformed", "12"), ("blank", None), ("missing", "{}"),
+            ("invalid", good.replace('"action":"a"', '"action":"b"')), ("invalid", good[:-1] + ',"more":"x"}'), ("invalid", good.replace('"user_id":"u"', '"user_id":7')),
+            ("missing", '{"signature": null}'), ("invalid", '{"signature": "s"}')]
+    df = spark.createDataFrame([(i, x[0], x[1]) for i, x in enumerate(rows)], "i int, exp string, line string")
+    got = AU.verify(df, "k").orderBy("i").collect()
+    assert [(x.i, x.status) for x in got] == [(i, x[0]) for i, x in enumerate(rows)]
+    assert got[0].action == "a" and got[0].tenant_id == "t" and got[2].audit_id is None
+
+
+def test_event_lookup_says_why_not(spark):
+    from quire.operators import audit as AU
+    ev = spark.createDataFrame([(f"2024-01-0{i}T00:00:00Z", "a", "t", "u", "r", "x", None, None, "{}", "{}") for i in range(1, 4)], ", ".join(f"{k} string" for k in AU.EVENT_FIELDS))
+    lines = AU.log_line(AU.seal(ev, "k"), keep=["audit_id"]).orderBy("line").collect()
+    log = spark.createDataFrame([(lines[0].line,), (lines[1].line.replace('"action":"a"', '"action":"b"'),), (lines[2].line.replace('"signature":', '"x":'),)], "line string")
+    asked = spark.createDataFrame([(x.audit_id,) for x in lines] + [("none",)], "audit_id string")
+    got = {x.audit_id: (x.outcome, x.line is not None) for x in AU.event_by_id(log, asked, "k").collect()}
+    assert got == {lines[0].audit_id: ("found", True), lines[1].audit_id: ("invalid", False), lines[2].audit_id: ("missing", False), "none": ("absent", False)}
