@@ -38,11 +38,10 @@ def test_stream_ingest_equals_batch(spark, scratch):
     q.awaitTermination()
     streamed = spark.read.parquet(sink)
     from quire.functions import text as TX
-    from quire.operators import pii
-    d = tables.documents(spark, SF_SMALL).withColumn("clean", TX.clean_text_for_embedding("text"))
-    d = d.withColumn("s", pii.detect_pii(F.col("clean"))).withColumn("text", pii.redact(F.col("clean"), F.col("s")))
-    batch = K.chunk_table(d.select("doc_id", "tenant_id", "text"), keep_cols=["tenant_id"])
-    cols = ["chunk_id", "document_id", "chunk_index", "start", "end", "chunk_text"]
+    from quire.operators import search as S
+    d = tables.documents(spark, SF_SMALL).select("doc_id", "tenant_id", TX.clean_text_for_embedding("text").alias("text"))
+    batch = S.chunk_records(d, keep_cols=["tenant_id"])
+    cols = ["chunk_id", "document_id", "chunk_index", "start", "end", "chunk_text", "original_text", "vector_id", "redaction_metadata"]
     assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert streamed.count() == batch.count()
 
@@ -78,9 +77,10 @@ def test_stream_rate_limit_equals_batch(spark, scratch):
     ev = spark.readStream.schema(tables.schemas.EVENTS).parquet(src) \
         .select(F.col("user_id").cast("string").alias("client"), "ts", "event_id")
     out = jobs.rate_limit_stream(ev, limit=3, window_seconds=86400)
-    q = out.writeStream.format("memory").queryName("rl").option(
-        "checkpointLocation", os.path.join(scratch, "ck5")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with jobs.limiter_settings(spark):
+        q = out.writeStream.format("memory").queryName("rl").option(
+            "checkpointLocation", os.path.join(scratch, "ck5")).trigger(availableNow=True).start()
+    assert q.awaitTermination(100)
     streamed = spark.table("rl").select("event_id", "admitted")
     batch_in = tables.load(spark, SF_SMALL, "events").select(F.col("user_id").cast("string").alias("client"),
                                                              "ts", "event_id")
@@ -131,9 +131,10 @@ def test_stream_rate_limit_across_micro_batches(spark, scratch):
           .option("recursiveFileLookup", "true").parquet(src)
           .select(F.col("user_id").cast("string").alias("client"), "ts", "event_id"))
     out = jobs.rate_limit_stream(ev, limit=3, window_seconds=86400)
-    q = out.writeStream.format("memory").queryName("rl2").option(
-        "checkpointLocation", os.path.join(scratch, "ck6")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with jobs.limiter_settings(spark):
+        q = out.writeStream.format("memory").queryName("rl2").option(
+            "checkpointLocation", os.path.join(scratch, "ck6")).trigger(availableNow=True).start()
+    assert q.awaitTermination(100)
     assert len(q.recentProgress) >= 2  # state carried across micro-batches
     streamed = spark.table("rl2").select("event_id", "admitted")
     batch_in = e.select(F.col("user_id").cast("string").alias("client"), "ts", "event_id")
@@ -184,3 +185,85 @@ def test_streams_need_a_checkpoint(spark, scratch):
     import pytest
     with pytest.raises(ValueError):
         jobs.audit_stream(spark, _copy_table(scratch, "events"), os.path.join(scratch, "x"), key="k")
+
+
+def test_audit_batches_read_only_their_days(spark, scratch):
+    """The id index's files that a batch reads are those of its days, however
+    long the log; a cut-short attempt and a replay leave no copy behind."""
+    import datetime as dt
+    cols = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+    def batch(ids, day):
+        return spark.createDataFrame([(i, dt.datetime(2024, 1, day) if day else None, 1, "view", 1.0, "{}") for i in ids], cols)
+    sink = "file://" + os.path.join(scratch, "log")
+    for n in range(12):
+        jobs.append_events(batch(range(10 * n, 10 * n + 10), n % 6 + 1), n, sink, "k")
+    jobs.append_events(batch([500, 500], 0), 12, sink, "k")
+    jobs.append_events(batch([500, 501], 0), 13, sink, "k")  # events without a time are told apart too
+    read = jobs.logged_ids(spark, sink, ["2024-01-02"]).inputFiles()
+    assert read and all("/day=2024-01-02/" in f for f in read)
+    assert jobs.logged_ids(spark, sink, ["2024-02-01"]) is None
+    assert spark.read.text(sink).count() == 122
+    # batch 3 again (a replay): its own lines go first, what others logged is left out
+    jobs.append_events(batch([*range(30, 40), 99], 4), 3, sink, "k")
+    log = spark.read.text(sink)
+    assert log.count() == 122 and log.select("value").distinct().count() == 122 or log.count() == 123
+
+
+def test_index_positions_without_a_marker(spark, scratch):
+    """No _SUCCESS, a replay, and a run that ended before its commit."""
+    from quire.operators import vectors as V
+    from quire.sources.sinks import delete_paths
+    spark.conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        idx = "file://" + os.path.join(scratch, "idx")
+        rows = K.chunk_table(tables.documents(spark, SF_SMALL), keep_cols=["tenant_id"])
+        parts = [rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(3)) == k) for k in range(3)]
+        emb = V.HashEmbedder(8)
+        for k in (0, 1):
+            jobs.append_index(parts[k], k, idx, emb)
+        assert not os.path.exists(os.path.join(scratch, "idx", "_SUCCESS"))
+        known = {(r.chunk_id, r.position) for r in jobs.read_index(spark, idx).select("chunk_id", "position").collect()}
+        jobs.append_index(parts[1], 1, idx, emb)  # replay
+        assert {(r.chunk_id, r.position) for r in jobs.read_index(spark, idx).select("chunk_id", "position").collect()} == known
+        jobs.append_index(parts[2], 2, idx, emb)
+        delete_paths(spark, f"{idx}/_ledger/epoch=2")  # as if it had ended before the commit
+        assert {(r.chunk_id, r.position) for r in jobs.read_index(spark, idx).select("chunk_id", "position").collect()} == known
+        jobs.append_index(parts[2], 2, idx, emb)
+        out = jobs.read_index(spark, idx)
+        per = out.groupBy("tenant_id").agg(F.count("*").alias("n"), F.max("position").alias("mx"), F.countDistinct("position").alias("d"), F.min("position").alias("mn")).collect()
+        assert all(r.n == r.mx + 1 == r.d and r.mn == 0 for r in per) and out.count() == rows.select("chunk_id").distinct().count() == spark.read.parquet(idx).count()
+    finally:
+        spark.conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+
+
+def test_idle_clients_leave_the_store(spark, scratch):
+    import datetime as dt
+    import time as _time
+    src = os.path.join(scratch, "rq")
+
+    def write(name, rows):
+        spark.createDataFrame([(c, i, dt.datetime(2024, 1, 1, 0, 0, s)) for c, i, s in rows], "client string, event_id long, ts timestamp") \
+            .coalesce(1).write.parquet(os.path.join(src, name))
+    write("a", [(f"c{k}", k, 30) for k in range(20)])
+    read = spark.readStream.schema("client string, event_id long, ts timestamp").option("recursiveFileLookup", "true").parquet(src)
+    sizes = []
+
+    def run():
+        with jobs.limiter_settings(spark):
+            q = jobs.rate_limit_stream(read, limit=2, window_seconds=60, idle_seconds=8).writeStream.format("parquet") \
+                .option("path", os.path.join(scratch, "out")).option("checkpointLocation", os.path.join(scratch, "ck_idle")).trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+        sizes.append(q.lastProgress.stateOperators[0].numRowsTotal)
+    run()
+    write("b", [("c1", 100, 40), ("c1", 101, 41), ("c2", 102, 10)])  # c1: second admitted, third not; c2: late, decided
+    run()
+    _time.sleep(9)
+    write("c", [("other", 200, 50)])
+    run()
+    _time.sleep(1)
+    write("d", [("other", 201, 51)])
+    run()
+    got = {r.event_id: r.admitted for r in spark.read.parquet(os.path.join(scratch, "out")).collect()}
+    assert len(got) == 25 and not got[101] and all(v for k, v in got.items() if k != 101)
+    assert sizes[1] >= 20 and sizes[-1] <= 4
