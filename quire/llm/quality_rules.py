@@ -92,8 +92,8 @@ def repeat_words(words: Column, n: int = 5) -> Column:
     return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
 
-def annotate(df: DataFrame, text_col: str = "text", out_col: str = "q") -> DataFrame:
-    """`df` with one struct column `out_col`: the counts every rule uses."""
+def _counted(text_col: str) -> Column:
+    """An array with one struct: the counts every rule uses."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def count(words: Column) -> Column:
@@ -108,7 +108,12 @@ def annotate(df: DataFrame, text_col: str = "text", out_col: str = "q") -> DataF
             repeat_words(words).cast("long").alias("n_repeat_words"),
             F.regexp_count(text, F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
             _again(words).cast("long").alias("n_again"))
-    return df.withColumn(out_col, _let(words_of(text), count))
+    return F.transform(F.array(words_of(text)), count)
+
+
+def annotate(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """`df` with one struct column `q`: the counts every rule uses."""
+    return df.withColumn("q", _counted(text_col)[0])
 
 
 def _again(words: Column) -> Column:
@@ -233,6 +238,7 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     while own in df.columns:  # a name that the input does not use
         own += "_"
     q = F.col(own)
-    counted = written(annotate(df, text_col, own).where(~base_failed(q)), "quality")
+    # generated, not filtered: a filter on the counts would make them twice
+    counted = written(df.select(*df.columns, F.explode(F.filter(_counted(text_col), lambda x: ~base_failed(x))).alias(own)), "quality")
     cut = learn_cutoffs(counted.select(id_col, q.alias("q")), labels, id_col)
     return counted.where(~rejects(q, cut)).select(*df.columns)
