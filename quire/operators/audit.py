@@ -113,7 +113,7 @@ def read_log(spark, path: str) -> DataFrame:
 
 
 _LINE_TYPE = "struct<" + ",".join(f"{k}:string" for k in LINE_FIELDS) + ">"
-_SEALED_SHAPE = "^OBJECT<((" + "|".join(LINE_FIELDS) + "): (STRING|VOID)(, )?)*>$"
+_SEALED_SHAPE = "^OBJECT<l: OBJECT<((" + "|".join(LINE_FIELDS) + "): (STRING|VOID)(, )?)*>>$"
 
 
 def event_by_id(lines: DataFrame, audit_ids: DataFrame, key: str) -> DataFrame:
@@ -132,18 +132,17 @@ def verify(lines: DataFrame, key: str) -> DataFrame:
     invalid, plus the parsed audit_id, tenant and action.
 
     The line is parsed once, into a variant; the fields and the event's shape
-    are read from it.  It is parsed as the only element of an array, as the
-    parser would pass over what follows a complete value."""
+    are read from it.  It is parsed as a value inside an object, as the parser
+    would pass over what follows a complete line."""
     line = F.col("line")
-    parsed = lines.withColumn("_v", F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))).select(
-        *lines.columns, F.schema_of_variant(F.try_variant_get("_v", "$[0]", "variant")).alias("_shape"),
-        F.try_variant_get("_v", "$[0]", _LINE_TYPE).alias("_p"), F.try_variant_get("_v", "$[1]", "variant").isNull().alias("_one"))
+    parsed = lines.withColumn("_v", F.try_parse_json(F.concat(F.lit('{"l":'), line, F.lit("}")))).select(
+        *lines.columns, F.schema_of_variant("_v").alias("_shape"), F.try_variant_get("_v", "$.l", _LINE_TYPE).alias("_p"))
     p = F.col("_p")
     fields = {k: p[k] for k in EVENT_FIELDS + ["audit_id", "result_hash"]}
     sig = p["signature"]
     expected = hmac_sha256(canonical(fields), key)
     blank = F.coalesce(line, F.lit("")).rlike(r"^\s*$")
-    ok = F.coalesce(F.col("_shape").startswith("OBJECT<") & F.col("_one"), F.lit(False)) & line.rlike(r"^\s*\{") & line.rlike(r"\}\s*$")
+    ok = F.coalesce(F.col("_shape").startswith("OBJECT<l: OBJECT<"), F.lit(False)) & F.rtrim(line).endswith("}")
     # Signed is the whole event: a field of another name, a value that is no
     # longer a string or another algorithm is not what was sealed.
     as_sealed = F.col("_shape").rlike(_SEALED_SHAPE) & (p["signature_algorithm"] == SIGNATURE_ALGORITHM)

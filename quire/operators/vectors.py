@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import text as TX
 from quire.functions.text import col_of
+from quire.session import cut
 
 # Embedding version stamped on vectors (V9); fixed value of the reference.
 DEFAULT_EMBEDDING_VERSION = "v1"
@@ -142,10 +143,32 @@ def embed_batch(df: DataFrame, embedder: Embedder, text_col: str = "text",
 def mean_pool(df: DataFrame, group_cols: list[str], vec_col: str = "embedding",
               out_col: str = "embedding") -> DataFrame:
     """V4: element-wise mean of the vectors of each group (mean pooling /
-    centroid).  Partial aggregation per (group, dimension) happens before the
-    shuffle; the final collect per group holds `dim` values."""
-    ex = df.select(*group_cols, F.posexplode(vec_col).alias("_i", "_x"))
-    per_dim = ex.groupBy(*group_cols, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    centroid).  Every Arrow batch is summed per group by numpy; only these
+    partial sums (a row per group and batch) are cut into components, added up
+    and put together again."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group_cols)
+
+    def partial(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t.append_column("_dim", pa.compute.fill_null(pa.compute.list_value_length(t.column(vec_col)), 0)).append_column("_row", pa.array(np.arange(len(t))))
+            for dim in pa.compute.unique(t.column("_dim")).to_pylist():
+                own = t.filter(pa.compute.equal(t.column("_dim"), dim))
+                if not dim:
+                    continue
+                m = np.asarray(own.column(vec_col).combine_chunks().flatten(), dtype=np.float64).reshape(len(own), dim)
+                own = own.drop_columns(["_row"]).append_column("_row", pa.array(np.arange(len(own))))
+                groups = own.group_by(group_cols).aggregate([("_row", "list")])
+                rows = [np.asarray(r) for r in groups.column("_row_list").to_pylist()]
+                out = [groups.column(c).combine_chunks() for c in group_cols]
+                out += [pa.array([m[r].sum(axis=0) for r in rows], pa.list_(pa.float64())), pa.array([len(r) for r in rows], pa.int64())]
+                yield pa.RecordBatch.from_arrays(out, names=[*group_cols, "_sum", "_n"])
+    sums = df.select(*group_cols, vec_col).mapInArrow(partial, f"{keys}, _sum array<double>, _n long")
+    ex = sums.select(*group_cols, "_n", F.posexplode("_sum").alias("_i", "_x"))
+    per_dim = ex.groupBy(*group_cols, "_i").agg((F.sum("_x") / F.sum("_n")).alias("_m"))
     return per_dim.groupBy(*group_cols).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(out_col))
 
@@ -198,19 +221,18 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, tenant_col: str | list
     scope = [tenant_col] if isinstance(tenant_col, str) else list(tenant_col or [])
     carry = list(carry_cols or [])
     idx = _usable_vectors(index.select(*dict.fromkeys([*scope, vector_id, index_vec, *carry])), index_vec, scope)
-    qs = _usable_vectors(queries.select(*dict.fromkeys([*scope, query_id, query_vec])), query_vec, scope)
+    qs = cut(_usable_vectors(queries.select(*dict.fromkeys([*scope, query_id, query_vec])), query_vec, scope))  # read for its size and for the search
     one = F.lit(1)
-    if scope:
-        split = _tile_counts(idx, scope, tile_vectors, "_down").join(_tile_counts(qs, scope, tile_queries, "_across"), scope, "full")
-        known = split.limit(SPLIT_SCOPES + 1).count()
-        if known:
-            split = F.broadcast(split) if known <= SPLIT_SCOPES else split
-            idx, qs = idx.join(split, scope, "left"), qs.join(split, scope, "left")
-            down, across = F.coalesce("_down", one), F.coalesce("_across", one)
-        else:
-            down = across = one
+    n, m = idx.count(), qs.count()
+    if not scope:
+        down, across = F.lit(max(1, -(-n // tile_vectors))), F.lit(max(1, -(-m // tile_queries)))
+    elif n <= tile_vectors and m <= tile_queries:
+        down = across = one
     else:
-        down, across = (F.lit(max(1, -(-d.count() // per))) for d, per in ((idx, tile_vectors), (qs, tile_queries)))
+        split = _tile_counts(idx, scope, tile_vectors, "_down").join(_tile_counts(qs, scope, tile_queries, "_across"), scope, "full")
+        split = F.broadcast(split) if split.limit(SPLIT_SCOPES + 1).count() <= SPLIT_SCOPES else split
+        idx, qs = idx.join(split, scope, "left"), qs.join(split, scope, "left")
+        down, across = F.coalesce("_down", one), F.coalesce("_across", one)
 
     def dealt(df: DataFrame, salt: str, own: str, parts: Column, other: str, copies: Column, vec: str) -> DataFrame:
         return df.withColumn("_dim", F.size(vec)).withColumn(own, F.pmod(F.xxhash64(salt, vec), parts).cast("int")) \

@@ -196,7 +196,7 @@ def test_verify_reads_every_kind_of_line(spark):
     ev = spark.createDataFrame([("2024-01-01T00:00:00Z", "a", "t", "u", "r", "x", None, None, '{"k": 1}', "{}")], ", ".join(f"{k} string" for k in AU.EVENT_FIELDS))
     good = AU.log_line(AU.seal(ev, "k")).first().line
     lines = {"valid": good, "blank": " \t ", "malformed": good[:-1], "missing": good.replace('"signature":', '"other":')}
-    rows = [*lines.items(), ("malformed", "[1]"), ("malformed", "null"), ("malformed", good + "x"), ("malformed", good + good), ("malformed", good + "," + good), ("malformed", good + "]"), ("malformed", "12"), ("blank", None), ("missing", "{}"),
+    rows = [*lines.items(), ("malformed", "[1]"), ("malformed", "null"), ("malformed", good + "x"), ("malformed", good + good), ("malformed", good + "," + good), ("malformed", good + "]"), ("invalid", good + ',"l2":{}'), ("malformed", "12"), ("blank", None), ("missing", "{}"),
             ("invalid", good.replace('"action":"a"', '"action":"b"')), ("invalid", good[:-1] + ',"more":"x"}'), ("invalid", good.replace('"user_id":"u"', '"user_id":7')),
             ("missing", '{"signature": null}'), ("invalid", '{"signature": "s"}')]
     df = spark.createDataFrame([(i, x[0], x[1]) for i, x in enumerate(rows)], "i int, exp string, line string")
