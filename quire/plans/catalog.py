@@ -35,5 +35,5 @@ def query(name: str, ops: str, oracle: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # Importing the plan modules registers their queries.
-    from quire.plans import (q_text, q_pii, q_chunks, q_vectors, q_access, q_audit, q_gate, q_requests, q_search)  # noqa: F401
+    from quire.plans import (q_text, q_pii, q_chunks, q_vectors, q_access, q_audit, q_gate, q_requests, q_search, q_stores)  # noqa: F401
     return REGISTRY

@@ -52,15 +52,49 @@ def p1_pages(spark, sf):
     return t.select("page_id", F.col("type").alias("pii_type"), "start", "end", F.col("text").alias("span_text"))
 
 
-@query("p1_pii_spans_conversations", "P1, P3 on conversation turns",
-       f"WITH c AS (SELECT conv_id, turn, {resolve(candidates('text'))} AS kept FROM conversations), "
+_TURNS = ("SELECT conv_id, turn, text || ' ssn 123-45-' || lpad(CAST(conv_id % 10000 AS VARCHAR), 4, '0') || ' mail c' || CAST(conv_id AS VARCHAR) "
+          "|| '@example.com' AS text FROM conversations")
+
+
+@query("p1_pii_spans_conversations", "P1, P3 on conversation turns (seeded: the given turns hold no match)",
+       f"WITH c AS (SELECT conv_id, turn, {resolve(candidates('text'))} AS kept FROM ({_TURNS})), "
        f"s AS (SELECT conv_id, turn, unnest(kept) AS s FROM c) "
        f"SELECT conv_id, turn, s.type AS pii_type, s.start AS start, s.\"end\" AS \"end\", s.text AS span_text FROM s")
-def p1_conv(spark, sf):
-    t = pii.span_table(tables.load(spark, sf, "conversations"), ["conv_id", "turn"])
+def p1_conversations(spark, sf):
+    c = F.col("conv_id")
+    seeded = F.concat("text", F.lit(" ssn 123-45-"), F.lpad((c % 10000).cast("string"), 4, "0"), F.lit(" mail c"), c.cast("string"), F.lit("@example.com"))
+    t = pii.span_table(tables.load(spark, sf, "conversations").withColumn("text", seeded), ["conv_id", "turn"])
     return t.select("conv_id", "turn", F.col("type").alias("pii_type"), "start", "end", F.col("text").alias("span_text"))
 
 
+# Entities as a model would give them: the first word, and the word "card" with
+# what follows it (it starts before the card number's own span, so it wins).
+_ENTITY = ("{{'start': CAST({start} AS INTEGER), 'neg_conf': CAST(-0.85 AS DOUBLE), 'ord': {ord}, 'type': '{type}', 'end': CAST({start} + length({text}) AS INTEGER), "
+           "'text': {text}}}")
+_N = len(P.PII_PATTERNS)
+_WITH_ENTITIES = (f"list_sort(list_concat({candidates('text')}, list_filter([" +
+                  _ENTITY.format(start="0", ord=_N, type="person", text="regexp_extract(text, '^[^ ]+', 0)") + ", " +
+                  _ENTITY.format(start="(strpos(text, 'card ') - 1)", ord=_N + 1, type="product", text="substring(text, strpos(text, 'card '), 9)") +
+                  "], lambda x : x.text <> '')))")
+
+
+@query("p2_entity_spans", "P2, U3 (entity spans merged with the patterns' before overlaps are resolved)",
+       f"WITH d AS ({tables.SEEDED_SQL}), c AS (SELECT doc_id, {resolve(_WITH_ENTITIES)} AS kept FROM d WHERE text IS NOT NULL), "
+       "s AS (SELECT doc_id, unnest(kept) AS s FROM c) "
+       "SELECT doc_id, s.type AS pii_type, s.start AS start, s.\"end\" AS \"end\", s.text AS span_text FROM s")
+def p2(spark, sf):
+    d = _seeded(spark, sf).where("text IS NOT NULL")
+
+    def entity(kind, start, text):
+        return F.struct(F.lit(kind).alias("type"), start.cast("int").alias("start"), (start + F.char_length(text)).cast("int").alias("end"), text.alias("text"),
+                        F.lit(0.85).alias("confidence"), F.lit("entity").alias("method"))
+    at = F.instr("text", "card ")
+    found = F.filter(F.array(entity("person", F.lit(0), F.regexp_extract("text", "^[^ ]+", 0)),
+                             entity("product", at - 1, F.expr("substring(text, instr(text, 'card '), 9)"))), lambda x: x["text"] != "")
+    spans = d.select("doc_id", F.explode(pii.detect_pii(F.col("text"), extra_spans=found)).alias("s"))
+    return spans.select("doc_id", F.col("s.type").alias("pii_type"), "s.start", "s.end", F.col("s.text").alias("span_text"))
+
+
 @query("p4_mask_redaction", "P1, P3, P4",
        _RESOLVED + f" SELECT doc_id, {rebuild('text', 'kept', lambda s: mask_label(s + '.type'))} AS redacted_text, "
        f"len(kept) AS n_redactions FROM c")
@@ -128,11 +162,15 @@ def p11(spark, sf):
     return pii.detector_recall(d, "expected")
 
 
-@query("j7_span_overlaps", "J7 (interval overlap of candidate spans)",
-       "WITH c AS (SELECT doc_id, " + candidates("text") + " AS cand FROM documents), "
+@query("j7_span_overlaps", "J7 (interval overlap of candidate spans, seeded with one overlap a document)",
+       "WITH c AS (SELECT doc_id, " + candidates("text") + " AS cand FROM (SELECT doc_id, text || ' a.123-45-' || "
+       "lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || '@x.com' AS text FROM documents)), "
        "s AS (SELECT doc_id, unnest(generate_series(1, len(cand))) AS i, unnest(cand) AS a, cand FROM c) "
        "SELECT doc_id, a.type AS type_a, a.start AS start_a, a.\"end\" AS end_a, b.type AS type_b, "
        "b.start AS start_b, b.\"end\" AS end_b FROM (SELECT doc_id, a, unnest(list_slice(cand, i + 1, len(cand))) AS b "
        "FROM s) WHERE b.start < a.\"end\"")
 def j7(spark, sf):
-    return pii.overlap_report(tables.load(spark, sf, "documents"))
+    # every document ends with an address that a number's span lies in
+    number = F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0")
+    d = tables.load(spark, sf, "documents").withColumn("text", F.concat("text", F.lit(" a.123-45-"), number, F.lit("@x.com")))
+    return pii.overlap_report(d)

@@ -84,7 +84,7 @@ _RECORDS_SQL = (
     "array_to_string(list_reverse(list_transform(kept, lambda x: x.type || '@' || CAST(x.start AS VARCHAR))), ',') AS redactions FROM t) ")
 
 
-def _records(spark, sf):
+def records_df(spark, sf):
     return S.chunk_records(_seeded(spark, sf), keep_cols=["tenant_id"])
 
 
@@ -94,12 +94,18 @@ def _flat(metadata):
             F.array_join(F.transform(metadata, lambda r: F.concat(r["type"], F.lit("@"), r["original_start"].cast("string"))), ",").alias("redactions")]
 
 
-@query("s6_chunk_records", "S6 (redacted and original text, redaction metadata, vector id)",
-       _RECORDS_SQL + "SELECT chunk_id, document_id, tenant_id, chunk_index, start, \"end\", chunk_id AS text_hash, masked AS chunk_text, "
-       "chunk_text AS original_text, n_redactions, redactions, chunk_id AS vector_id FROM rec")
+S6_SQL = (_RECORDS_SQL + "SELECT chunk_id, document_id, tenant_id, chunk_index, start, \"end\", chunk_id AS text_hash, masked AS chunk_text, "
+          "chunk_text AS original_text, n_redactions, redactions, chunk_id AS vector_id FROM rec")
+
+
+def flat_records(records):
+    return records.select("chunk_id", "document_id", "tenant_id", "chunk_index", "start", "end", "text_hash", "chunk_text", "original_text",
+                          *_flat(F.col("redaction_metadata")), "vector_id")
+
+
+@query("s6_chunk_records", "S6 (redacted and original text, redaction metadata, vector id)", S6_SQL)
 def s6(spark, sf):
-    return _records(spark, sf).select("chunk_id", "document_id", "tenant_id", "chunk_index", "start", "end", "text_hash", "chunk_text", "original_text",
-                                      *_flat(F.col("redaction_metadata")), "vector_id")
+    return flat_records(records_df(spark, sf))
 
 
 @query("j2_hit_metadata", "J2, S9 (vector metadata, chunk and document of every hit)",
@@ -110,7 +116,7 @@ def s6(spark, sf):
        "rec.document_id, 'doc-' || CAST(rec.document_id AS VARCHAR) || '.txt' AS document_name, rec.start, rec.\"end\", rec.masked AS text, "
        "rec.n_redactions, rec.redactions FROM top JOIN pos ON pos.chunk_id = top.chunk_id JOIN rec ON rec.chunk_id = top.chunk_id")
 def j2(spark, sf):
-    records = cut(_records(spark, sf))
+    records = cut(records_df(spark, sf))
     embedder = V.HashEmbedder(DIM)
     index = cut(V.build_index(V.embed_batch(records, embedder, text_col="original_text")))
     asked = V.embed_batch(_requests(spark, sf), embedder, text_col="query", out_col="query_embedding")

@@ -108,6 +108,26 @@ def delete_tenant_index(spark: SparkSession, path: str, tenant_id: str) -> None:
     delete_paths(spark, f"{path.rstrip('/')}/tenant_id={tenant_id}")
 
 
+def create_tenant_index(spark: SparkSession, path: str, tenant_id: str, schema: str) -> None:
+    """An index without vectors for a tenant that has none yet (a tenant
+    that has one keeps it)."""
+    own = f"{path.rstrip('/')}/tenant_id={tenant_id}"
+    if not path_exists(spark, own):
+        spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(own)
+
+
+def stored_index_stats(spark: SparkSession, path: str, tenants: DataFrame) -> DataFrame:
+    """V7 over a stored index: (tenant_id, exists, total_vectors) of `tenants`.
+    An index exists if its folder does, with or without vectors; the folders
+    are the partitions that Spark lists for any read of the table."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/tenant_id=*")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    folders = spark.createDataFrame([(f.getPath().getName().split("=", 1)[1], True) for f in found], "tenant_id string, _exists boolean")
+    totals = spark.read.parquet(path).groupBy(F.col("tenant_id").cast("string").alias("tenant_id")).agg(F.count(F.lit(1)).alias("_n"))
+    j = tenants.select("tenant_id").distinct().join(folders, "tenant_id", "left").join(totals, "tenant_id", "left")
+    return j.select("tenant_id", F.coalesce("_exists", F.lit(False)).alias("exists"), F.coalesce("_n", F.lit(0)).alias("total_vectors"))
+
+
 def read_pii_examples(spark: SparkSession, path: str) -> DataFrame:
     """Labelled PII examples (JSON array of {text, expected: [{type}]})
     with upper-case expected types lowered to our type names."""
