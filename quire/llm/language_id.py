@@ -33,6 +33,7 @@ PER_LANGUAGE = 400
 LANDMARKS = 128
 RIDGE = 1e-2
 SHARPNESS = 4.0
+SPARE = 4
 HELD_OUT = (4, 2)  # crc32(doc_id) mod 4 = 2
 WIDTH = sum(1 << b for b in BITS.values())
 
@@ -114,12 +115,20 @@ def _bitmaps(batches):
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
     """Fit on documents outside the held-out fold; None if there are none.
 
-    The per-language limit runs before the shuffle in every task, so a
-    language that holds most rows ships `per_language` ids a task."""
+    A language's documents are ranked by the hash of their id; only hashes
+    below a threshold that leaves about `SPARE` times as many as are taken are
+    ranked at all, so a language is one small task at any size.  The languages
+    (as many as the model has weights for) and their sizes go to the driver."""
     modulus, rest = HELD_OUT
     known = documents.where(F.col("lang").isNotNull() & (fold("doc_id", modulus) != rest)).select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("doc_id").distinct()
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()
+    if not sizes:
+        return None
+    top = {r["lang"]: -2.0 ** 63 + 2.0 ** 64 * min(1.0, SPARE * per_language / max(r["n"], 1)) for r in sizes}
+    limit = F.create_map(*[F.lit(x) for pair in top.items() for x in pair])[F.col("lang")]
+    hashed = F.xxhash64("doc_id")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))
+    ids = known.where(hashed.cast("double") <= limit).distinct().withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("doc_id").distinct()
     rows = documents.where(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long"), "lang", "text") \
         .join(F.broadcast(ids), "doc_id").mapInArrow(_bitmaps, "doc_id long, lang string, bits binary").collect()
     if not rows:
