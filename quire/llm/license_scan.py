@@ -111,6 +111,35 @@ for _name, _id in (("", "cc-by"), ("sharealike ", "cc-by-sa"), ("share alike ",
             for _end in ("", " international", " international license", " unported", " unported license", " license", " generic license"):
                 SENTENCES.setdefault(f"licensed under {_art}creative commons attribution {_nc}{_name}VER{_end}", _cc)
 
+# fixed values: Unlicense, zlib, EPL, CC0 and notices that name two licences
+SENTENCES |= {
+    "this is free and unencumbered software released into the public domain": "unlicense-grant",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+    "for any purpose commercial or non commercial and by any means": "unlicense-use",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+    "arising from the use of this software": "zlib-as-is",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and "
+    "redistribute it freely subject to the following restrictions": "zlib-grant",
+    "the origin of this software must not be misrepresented you must not claim that you wrote the original software": "zlib-origin",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "zlib-altered",
+    "this notice may not be removed or altered from any source distribution": "zlib-keep",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license VER": "epl-notice",
+    "cc VER universal": "cc-zero", "creative commons zero VER universal": "cc-zero", "creative commons zero": "cc-zero",
+    "governed by a bsd style license": "bsd-notice",
+}
+for _u in _UNDER:
+    SENTENCES.setdefault(_u + "eclipse public license VER", "epl-notice")
+    SENTENCES.setdefault(_u + "zlib license", "zlib-notice")
+    SENTENCES.setdefault(_u + "unlicense", "unlicense-grant")
+    SENTENCES.setdefault(_u + "unlicense license", "unlicense-grant")
+_PAIR = {"apache": "apache license VER", "mit": "mit license"}
+for _pre in ("licensed under either of ", "licensed under either ", "licensed under ", "dual licensed under ", "available under either "):
+    for _a, _b in (("apache", "mit"), ("mit", "apache")):
+        for _art in ("", "the ", "the terms of the "):
+            for _and in ("or", "and"):
+                for _art2 in ("", "the "):
+                    SENTENCES.setdefault(f"{_pre}{_art}{_PAIR[_a]} {_and} {_art2}{_PAIR[_b]}", f"{_a}-or-{_b}")
+
 # fixed values: ordered rules, longer evidence first; {} takes the version of the sequence's first sentence that has one
 RULES = [
     ("Apache-{}", ("apache-notice", "apache-comply", "apache-copy", "apache-as-is", "apache-see")),
@@ -120,6 +149,12 @@ RULES = [
     ("BSD", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD", ("bsd-grant", "bsd-source")),
+    ("Zlib", ("zlib-as-is", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-keep")),
+    ("Zlib", ("zlib-grant", "zlib-origin", "zlib-altered", "zlib-keep")),
+    ("Unlicense", ("unlicense-grant", "unlicense-use")),
+    ("Zlib", ("zlib-grant",)), ("Zlib", ("zlib-notice",)), ("Unlicense", ("unlicense-grant",)),
+    ("Apache-{} OR MIT", ("apache-or-mit",)), ("MIT OR Apache-{}", ("mit-or-apache",)),
+    ("EPL-{}", ("epl-notice",)), ("CC0-{}", ("cc-zero",)),
     ("ISC", ("isc-grant",)), ("ISC", ("isc-notice",)),
     ("GPL-{}-or-later", ("gpl-grant-later",)),
     ("LGPL-{}-or-later", ("lgpl-grant-later",)),
@@ -134,7 +169,8 @@ RULES = [
     ("Public-Domain", ("public-domain",)), ("All-Rights-Reserved", ("reserved",)),
 ]
 
-_CUE = re.compile(r"licen[cs]e|permission is|permission to use|redistribut|copyright notice|public domain|rights reserved", re.I)
+_CUE = re.compile(r"licen[cs]e|permission is|permission to use|redistribut|copyright notice|public domain|rights reserved"
+                  r"|permission is|creative commons|\bcc0\b|may not be removed or altered", re.I)
 _END = re.compile(r"[.!?:;](?=\s|$)|\n(?=\s*\n)|$")
 #: What `normalise` reads: a definition in brackets (left out), a version, a word.
 _TOKEN = re.compile(r"""(\((?:the|this)\s+["'\u201c]{0,2}licen[cs]e["'\u201d]{0,2}\))"""
