@@ -9,7 +9,7 @@ from html import unescape
 import numpy as np
 import pytest
 
-from quire.llm import html_extract, language_id, packing, quality_cnn, quality_rules
+from quire.llm import html_extract, language_id, license_scan, packing, quality_cnn, quality_rules, sharding
 from quire.llm.common import read_table
 
 SF = "/root/testdata/sf0.01"
@@ -237,3 +237,73 @@ def test_full_sequences_keep_to_themselves(spark):
     own = collections.Counter(r["sequence_id"] for r in rows)
     full = [r for r in rows if r["length"] == 1024]
     assert len(full) >= 150 and all(own[r["sequence_id"]] == 1 and r["offset"] == 0 for r in full) and min(own) >= 0
+
+
+# --- op6: sharding ---------------------------------------------------------------
+
+def test_equal_rows_are_spread(spark):
+    """100,000 equal rows: no bucket holds many of them, all come out, counts
+    are at most one apart, slots are gapless, and a second run is the same."""
+    docs = spark.range(100_000).selectExpr("7L as doc_id", "'same text' as text").unionByName(
+        spark.range(3000).selectExpr("id as doc_id", "concat('t', id) as text")).repartition(5)
+    rows = sharding._scattered(docs, ["doc_id", "text"], 64, 1, 1000).groupBy("_bucket").count().collect()
+    assert sum(r["count"] for r in rows) == 103_000 and max(r["count"] for r in rows) < 1.3 * 103_000 / 64
+    out = sharding.shard_digest(docs, bucket_bytes=40_000).select("doc_id", "shard", "slot")
+    got = out.collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert len(got) == 103_000 and sum(r["doc_id"] == 7 for r in got) == 100_001
+    assert sorted(map(len, by.values()))[-1] - sorted(map(len, by.values()))[0] <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, got))
+
+
+def test_the_threshold_takes_the_smallest_hashes(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 10 < 7, 'aa', 'bb') as lang", "concat('text number ', id) as text")
+    docs = docs.unionByName(docs.where("doc_id < 5")).unionByName(docs.where("doc_id = 7"))
+    taken = []
+    monkeypatch.setattr(language_id, "fit", lambda bits, langs, landmarks: taken.extend(langs) or bits)
+    language_id.train(docs, per_language=50)
+    assert collections.Counter(taken) >= collections.Counter({"aa": 50, "bb": 50}) and len(taken) <= 106
+
+
+# --- op10: further licences ------------------------------------------------------
+
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+
+
+@pytest.mark.parametrize("text,names", [
+    (ZLIB, ["Zlib"]), (UNLICENSE, ["Unlicense"]), ("Files under the zlib licence: Licensed under the zlib License.", ["Zlib"]),
+    ("# This program and the accompanying materials are made\n# available under the terms of the Eclipse Public License 2.0", ["EPL-2.0"]),
+    ("Licensed under the Eclipse Public License v1.0.", ["EPL-1.0"]), ("Dedicated under CC0 1.0 Universal.", ["CC0-1.0"]),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0 OR MIT"]),
+    ("Dual licensed under the MIT License and the Apache License 2.0.", ["MIT OR Apache-2.0"]),
+    ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", ["BSD"]),
+    ("Licensed under the MIT License.", ["MIT"]), ("Nothing to declare.", []), (None, [])])
+@pytest.mark.parametrize("before,after", [("", ""), ("Copyright 2020 A. Writer\n\n", "\n\nint main() {}")])
+def test_further_licences(text, names, before, after):
+    found = license_scan.scan(before + text + after if text else text)
+    assert [f[0] for f in found] == names
+    for _, start, end in found:
+        assert 0 <= start < end <= len(before + (text or "") + after)
