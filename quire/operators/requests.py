@@ -108,26 +108,24 @@ def crowded_load(df: DataFrame, client: str = "client", ts: str = "ts", window_s
     return d.join(counts, [client, "_t"]).select(*df.columns, "window_count")
 
 
-def _segments(df: DataFrame, client: str, ts: str, order: str, window_seconds: int) -> DataFrame:
+def _segments(df: DataFrame, client: str, ts: str, window_seconds: int) -> DataFrame:
     """Split each client's timeline where the previous request is more than
     a window older: the limiter's state is empty there, so the pieces are
-    independent.  The previous request is found in the bucketed layout (the
-    context copy of the previous bucket precedes the bucket's own rows);
-    segment ids propagate through a per-(client, bucket) summary."""
+    independent.
+
+    Two requests of one bucket lie less than a window apart, so a piece can
+    only begin with a bucket's first request, and the first and last time of
+    every (client, bucket) decide it: a partial aggregate, one window over
+    that small table, and one join back to the requests."""
     width = window_seconds * 1_000_000
-    b = _bucketed(df, client, ts, window_seconds)
-    w = Window.partitionBy(client, "_b").orderBy("_t", order)
-    prev = F.lag("_t").over(w)
-    starts = b.withColumn("_start", prev.isNull() | (prev < F.col("_t") - width)) \
-        .filter("_own").drop("_own")
-    flagged = starts.withColumn("_seg_here", F.when(F.col("_start"), F.col("_t")))
-    per_bucket = flagged.groupBy(client, "_b").agg(F.max("_seg_here").alias("_last_start"))
-    wb = Window.partitionBy(client).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_bucket.withColumn("_carry", F.max("_last_start").over(wb)).drop("_last_start")
-    wi = Window.partitionBy(client, "_b").orderBy("_t", order).rowsBetween(Window.unboundedPreceding, 0)
-    j = flagged.join(carry, [client, "_b"])
-    seg = F.coalesce(F.max("_seg_here").over(wi), F.col("_carry"))
-    return j.withColumn("_seg", seg).drop("_seg_here", "_carry", "_start")
+    d = df.withColumn("_t", F.unix_micros(F.col(ts))).withColumn("_b", F.floor(F.col("_t") / width))
+    per_bucket = d.groupBy(client, "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    w = Window.partitionBy(client).orderBy("_b")
+    before = F.lag("_last").over(w)
+    start = F.when(before.isNull() | (before < F.col("_first") - width), F.col("_first"))
+    pieces = per_bucket.select(client, "_b", "_first", start.alias("_start")).select(
+        client, "_b", F.max("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_seg"))
+    return d.join(pieces, [client, "_b"])
 
 
 def _admission(limit: int, window_seconds: int, client: str, order: str):
@@ -175,7 +173,7 @@ def rate_limit(df: DataFrame, limit: int = P.RATE_LIMIT_PER_MINUTE,
     if path is not None:
         bypass = d.filter(F.col(path).isin(P.HEALTH_PATHS))
         d = d.filter(~F.col(path).isin(P.HEALTH_PATHS) | F.col(path).isNull())
-    seg = _segments(d.select(client, ts, order), client, ts, order, window_seconds)
+    seg = _segments(d.select(client, ts, order), client, ts, window_seconds)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = seg.repartition(n, client, "_seg").sortWithinPartitions(client, "_seg", "_t", order)
     schema = (f"{client} {d.schema[client].simpleString().split(':')[-1]}, {order} "
