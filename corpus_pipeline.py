@@ -18,24 +18,33 @@ from quire.session import checkpoint_dir, ensure_defaults
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the risk-controlled rules keep."""
+    """Documents that the risk-controlled rules keep, columns unchanged.  Null
+    and empty texts have no words and go; repeated rows share their verdict;
+    an empty table stays empty; without labels only the base rule rejects."""
     return quality_rules.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the byte-level network does not score as junk."""
+    """Documents that the byte-level network does not score as junk, columns
+    unchanged.  A null text counts as empty and is scored; repeated rows share
+    their score; an empty table stays empty; where the labels hold one class
+    only, the score is constant."""
     model = quality_cnn.train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return quality_cnn.keep_good(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group linked by five-word
-    shingles with Jaccard similarity of 0.8 or more."""
+    shingles with Jaccard similarity of 0.8 or more, columns unchanged.  Null
+    and empty texts are linked with nothing and stay; rows with one doc_id are
+    one document; an empty table stays empty."""
     return jaccard_join.keep_one(docs, words=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 1024 tokens."""
+    """Pieces of all documents in training sequences of at most 1024 tokens.
+    Null and empty texts are the end token alone; repeated rows are packed
+    each; an empty table gives no rows; extra columns are not read."""
     return packing.pack(docs)
 
 
