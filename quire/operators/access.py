@@ -124,15 +124,16 @@ def check_permissions(requests: DataFrame, user_roles: DataFrame, roles: DataFra
                       users: DataFrame) -> DataFrame:
     """Each request (user_id, tenant_id, permission) is allowed iff the
     user is of that tenant and holds the permission there; the rest get the
-    reason of the denial.  The requests are read once: both facts join them
-    from the left."""
+    reason of the denial.  The requests are read once: the facts join them
+    from the left, one row per key at most."""
     keys = ["user_id", "tenant_id", "permission"]
     held = grants(user_roles, roles).withColumn("_held", F.lit(True))
-    home = users.select("user_id", F.col("tenant_id").alias("_home")).distinct()
-    r = requests.join(held, keys, "left").join(home, "user_id", "left")
+    known = users.select("user_id").distinct().withColumn("_known", F.lit(True))
+    member = users.select("user_id", "tenant_id").distinct().withColumn("_member", F.lit(True))
+    r = requests.join(held, keys, "left").join(known, "user_id", "left").join(member, ["user_id", "tenant_id"], "left")
     allowed = F.col("_held").isNotNull()
-    reason = (F.when(allowed, F.lit(None).cast("string")).when(F.col("_home").isNull(), "unknown_user")
-              .when(F.col("_home") != F.col("tenant_id"), "tenant_mismatch").otherwise("missing_permission"))
+    reason = (F.when(allowed, F.lit(None).cast("string")).when(F.col("_known").isNull(), "unknown_user")
+              .when(F.col("_member").isNull(), "tenant_mismatch").otherwise("missing_permission"))
     return r.select(*requests.columns, allowed.alias("allowed"), reason.alias("reason"))
 
 
