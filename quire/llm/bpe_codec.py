@@ -5,11 +5,14 @@ Stages (every exchange carries compressed, bounded rows):
 1. *Factorise.*  Documents are taken in bundles of at most `bundle_bytes` of
    text.  A bundle's words are split with the vocabulary's pattern and
    numbered; the bundle becomes one row with the word numbers of its
-   documents (positions) and, per word class (crc32 of the word modulo
-   `classes`), one row with the bundle's distinct words of that class.
-2. *Encode.*  All bundles' words of a class meet in one partition, where each
-   distinct word is encoded once; every bundle's row gets the ids of its
-   words back.
+   documents (positions) and, per word class (crc32 of the word modulo the
+   number of classes), one row with the bundle's distinct words of that class.
+2. *Encode.*  The words of a class meet in one group, where each distinct word
+   is encoded once; every bundle's row gets the ids of its words back.  The
+   number of classes follows the bytes of all texts (one aggregate before), so
+   that a group stands for `class_bytes` of text; when a bundle would need more
+   than `MAX_CLASSES` rows for that, the bundles are dealt over slices as well,
+   and a word is encoded once in each slice.
 3. *Join back by position.*  Positions and ids meet by bundle; a document's
    ids are its words' ids in order.  Decoding maps ids to pieces through the
    id-to-piece table (50,257 rows: a fixed bound) and concatenates.
@@ -17,7 +20,8 @@ Stages (every exchange carries compressed, bounded rows):
 A word that every document holds appears once per bundle, so no key is hot.
 Rows: null text counts as empty (0 tokens); empty texts give an empty id
 list; repeated rows are kept; an empty table gives no rows; extra columns are
-not read.  A text longer than a bundle is a bundle of its own.
+not read.  A text longer than a bundle is a bundle of its own.  The frame is
+read twice (bytes, then words) unless the caller names its bytes.
 """
 
 from __future__ import annotations
@@ -38,7 +42,12 @@ from quire.llm import vocab
 from quire.llm.common import batches_of
 
 BUNDLE_BYTES = 8 << 20
-CLASSES = 256
+#: Text bytes that one group of words stands for, and bounds of the class count
+#: (a bundle sends one row per class).
+CLASS_BYTES = 32 << 20
+MIN_CLASSES, MAX_CLASSES = 256, 4096
+#: Text bytes of a partition of the exchange, beyond `spark.sql.shuffle.partitions`.
+PARTITION_BYTES = 64 << 20
 #: A task's table of encoded words starts anew beyond this size (memory bound;
 #: a class of more words encodes some of them again, with the same result).
 TABLE_WORDS = 1_000_000
@@ -71,7 +80,13 @@ def _cut(body: bytes, lengths: bytes) -> list[bytes]:
     return [body[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _factorise(id_col: str, text_col: str, path: str, bundle_bytes: int, classes: int):
+def plan_groups(text_bytes: int, class_bytes: int = CLASS_BYTES, classes: int | None = None) -> tuple[int, int]:
+    """(classes, slices) with about `class_bytes` of text a group at most."""
+    classes = classes or min(max(-(-text_bytes // class_bytes), MIN_CLASSES), MAX_CLASSES)
+    return classes, max(-(-text_bytes // (classes * class_bytes)), 1)
+
+
+def _factorise(id_col: str, text_col: str, path: str, bundle_bytes: int, classes: int, slices: int):
     def run(batches):
         for batch in batches_of(batches, text_col, bundle_bytes):
             number = defaultdict(itertools.count().__next__)
@@ -91,11 +106,12 @@ def _factorise(id_col: str, text_col: str, path: str, bundle_bytes: int, classes
             # low and high halves apart: the high half is mostly zero and packs well
             halves = (flat & 0xFFFF).astype("<u2").tobytes(), (flat >> 16).astype("<u2").tobytes()
             rows = [(bundle, bundle, -1, _put(ids, known, np.array(lengths, "<i8").tobytes(), *halves))]
+            part = bundle % slices
             owner = np.fromiter((zlib.crc32(w) % classes for w in raw), "<i4", len(raw))
             for c in np.unique(owner).tolist():
                 own = np.flatnonzero(owner == c)
                 mine = [raw[i] for i in own]
-                rows.append((c, bundle, c, _put(own.astype("<u4").tobytes(), _lengths(mine), b"".join(mine))))
+                rows.append((part * classes + c, bundle, c, _put(own.astype("<u4").tobytes(), _lengths(mine), b"".join(mine))))
             yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows), _PACKED)], schema=_PACKED)
     return run
 
@@ -109,8 +125,8 @@ def _encode(path: str):
             for row in batch.to_pylist():
                 if row["word_class"] < 0:
                     continue
-                if row["word_class"] != current:
-                    current, table = row["word_class"], {}
+                if row["route"] != current:
+                    current, table = row["route"], {}
                 if len(table) > TABLE_WORDS:
                     table = {}
                 own, lengths, body = _get(row["payload"])
@@ -179,27 +195,34 @@ def _full(path: str):
     return full
 
 
-def _joined(df: DataFrame, id_col: str, text_col: str, path: str, bundle_bytes: int, classes: int):
+def _joined(df: DataFrame, id_col: str, text_col: str, path: str, bundle_bytes: int, classes: int | None, class_bytes: int,
+            text_bytes: int | None):
+    if text_bytes is None:
+        text_bytes = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    classes, slices = plan_groups(text_bytes, class_bytes, classes)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // PARTITION_BYTES))
     packed = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _factorise("doc_id", "text", path, bundle_bytes, classes), _PACKED_DDL).repartition("route")
-    ids = packed.sortWithinPartitions("word_class").mapInArrow(_encode(path), "bundle long, ids binary")
+        _factorise("doc_id", "text", path, bundle_bytes, classes, slices), _PACKED_DDL).repartition(n, "route")
+    ids = packed.sortWithinPartitions("route").mapInArrow(_encode(path), "bundle long, ids binary")
     # `packed` is partitioned by route, which is the bundle for rows of
     # positions: they stay where the first exchange put them.
     return packed.groupBy("route").cogroup(ids.groupBy("bundle"))
 
 
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-                  bundle_bytes: int = BUNDLE_BYTES, classes: int = CLASSES) -> DataFrame:
+                  bundle_bytes: int = BUNDLE_BYTES, classes: int | None = None, class_bytes: int = CLASS_BYTES,
+                  text_bytes: int | None = None) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every row."""
     path = path or vocab.tokenizer_path()
-    return _joined(df, id_col, text_col, path, bundle_bytes, classes).applyInArrow(
+    return _joined(df, id_col, text_col, path, bundle_bytes, classes, class_bytes, text_bytes).applyInArrow(
         _full(path), "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-                  bundle_bytes: int = BUNDLE_BYTES, classes: int = CLASSES) -> DataFrame:
+                  bundle_bytes: int = BUNDLE_BYTES, classes: int | None = None, class_bytes: int = CLASS_BYTES,
+                  text_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the digests are taken
     in the tasks that hold ids and decoded text, so neither is shipped."""
     path = path or vocab.tokenizer_path()
-    return _joined(df, id_col, text_col, path, bundle_bytes, classes).applyInArrow(
+    return _joined(df, id_col, text_col, path, bundle_bytes, classes, class_bytes, text_bytes).applyInArrow(
         _digest(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

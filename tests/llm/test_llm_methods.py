@@ -9,7 +9,7 @@ from html import unescape
 import numpy as np
 import pytest
 
-from quire.llm import html_extract, language_id, license_scan, packing, quality_cnn, quality_rules, sharding
+from quire.llm import bpe_codec, html_extract, language_id, license_scan, packing, quality_cnn, quality_rules, sharding
 from quire.llm.common import read_table
 
 SF = "/root/testdata/sf0.01"
@@ -307,3 +307,23 @@ def test_further_licences(text, names, before, after):
     assert [f[0] for f in found] == names
     for _, start, end in found:
         assert 0 <= start < end <= len(before + (text or "") + after)
+
+
+# --- op4: groups of words --------------------------------------------------------
+
+def test_word_groups_follow_the_bytes():
+    mb, tb = 1 << 20, 1 << 40
+    assert bpe_codec.plan_groups(0) == bpe_codec.plan_groups(100 * mb) == (bpe_codec.MIN_CLASSES, 1)
+    assert bpe_codec.plan_groups(32 * 1000 * mb) == (1000, 1)
+    for size in (1, mb, 40_000 * mb, tb, 100 * tb):
+        classes, slices = bpe_codec.plan_groups(size)
+        assert bpe_codec.MIN_CLASSES <= classes <= bpe_codec.MAX_CLASSES and classes * slices * bpe_codec.CLASS_BYTES >= size
+    assert bpe_codec.plan_groups(1000, class_bytes=10, classes=7) == (7, 15)
+
+
+def test_slices_give_the_same_ids(spark):
+    docs = spark.range(60).selectExpr("id as doc_id", "if(id % 7 = 0, null, concat('the word ', id % 5, ' and the rest of ', id, ' \u00e9t\u00e9')) as text")
+    one = {r["doc_id"]: r for r in bpe_codec.encode_digest(docs, bundle_bytes=200).collect()}
+    many = {r["doc_id"]: r for r in bpe_codec.encode_digest(docs, bundle_bytes=200, classes=3, class_bytes=100).collect()}
+    named = {r["doc_id"]: r for r in bpe_codec.encode_digest(docs, bundle_bytes=200, text_bytes=10_000, class_bytes=5, classes=2).collect()}
+    assert one == many == named and len(one) == 60 and one[0]["n_tokens"] == 0 and one[1]["n_tokens"] > 5
