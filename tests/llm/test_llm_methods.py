@@ -2,6 +2,7 @@
 versions, and the faults found in reviews."""
 
 import collections
+import random
 import re
 import zlib
 from html import unescape
@@ -327,3 +328,106 @@ def test_slices_give_the_same_ids(spark):
     many = {r["doc_id"]: r for r in bpe_codec.encode_digest(docs, bundle_bytes=200, classes=3, class_bytes=100).collect()}
     named = {r["doc_id"]: r for r in bpe_codec.encode_digest(docs, bundle_bytes=200, text_bytes=10_000, class_bytes=5, classes=2).collect()}
     assert one == many == named and len(one) == 60 and one[0]["n_tokens"] == 0 and one[1]["n_tokens"] > 5
+
+
+# --- op10: sentences and full licence texts ---------------------------------------
+
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+
+ * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+ * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+   the documentation and/or other materials provided with the distribution.
+"""
+BSD_ADVERT = """ * All advertising materials mentioning features or use of this software must display the following acknowledgement:
+   This product includes software developed by Acme.
+"""
+BSD_NAME = """ * Neither the name of Acme Inc. nor the names of its contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_TAIL = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+MIT_HEAD = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
+MIT_KEEP = """, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+MIT_TAIL = """
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR
+ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC_HEAD = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+ISC_KEEP = ", provided that the above copyright notice and this permission notice appear in all copies"
+ISC_TAIL = """.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+
+
+@pytest.mark.parametrize("text,name", [
+    (BSD_HEAD + BSD_TAIL, "BSD-2-Clause"), (BSD_HEAD + BSD_NAME + BSD_TAIL, "BSD-3-Clause"),
+    (BSD_HEAD + BSD_ADVERT + BSD_NAME + BSD_TAIL, "BSD-4-Clause"), (MIT_HEAD + MIT_KEEP + MIT_TAIL, "MIT"), (MIT_HEAD + "." + MIT_TAIL, "MIT-0"),
+    (ISC_HEAD + ISC_KEEP + ISC_TAIL, "ISC"), (ISC_HEAD + ISC_TAIL, "0BSD")])
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_full_texts_are_one_finding(text, name, mark):
+    text = "\n".join(mark + line for line in text.strip().split("\n"))
+    full = "Copyright 2020 Acme.\n\n" + text + "\n\nint main() {}"
+    (got, start, end), = license_scan.scan_full(full)
+    assert got == name and end == 22 + len(text) and full[start:end].lstrip(" *#").startswith(text.lstrip(" *#")[:30])
+
+
+@pytest.mark.parametrize("text,name", [
+    ("Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "Apache-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies\nof this license "
+     "document, but changing it is not allowed.", "GPL-3"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("Licensed under the EUPL, Version 1.2", "EUPL-1.2"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"), ("Licensed under the Artistic License 2.0", "Artistic-2.0")])
+def test_titles_and_notices(text, name):
+    assert [f[0] for f in license_scan.scan_full(text)] == [name]
+
+
+def test_sentences_come_before_runs():
+    text = "Do it. Licensed under the MIT License. It is released under the MIT License too; Licensed under the GNU General Public License; version 2 only."
+    assert [f[0] for f in license_scan.scan(text)] == ["MIT", "MIT", "GPL-2-only"]
+    words, _ = license_scan.normalise("all rights reserved licensed under the mit license")
+    assert license_scan.identify(words, [0, 3]) == license_scan.identify(words) == [(0, 3, "reserved"), (3, 8, "mit-notice")]
+
+
+def test_rules_with_missing_sentences():
+    rule = ("a", "b?", "c", "d?")
+    assert [license_scan.match_rule(list(x), rule, 0) for x in ("abcd", "abc", "acd", "ac", "ab", "b", "")] == [4, 3, 3, 2, 0, 0, 0]
+
+
+def brute_identify(words):
+    """Longest first over every place and every known sentence."""
+    known = {tuple(k.split()): v for k, v in license_scan.SENTENCES.items()}
+    sizes = sorted({len(k) for k in known})
+    hits = [(n, i, known[tuple(words[i:i + n])]) for i in range(len(words)) for n in sizes if tuple(words[i:i + n]) in known and i + n <= len(words)]
+    out, used = [], set()
+    for n, i, name in sorted(hits, key=lambda h: (-h[0], h[1])):
+        if not used & set(range(i, i + n)):
+            used |= set(range(i, i + n))
+            out.append((i, i + n, name))
+    return sorted(out)
+
+
+def test_identify_against_brute_force():
+    r = random.Random(4)
+    pool = [k.split() for k in license_scan.SENTENCES]
+    for _ in range(60):
+        words = []
+        for _ in range(r.randrange(1, 6)):
+            part = r.choice(pool)
+            words += part[:r.randrange(1, len(part) + 1)] if r.random() < 0.4 else part
+            words += ["filler"] * r.randrange(3)
+        assert license_scan.identify(words) == brute_identify(words)
