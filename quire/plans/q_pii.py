@@ -150,13 +150,15 @@ def p10(spark, sf):
 _EXPECTED = "[" + ", ".join(f"'{t}'" for t, _ in P.PII_PATTERNS) + "]"
 
 
-@query("p11_detector_recall", "P11, U2",
-       _RESOLVED + f", e AS (SELECT doc_id, unnest({_EXPECTED}) AS pii_type, "
-       "list_distinct(list_transform(kept, lambda k: k.type)) AS found FROM c) "
-       "SELECT pii_type, count(*) AS expected, sum(CASE WHEN list_contains(found, pii_type) THEN 1 ELSE 0 END) "
-       "AS detected, (floor(CAST(sum(CASE WHEN list_contains(found, pii_type) THEN 1 ELSE 0 END) AS DOUBLE) / count(*) "
-       "* 1000000.0 + 0.5) / 1000000.0) AS recall "
-       "FROM e GROUP BY pii_type")
+P11_SQL = (_RESOLVED + f", e AS (SELECT doc_id, unnest({_EXPECTED}) AS pii_type, "
+           "list_distinct(list_transform(kept, lambda k: k.type)) AS found FROM c) "
+           "SELECT pii_type, count(*) AS expected, sum(CASE WHEN list_contains(found, pii_type) THEN 1 ELSE 0 END) "
+           "AS detected, (floor(CAST(sum(CASE WHEN list_contains(found, pii_type) THEN 1 ELSE 0 END) AS DOUBLE) / count(*) "
+           "* 1000000.0 + 0.5) / 1000000.0) AS recall "
+           "FROM e GROUP BY pii_type")
+
+
+@query("p11_detector_recall", "P11, U2", P11_SQL)
 def p11(spark, sf):
     d = _seeded(spark, sf).withColumn("expected", F.array(*[F.lit(t) for t, _ in P.PII_PATTERNS]))
     return pii.detector_recall(d, "expected")

@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quire.plans import q_search
+from quire.functions import patterns as P
+from quire.operators import pii
+from quire.plans import q_pii, q_search
 from quire.plans.catalog import query
 from quire.session import checkpoint_dir
 from quire.sources import sinks, tables
@@ -16,6 +18,26 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@query("s1_raw_files", "S1 (texts written as raw files below their tenant's folder and read back with the tenant of the path)",
+       "SELECT source AS tenant_id, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS total_bytes, "
+       "CAST(sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1) AS BIGINT) AS line_ends FROM documents GROUP BY ALL")
+def s1(spark, sf):
+    path = _folder(spark, "uploads")
+    sinks.write_raw_files(tables.documents(spark, sf), path)
+    raw = sinks.read_raw_files(spark, path, "*.txt")
+    ends = F.char_length(F.regexp_replace(F.decode("content", "UTF-8"), "[^\n]+", ""))
+    return raw.groupBy("tenant_id").agg(F.sum("length").alias("total_bytes"), F.sum(ends.cast("long")).alias("line_ends"))
+
+
+@query("s12_labelled_examples", "S12, P11 (seeded documents written as labelled examples, read back, recall per type)", q_pii.P11_SQL)
+def s12(spark, sf):
+    path = _folder(spark, "examples")
+    seeded = tables.seeded_documents(tables.documents(spark, sf))
+    sinks.write_pii_examples(seeded.withColumn("expected_types", F.array(*[F.lit(t) for t, _ in P.PII_PATTERNS])), path)
+    examples = sinks.read_pii_examples(spark, path, lines=True).withColumn("doc_id", F.monotonically_increasing_id())
+    return pii.detector_recall(examples, "expected_types")
+
+
 @query("s5_document_store", "S5 (document metadata, written by tenant and read back)",
        "SELECT doc_id AS document_id, source AS tenant_id, 'doc-' || CAST(doc_id AS VARCHAR) || '.txt' AS filename, CAST(length(text) AS INTEGER) AS text_length, "
        "sha256(text) AS text_hash, 'text_extracted' AS status FROM documents")

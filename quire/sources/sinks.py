@@ -16,16 +16,25 @@ from quire.operators import vectors as V
 
 
 def read_raw_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Raw uploads laid out as <root>/<tenant>/<uuid>_<name>; the tenant
+    """Raw uploads laid out as <root>/<tenant>/<uuid>_<name>, or as
+    `write_raw_files` leaves them (<root>/tenant_id=<tenant>/<file>); the tenant
     and file name come from the path."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true") \
         .load(root)
     return df.select(
         "path", "length", "modificationTime", "content",
-        F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("tenant_id"),
+        F.regexp_extract("path", r"/(?:tenant_id=)?([^/]+)/[^/]+$", 1).alias("tenant_id"),
         F.regexp_extract("path", r"/[0-9a-fA-F-]{36}_([^/]+)$", 1).alias("filename"))
 
 
+def write_raw_files(docs: DataFrame, root: str, text_col: str = "text", rows_per_file: int = 200) -> None:
+    """The texts as raw files below their tenant's folder, one line end
+    after each; a null text leaves an empty line.  A file holds `rows_per_file`
+    texts at most, so that `read_raw_files` (one row a file) stays bounded."""
+    docs.select("tenant_id", F.coalesce(F.col(text_col), F.lit("")).alias("value")) \
+        .write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("tenant_id").text(root)
+
+
 def ingest_raw(raw: DataFrame, mime_col: str | None = None) -> DataFrame:
     """S2 + S3 + S4 + T7: dispatch by type, decode text files, clean, hash.
     Unsupported or binary formats go to a quarantine status (the PDF/DOCX
@@ -128,9 +137,19 @@ def stored_index_stats(spark: SparkSession, path: str, tenants: DataFrame) -> Da
     return j.select("tenant_id", F.coalesce("_exists", F.lit(False)).alias("exists"), F.coalesce("_n", F.lit(0)).alias("total_vectors"))
 
 
-def read_pii_examples(spark: SparkSession, path: str) -> DataFrame:
+_EXAMPLE = "text string, expected array<struct<type:string>>"
+
+
+def read_pii_examples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Labelled PII examples (JSON array of {text, expected: [{type}]})
-    with upper-case expected types lowered to our type names."""
-    df = spark.read.option("multiLine", "true").schema(
-        "text string, expected array<struct<type:string>>").json(path)
+    with upper-case expected types lowered to our type names.  `lines`: one
+    object a line, which Spark splits and reads by many tasks."""
+    df = spark.read.option("multiLine", str(not lines).lower()).schema(_EXAMPLE).json(path)
     return df.select("text", F.transform("expected", lambda e: F.lower(e["type"])).alias("expected_types"))
+
+
+def write_pii_examples(df: DataFrame, path: str, types_col: str = "expected_types") -> None:
+    """Examples (text, array of our type names) as JSON lines of the
+    labelled form, for `read_pii_examples(..., lines=True)`."""
+    named = F.transform(types_col, lambda t: F.struct(F.upper(t).alias("type")))
+    df.select("text", named.alias("expected")).write.mode("append").json(path)

@@ -88,3 +88,31 @@ def test_status_updates_keep_what_they_do_not_name(spark):
     ups = spark.sql("select * from values (2, 'failed', timestamp'2024-01-02'), (2, 'completed', timestamp'2024-01-03') as t(doc_id, status, ts)")
     got = {r.doc_id: (r.status, str(r.processed_at)[:10]) for r in A.update_status(docs, ups).collect()}
     assert got == {1: ("completed", "2024-01-01"), 2: ("completed", "2024-01-03"), 3: ("failed", "None")}
+
+
+def test_raw_files_written_by_tenant(spark, scratch):
+    root = os.path.join(scratch, "uploads")
+    docs = spark.createDataFrame([(i, "tenant_%d" % (i % 3), None if i == 4 else "text %d\nline" % i) for i in range(30)] + [(30, "empty", "")],
+                                 "doc_id long, tenant_id string, text string")
+    sinks.write_raw_files(docs.repartition(2), root, rows_per_file=4)
+    raw = sinks.read_raw_files(spark, root, "*.txt").collect()
+    held = {}
+    for r in raw:
+        assert len(bytes(r.content)) == r.length and bytes(r.content).decode().count("\nline") <= 4
+        held.setdefault(r.tenant_id, []).extend(x for x in bytes(r.content).decode().split("\n")[:-1])
+    texts = {}
+    for d in docs.collect():
+        texts.setdefault(d.tenant_id, []).extend((d.text or "").split("\n"))
+    assert {t: sorted(x) for t, x in held.items()} == {t: sorted(x) for t, x in texts.items()} and len(held["empty"]) == 1
+    again = os.path.join(scratch, "no_uploads")
+    sinks.write_raw_files(docs.where("doc_id < 0"), again)
+    assert sinks.read_raw_files(spark, again, "*.txt").count() == 0
+
+
+def test_labelled_examples_round_trip(spark, scratch):
+    path = os.path.join(scratch, "examples")
+    rows = [("mail a@b.com \u00e9 \"quoted\"\nnext", ["email"]), ("", []), ("ssn 123-45-6789", ["ssn", "phone"]), ("no types", None), (None, ["zip"])]
+    sinks.write_pii_examples(spark.createDataFrame(rows, "text string, expected_types array<string>"), path)
+    got = [(r.text, r.expected_types) for r in sinks.read_pii_examples(spark, path, lines=True).collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+    assert '"type":"EMAIL"' in "".join(r.value for r in spark.read.text(path).collect())
