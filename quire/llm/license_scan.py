@@ -237,11 +237,13 @@ RULES = [
     ("Public-Domain", ("public-domain",)), ("All-Rights-Reserved", ("reserved",)),
 ]
 
+#: Rules with the identifiers that may begin them.
+_ORDERED = [(licence, ids, [x.rstrip("?") for i, x in enumerate(ids) if all(y.endswith("?") for y in ids[:i])]) for licence, ids in RULES]
 #: Licences that findings name by their family (`license`); `spdx` names them in full.
 FAMILY = {"BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD", "BSD-4-Clause": "BSD"}
 
 _CUE = re.compile(r"licen[cs]e|permission is|permission to use|redistribut|copyright notice|public domain|rights reserved"
-                  r"|permission is|creative commons|\bcc0\b|may not be removed or altered", re.I)
+                  r"|creative commons|\bcc0\b|may not be removed or altered", re.I)
 _END = re.compile(r"[.!?:;](?=\s|$)|\n(?=\s*\n)|$")
 #: What `normalise` reads: a definition in brackets (left out), a version, a word.
 _TOKEN = re.compile(r"""(\((?:the|this)\s+["'\u201c]{0,2}licen[cs]e["'\u201d]{0,2}\))"""
@@ -332,17 +334,18 @@ def scan_full(text: str | None) -> list[tuple[str, int, int]]:
         if (closing := _CLOSING.match(text, end)) is not None:
             end = closing.end()
         seen.append([name, next((m.group(2) for m in places[i:j] if m.lastindex == 2), None), start, end])
-    taken = [False] * len(seen)
     found = [(m.group(1), m.start(), m.end()) for m in _SPDX.finditer(text)]
-    names = [p[0] for p in seen]
-    for licence, ids in RULES:
-        for i in range(len(seen)):
-            n = match_rule(names, ids, i)
-            if n and not any(taken[i:i + n]):
-                taken[i:i + n] = [True] * n
+    names = [p[0] for p in seen]  # "" once a rule has taken it
+    at: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        at.setdefault(name, []).append(i)
+    for licence, ids, heads in _ORDERED:
+        for i in sorted(i for head in heads for i in at.get(head, ())):
+            if n := match_rule(names, ids, i):
+                names[i:i + n] = [""] * n
                 version = next((p[1] for p in seen[i:i + n] if p[1]), None)
                 found.append((licence.format(version) if version else licence.replace("-{}", ""), seen[i][2], seen[i + n - 1][3]))
-    found += [("unknown:" + s[0], s[2], s[3]) for s, t in zip(seen, taken) if not t]
+    found += [("unknown:" + s[0], s[2], s[3]) for s, left in zip(seen, names) if left]
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 

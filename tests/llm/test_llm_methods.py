@@ -431,3 +431,11 @@ def test_identify_against_brute_force():
             words += part[:r.randrange(1, len(part) + 1)] if r.random() < 0.4 else part
             words += ["filler"] * r.randrange(3)
         assert license_scan.identify(words) == brute_identify(words)
+
+
+def test_many_findings_in_one_text():
+    text = "\n".join([MIT_HEAD + MIT_KEEP + MIT_TAIL, ZLIB, "All rights reserved.", BSD_HEAD + BSD_NAME, "and then, as " + MIT_KEEP[40:]] * 300)
+    found = license_scan.scan_full(text)
+    assert collections.Counter(f[0] for f in found) == {"MIT": 300, "Zlib": 300, "All-Rights-Reserved": 300, "BSD-3-Clause": 300, "unknown:mit-keep": 300}
+    assert all(x[2] <= y[1] for x, y in zip(found, found[1:]))
+    assert license_scan.scan_full("All rights reserved.\n" * 50_000) == [("All-Rights-Reserved", 21 * i, 21 * i + 20) for i in range(50_000)]
