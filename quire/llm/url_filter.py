@@ -30,12 +30,11 @@ rows; extra columns are not read.
 
 from __future__ import annotations
 
+import fcntl
 import functools
 import os
 import re
-import shutil
 import string
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -164,17 +163,17 @@ def lay_out(files: Sequence[str], folder: str) -> None:
 
 @functools.lru_cache(maxsize=4)
 def open_array(name: str, files: tuple[str, ...]) -> DigestArray:
-    """The arrays of an executor, laid out by the first worker that asks
-    (the folder appears whole, by one rename)."""
-    folder = os.path.join(SparkFiles.getRootDirectory(), name)
-    if not os.path.isdir(folder):
-        made = tempfile.mkdtemp(prefix=f"{name}-", dir=SparkFiles.getRootDirectory())
-        lay_out([SparkFiles.get(f) for f in files], made)
-        try:
-            os.rename(made, folder)
-        except OSError:  # another worker was first
-            shutil.rmtree(made, ignore_errors=True)
-    return DigestArray(folder)
+    """The arrays of an executor, laid out in place by the first worker that
+    gets the lock.  A folder without its mark is not whole (its writer was
+    ended): the next holder of the lock lays it out again."""
+    folder = os.path.join(os.path.abspath(SparkFiles.getRootDirectory()), name)
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)  # freed with the file, also if the worker dies
+        if not os.path.exists(f"{folder}/whole"):
+            lay_out([SparkFiles.get(f) for f in files], folder)
+            open(f"{folder}/whole", "w").close()
+        return DigestArray(folder)
 
 
 class Filter:

@@ -190,6 +190,30 @@ def test_digest_array_confirms_strings(tmp_path):
     assert swapped != key  # "rcom/" is stored under another digest and is not found by its own
 
 
+@pytest.mark.parametrize("left", ["nothing", "a folder without its arrays"])
+def test_arrays_without_renames(tmp_path, monkeypatch, left):
+    """A disk that renames no folder, or a writer that was ended, leaves no
+    worker without the arrays (both ended in FileNotFoundError)."""
+    import os
+    import pyarrow.parquet as pq
+    from pyspark import SparkFiles
+
+    def refused(*_):
+        raise OSError("no renames here")
+    monkeypatch.setattr(os, "rename", refused)
+    monkeypatch.setattr(SparkFiles, "getRootDirectory", classmethod(lambda cls: str(tmp_path)))
+    t = pa.table({"key": pa.array([5], pa.int64()), "entry": ["wspam"], "block": [True], "lengths": pa.array([[]], pa.list_(pa.int32()))})
+    pq.write_table(t, tmp_path / "x.parquet")
+    name = f"digests-{left.split()[0]}"
+    if left != "nothing":
+        (tmp_path / name).mkdir()
+    urls.open_array.cache_clear()
+    first = urls.open_array(name, ("x.parquet",))
+    urls.open_array.cache_clear()  # another worker maps what the first laid out
+    second = urls.open_array(name, ("x.parquet",))
+    assert [first.entry(0), second.entry(0)] == [b"wspam"] * 2 and isinstance(second.key, np.memmap)
+
+
 def test_digests_are_sparks(spark):
     texts = ["", "rorg/", "é漢🙂", "x" * 5000]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t")).collect()]
