@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,19 +60,25 @@ def nfkd(c) -> Column:
     return F.coalesce(_nfkd(F.when(non_ascii, t)), t)
 
 
+#: What every match of a cleaning rule holds: a text without it needs no regex.
+CLEAN_MARKS = {"ellipsis": "...", "exclamation": "!!", "question": "??", "page_number": "Page ", "date": "/"}
+
+
+def clean_steps(with_nfkd: bool = True) -> list[tuple[str, Callable[[Column], Column]]]:
+    """T2 as a list of (rule, step on a non-null text), in the reference order."""
+    def replaced(pat, repl):
+        return lambda t: F.regexp_replace(t, P.java_regex(pat), repl)
+    return [*([("nfkd", nfkd)] if with_nfkd else []), ("control", replaced(P.CONTROL_CHARS, "")),
+            *[(name, replaced(pat, repl)) for name, pat, repl in P.CLEAN_RULES], ("whitespace", normalize_whitespace)]
+
+
 def clean_rules(c, with_nfkd: bool = True) -> list[tuple[str, Column]]:
     """T2 as a list of (rule, text after the rule), in the reference order."""
     t = F.coalesce(col_of(c), F.lit(""))
     stages = []
-    if with_nfkd:
-        t = nfkd(t)
-        stages.append(("nfkd", t))
-    t = F.regexp_replace(t, P.java_regex(P.CONTROL_CHARS), "")
-    stages.append(("control", t))
-    for name, pat, repl in P.CLEAN_RULES:
-        t = F.regexp_replace(t, P.java_regex(pat), repl)
+    for name, step in clean_steps(with_nfkd):
+        t = step(t)
         stages.append((name, t))
-    stages.append(("whitespace", normalize_whitespace(t)))
     return stages
 
 

@@ -66,17 +66,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def cleaning_report(docs: DataFrame, tenant_col: str = "tenant_id", text_col: str = "text") -> DataFrame:
     """T2r: per tenant and cleaning rule, rows the rule changed and
-    characters it removed (negative = added, e.g. NFKD)."""
-    stages = TX.clean_rules(F.col(text_col))
-    prev = F.coalesce(F.col(text_col), F.lit(""))
-    cols = []
-    for name, after in stages:
-        cols.append(F.struct(F.lit(name).alias("rule"), (prev != after).cast("int").alias("changed"),
-                             (F.char_length(prev) - F.char_length(after)).alias("removed")))
-        prev = after
-    d = docs.select(tenant_col, F.explode(F.array(*cols)).alias("r"))
-    return (d.groupBy(tenant_col, "r.rule")
-            .agg(F.sum("r.changed").alias("rows_changed"), F.sum("r.removed").alias("chars_removed")))
+    characters it removed (negative = added, e.g. NFKD).
+
+    A text's cleaning stages are one column each, so every rule runs once a
+    row; a tenant's counts become rows after they are summed."""
+    steps = TX.clean_steps()
+    d = docs.select(tenant_col, F.coalesce(F.col(text_col), F.lit("")).alias("_before"))
+    counts = []
+    for i, (name, step) in enumerate(steps):
+        before, after = F.col("_before"), step(F.col("_before"))
+        if name in TX.CLEAN_MARKS:
+            after = F.when(F.contains(before, F.lit(TX.CLEAN_MARKS[name])), after).otherwise(before)
+        d = d.withColumn("_after", after).select(
+            tenant_col, *counts, (F.col("_before") != F.col("_after")).cast("int").alias(f"_changed{i}"),
+            (F.char_length("_before") - F.char_length("_after")).alias(f"_removed{i}"), F.col("_after").alias("_before"))
+        counts += [f"_changed{i}", f"_removed{i}"]
+    sums = d.groupBy(tenant_col).agg(*[F.sum(c).alias(c) for c in counts])
+    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_changed{i}").alias("rows_changed"), F.col(f"_removed{i}").alias("chars_removed"))
+                     for i, (name, _) in enumerate(steps)])
+    return sums.select(tenant_col, F.explode(rows).alias("r")).select(tenant_col, "r.rule", "r.rows_changed", "r.chars_removed")
 
 
 def ingest_records(docs: DataFrame, tenant_col: str = "tenant_id", id_col: str = "doc_id",

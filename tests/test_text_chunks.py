@@ -84,3 +84,28 @@ def test_chunk_checks(spark):
     nb = K.chunk_neighbours(ch).filter(F.col("prev_end").isNotNull())
     assert nb.filter(F.col("overlap_chars") < 0).count() == 0  # coverage: no holes between chunks
     assert K.dedup_chunks(ch).count() == ch.select("chunk_id").distinct().count()
+
+
+def test_cleaning_report_runs_each_rule_once(spark):
+    """Every rule is evaluated once a row: the plan names each pattern once
+    for the text (nested stages repeated the first rules over a hundred times)."""
+    from quire.functions import text as TX
+    from quire.operators import corpus
+    rows = [("a", "Wait.... what?? Page 12 on 1/2/2024!!  x\x07"), ("a", None), ("a", ""), ("b", "caf\u00e9 \ufb01 Page x / .. ! ?"), (None, "!!")]
+    docs = spark.createDataFrame(rows, "tenant_id string, text string")
+    report = corpus.cleaning_report(docs)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2 * len(TX.clean_steps())
+    expected = {}
+    stages = [r.asDict() for r in docs.select("tenant_id", F.coalesce("text", F.lit("")).alias("text"),
+                                              *[t.alias(n) for n, t in TX.clean_rules(F.col("text"))]).collect()]
+    for r in stages:
+        before = r["text"]
+        for name, _ in TX.clean_steps():
+            n = expected.setdefault((r["tenant_id"], name), [0, 0])
+            n[0] += before != r[name]
+            n[1] += len(before) - len(r[name])
+            before = r[name]
+    got = {(r["tenant_id"], r["rule"]): [r["rows_changed"], r["chars_removed"]] for r in report.collect()}
+    assert got == expected and expected["a", "date"] == [1, 2] and expected["a", "page_number"] == [1, 7]
+    assert report.columns == ["tenant_id", "rule", "rows_changed", "chars_removed"]
