@@ -22,6 +22,8 @@ EVENT_FIELDS = ["timestamp", "action", "tenant_id", "user_id", "resource", "reso
                 "ip_address", "user_agent", "request_data", "response_data"]
 SIGNATURE_ALGORITHM = "HS256"
 LINE_FIELDS = EVENT_FIELDS + ["audit_id", "result_hash", "signature", "signature_algorithm"]
+#: Lines of one log file on average, at most (about 100 MB).
+LINES_PER_FILE = 200_000
 
 
 def json_string(c: Column) -> Column:
@@ -106,6 +108,13 @@ def write_log(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("append").text(path)
 
 
+def in_files(lines: DataFrame, order_col: str, least: int = 1) -> DataFrame:
+    """The lines dealt to files in the order of a column, so that a file
+    (and the task that sorts and writes it) keeps its size as the log grows."""
+    n = max(least, -(-lines.count() // LINES_PER_FILE))
+    return lines.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+
+
 def read_log(spark, path: str) -> DataFrame:
     """The log as lines, with the file they came from."""
     return spark.read.text(path).select(F.col("value").alias("line"),
@@ -161,14 +170,14 @@ def numbered_log(spark, path: str) -> DataFrame:
 
     A line's place in its split is its place in the scan's task; the splits'
     line counts, added up in the order (file, offset of the split), give the
-    rest.  Only that table (one row per split) is ordered in one task; the
-    lines are never sorted or moved."""
+    rest.  Only that table (one row per split) is ordered in one task and
+    broadcast; the lines are never sorted or moved."""
     raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
                                        F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"))
     splits = raw.groupBy("file_path", "_at").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("file_path", "_at").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select("file_path", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return raw.join(starts, ["file_path", "_at"]).select(
+    return raw.join(F.broadcast(starts), ["file_path", "_at"]).select(
         "line", "file_path", (F.col("_row") - F.col("_first") + F.col("_before") + 1).alias("line_number"))
 
 

@@ -191,6 +191,28 @@ def test_line_numbers_over_files_and_splits(spark, scratch):
     assert AU.first_lines(numbered, None).count() == 900
 
 
+def test_log_files_keep_their_size(spark, scratch, monkeypatch):
+    """More events give more files, not longer ones (six held any log), and
+    numbering moves no line: only the table of splits is exchanged."""
+    import glob
+    import os
+
+    from quire.operators import audit as AU
+    from quire.plans import q_audit
+    monkeypatch.setattr(AU, "LINES_PER_FILE", 50, raising=False)
+    spark.range(1000).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "'view' AS event_type", "id AS user_id",
+                                 "CAST(id % 9 AS DOUBLE) AS value", "'{}' AS props").write.parquet(f"{scratch}/events.parquet")
+    written = []
+    keep = AU.write_log
+    monkeypatch.setattr(AU, "write_log", lambda lines, path: (keep(lines, path), written.append(path)))
+    got = q_audit.o4_lines(spark, scratch).collect()
+    assert sorted(r.line_number for r in got) == list(range(1, 1001)) and {r.status for r in got} == {"valid"}
+    files = glob.glob(os.path.join(written[0].removeprefix("file:"), "part-*"))
+    assert len(files) == 20 and max(sum(1 for _ in open(f)) for f in files) < 150
+    plan = AU.numbered_log(spark, written[0])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_verify_reads_every_kind_of_line(spark):
     from quire.operators import audit as AU
     ev = spark.createDataFrame([("2024-01-01T00:00:00Z", "a", "t", "u", "r", "x", None, None, '{"k": 1}', "{}")], ", ".join(f"{k} string" for k in AU.EVENT_FIELDS))
