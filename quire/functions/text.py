@@ -19,7 +19,8 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from quire.functions import patterns as P
 
 WS = P.WS_CLASS
-_STRIP = "^" + WS + "+|" + WS + "+$"
+#: The characters of `WS`.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def round6(x: Column) -> Column:
@@ -34,8 +35,9 @@ def col_of(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: removes Unicode whitespace at both ends."""
-    return F.regexp_replace(col_of(c), _STRIP, "")
+    """Python ``str.strip()``: removes Unicode whitespace at both ends (only
+    the ends are looked at; a regex would try every run of the text)."""
+    return F.btrim(col_of(c), F.lit(WS_CHARS))
 
 
 def normalize_whitespace(c) -> Column:

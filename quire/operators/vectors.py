@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,11 +66,13 @@ class Embedder:
 _HASH_UDFS: dict = {}
 
 
-@lru_cache(maxsize=1 << 18)
-def _token_code(tok: str, dim: int) -> tuple[int, float]:
-    """Bucket and sign of a token (memoised per worker: words repeat)."""
+@lru_cache(maxsize=1 << 16)
+def _token_code(tok: str, dim: int) -> int:
+    """Bucket of a token, or its complement where the sign is negative
+    (memoised per worker: words repeat).  The frequent words fit; a memo of
+    every word would grow with the corpus in each worker of an executor."""
     h = hashlib.md5(tok.encode("utf-8")).hexdigest()
-    return int(h[:8], 16) % dim, (1.0 if h[8] < "8" else -1.0)
+    return int(h[:8], 16) % dim if h[8] < "8" else ~(int(h[:8], 16) % dim)
 
 
 def _hash_embed_udf(dim: int):
@@ -82,15 +85,11 @@ def _hash_embed_udf(dim: int):
         # One bincount over the whole Arrow batch: cell (row, bucket) sums
         # the signs of the row's tokens in that bucket.
         n = len(texts)
-        cells, signs = [], []
-        for i, t in enumerate(texts):
-            if t:
-                for tok in t.lower().split():
-                    b, sg = _token_code(tok, dim)
-                    cells.append(i * dim + b)
-                    signs.append(sg)
-        m = np.bincount(np.asarray(cells, dtype=np.int64), weights=np.asarray(signs, dtype=np.float64),
-                        minlength=n * dim).reshape(n, dim) if n else np.zeros((0, dim))
+        words = [t.lower().split() if t else [] for t in texts]
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
+        codes = np.fromiter(map(_token_code, chain.from_iterable(words), repeat(dim)), dtype=np.int64, count=sizes.sum())
+        cells = np.repeat(np.arange(n) * dim, sizes) + np.where(codes < 0, ~codes, codes)
+        m = np.bincount(cells, weights=np.where(codes < 0, -1.0, 1.0), minlength=n * dim).reshape(n, dim) if n else np.zeros((0, dim))
         norms = np.sqrt(np.einsum("ij,ij->i", m, m))
         nz = norms > 0
         m[nz] = m[nz] / norms[nz, None]

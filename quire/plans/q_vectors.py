@@ -9,6 +9,7 @@ from quire.operators import vectors as V
 from quire.plans.catalog import query
 from quire.plans.q_chunks import chunk_sql
 from quire.plans.sqlfrag import embed_ctes, normalize_sql, sq_l2
+from quire.session import stored
 from quire.sources import tables
 
 DIM = 64  # the driver's vectors have 64 dimensions; the hash embedder matches
@@ -107,7 +108,7 @@ _CHUNKS = chunk_sql(1000, 200, table="documents")
        f"FROM t JOIN e_vec ON e_vec.id = t.chunk_id")
 def s9(spark, sf):
     d = tables.documents(spark, sf)
-    ch = K.chunk_table(d, keep_cols=["tenant_id"])
+    ch = stored(K.chunk_table(d, keep_cols=["tenant_id"]).select("tenant_id", "chunk_id", "chunk_text"), "chunks")  # one Python worker a task
     emb = V.embed_batch(ch, V.HashEmbedder(DIM), text_col="chunk_text")
     idx = V.build_index(emb)
     return idx.select("tenant_id", "position", "vector_id", "chunk_id", "embedding_version",

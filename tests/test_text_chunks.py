@@ -109,3 +109,13 @@ def test_cleaning_report_runs_each_rule_once(spark):
     got = {(r["tenant_id"], r["rule"]): [r["rows_changed"], r["chars_removed"]] for r in report.collect()}
     assert got == expected and expected["a", "date"] == [1, 2] and expected["a", "page_number"] == [1, 7]
     assert report.columns == ["tenant_id", "rule", "rows_changed", "chars_removed"]
+
+
+def test_strip_without_regex(spark):
+    """str.strip() exactly, and without a regex over the whole text."""
+    import sys
+    assert set(TX.WS_CHARS) == {chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace()}
+    texts = ["", " ", "a", None, TX.WS_CHARS, *[f"{w}{w}a {w} b\u200b{w}\n{w}" for w in TX.WS_CHARS], "\u200b x \ufeff", "\u00e9\u2003"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", TX.py_strip("t").alias("s"))
+    assert all(r.s == (None if r.t is None else r.t.strip()) for r in df.collect())
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
