@@ -114,12 +114,12 @@ def chunk_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the id of its vector, as in the reference.  One pass in the document's
     row; nothing shuffles."""
     chunks = K.chunk_table(docs, id_col, text_col, keep_cols=keep_cols)
-    spans = chunks.withColumn("_spans", pii.detect_pii(F.col("chunk_text")))
+    found = chunks.withColumn("_found", pii.redact_with_spans(F.col("chunk_text"), mode, salt))
     keep = [c for c in (keep_cols or []) if c not in (id_col, text_col)]
-    return spans.select(
+    return found.select(
         "chunk_id", "document_id", *keep, "chunk_index", "start", "end", "length", F.col("chunk_id").alias("text_hash"),
-        pii.redact(F.col("chunk_text"), F.col("_spans"), mode, salt).alias("chunk_text"), F.col("chunk_text").alias("original_text"),
-        pii.applied_redactions(F.col("_spans"), mode, salt).alias("redaction_metadata"), F.col("chunk_id").alias("vector_id"))
+        F.col("_found.text").alias("chunk_text"), F.col("chunk_text").alias("original_text"),
+        pii.applied_redactions(F.col("_found.spans"), mode, salt).alias("redaction_metadata"), F.col("chunk_id").alias("vector_id"))
 
 
 def hit_metadata(hits: DataFrame, vectors: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:

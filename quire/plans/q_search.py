@@ -12,7 +12,7 @@ from quire.operators import search as S
 from quire.operators import vectors as V
 from quire.plans.catalog import query
 from quire.plans.q_chunks import chunk_sql
-from quire.session import cut
+from quire.session import cut, stored
 from quire.plans.sqlfrag import WS, candidates, embed_ctes, mask_label, q, rebuild, resolve, sq_l2
 from quire.sources import tables
 
@@ -116,7 +116,7 @@ def s6(spark, sf):
        "rec.document_id, 'doc-' || CAST(rec.document_id AS VARCHAR) || '.txt' AS document_name, rec.start, rec.\"end\", rec.masked AS text, "
        "rec.n_redactions, rec.redactions FROM top JOIN pos ON pos.chunk_id = top.chunk_id JOIN rec ON rec.chunk_id = top.chunk_id")
 def j2(spark, sf):
-    records = cut(records_df(spark, sf))
+    records = stored(records_df(spark, sf), "records")
     embedder = V.HashEmbedder(DIM)
     index = cut(V.build_index(V.embed_batch(records, embedder, text_col="original_text")))
     asked = V.embed_batch(_requests(spark, sf), embedder, text_col="query", out_col="query_embedding")

@@ -229,3 +229,34 @@ def test_hit_metadata(spark):
     assert got[2].redaction_metadata == [] and got[2].text == "Nothing here."
     for r in chunks.collect():
         assert r.vector_id == r.chunk_id == r.text_hash and r.original_text.count("a@b.com") == len(r.redaction_metadata)
+
+
+def test_index_build_has_one_python_worker_a_task(spark, scratch, monkeypatch):
+    """Chunks are stored before they are embedded (chunking and embedding held
+    two Python workers in every task), and the memo of words stays small."""
+    from quire.operators import chunking as K
+    from quire.operators import vectors as V
+    from quire.plans import q_vectors
+    rows = [(i, f"Sentence {i}. " * (i * 40), f"src{i % 3}") for i in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr(
+        "doc_id", "text", "'en' AS lang", "source", "CAST(length(text) AS LONG) AS n_chars").write.parquet(f"{scratch}/documents.parquet")
+    plans, embed = [], V.embed_batch
+    monkeypatch.setattr(V, "embed_batch", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().executedPlan().toString()), embed(df, *a, **k))[1])
+    got = q_vectors.s9(spark, scratch).collect()
+    assert len(plans) == 1 and "ArrowEvalPython" not in plans[0]
+    assert {r.chunk_id for r in got} == {r.chunk_id for r in K.chunk_table(spark.createDataFrame(rows, "doc_id long, text string, t string")).collect()}
+    assert all(r.norm == 1.0 for r in got) and V._token_code.cache_info().maxsize <= 1 << 16
+
+
+def test_chunk_records_detect_and_redact_in_one_pass(spark):
+    from quire.operators import pii
+    from quire.operators import search as S
+    docs = spark.createDataFrame([(1, "mail a@example.com ssn 123-45-6789."), (2, "none."), (3, None)], "doc_id long, text string")
+    records = S.chunk_records(docs)
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # chunking, redaction (detection had a third)
+    got = {r.document_id: r for r in records.collect()}
+    assert got[1].chunk_text == "mail [EMAIL] ssn [SSN]." and got[2].chunk_text == "none." and 3 not in got
+    assert [(x.type, x.original_start, x.replacement) for x in got[1].redaction_metadata] == [("ssn", 23, "[SSN]"), ("email", 5, "[EMAIL]")]
+    both = docs.select(pii.redact_with_spans("text").alias("f"), pii.detect_pii("text").alias("spans"), pii.redact_text("text").alias("r")).collect()
+    assert all(r.f.spans == r.spans and r.f.text == r.r.text for r in both)
